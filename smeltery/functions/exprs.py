@@ -79,7 +79,7 @@ def ratio(numerator: Column, denominator: Column) -> Column:
 def money_ratio(numerator: Column, denominator: Column, precision: int = 15) -> Column:
     """Exact decimal division rounded half up to cents; NULL on a zero denominator."""
     top = numerator.cast(T.DecimalType(24, 2))
-    bottom = denominator.cast(T.DecimalType(12, 0))
+    bottom = denominator.cast(T.DecimalType(20, 2))
     return F.round(F.when(bottom != 0, top / bottom), 2).cast(T.DecimalType(precision, 2))
 
 

@@ -342,6 +342,49 @@ _NAMES = {
                    l_linenumber <> 7 AS is_valid
             FROM {lineitem}
         ) x""",
+    # gold, as a report finds it stored ---------------------------------------------------
+    "gold_dim_promotion": """
+        SELECT DISTINCT promotion_code,
+               CAST(CASE promotion_code WHEN '' THEN 1 WHEN 'HIGH5' THEN 2 ELSE 3 END AS BIGINT) AS promotion_key
+        FROM {silver_orders}""",
+    "gold_dim_product": """
+        SELECT product_key, product_id, CASE WHEN product_id % 40 = 0 THEN CAST(NULL AS STRING) ELSE CONCAT(product_name, ' ', CAST(category_id AS STRING)) END AS product_name,
+               category_name, list_price
+        FROM {silver_product} WHERE is_valid""",
+    "gold_dim_customer": """
+        SELECT customer_key, customer_id, income_bracket, customer_type,
+               CONCAT('State ', CAST(customer_id % 7 AS STRING)) AS state_province
+        FROM {silver_customer} WHERE is_valid""",
+    "gold_dim_date": """
+        SELECT DISTINCT CAST(YEAR(order_date) * 10000 + MONTH(order_date) * 100 + DAY(order_date) AS INT) AS date_key,
+               order_date AS full_date
+        FROM {silver_orders}""",
+    "gold_fact_sales": """
+        SELECT CAST(YEAR(o.order_date) * 10000 + MONTH(o.order_date) * 100 + DAY(o.order_date) AS INT) AS order_date_key,
+               o.customer_key, i.product_key, o.sales_rep_key AS employee_key, o.order_id, i.order_item_id, i.quantity,
+               i.unit_price, i.line_total AS gross_amount, i.net_amount, o.order_status
+        FROM {silver_orders} o JOIN {silver_order_item} i ON o.order_key = i.order_key
+        WHERE o.is_valid AND i.is_valid""",
+    "gold_fact_orders": """
+        SELECT o.order_id, o.customer_key, o.order_status,
+               CAST(YEAR(o.order_date) * 10000 + MONTH(o.order_date) * 100 + DAY(o.order_date) AS INT) AS order_date_key,
+               s.net_amount
+        FROM {silver_orders} o
+        JOIN (SELECT order_key, CAST(SUM(net_amount) AS DECIMAL(18,2)) AS net_amount FROM {silver_order_item}
+              WHERE is_valid GROUP BY order_key) s ON o.order_key = s.order_key
+        WHERE o.is_valid""",
+    "gold_inventory_snapshots": """
+        SELECT CAST(20010731 AS INT) AS snapshot_date_key, product_key, warehouse_key,
+               CAST(CASE WHEN product_key % 3 = 0 THEN quantity_on_hand + 5 ELSE quantity_on_hand END AS INT) AS quantity_on_hand,
+               quantity_available, quantity_reserved, CAST(1 AS INT) AS days_of_supply, 'IN_STOCK' AS stock_status,
+               CAST(0 AS DECIMAL(18,2)) AS inventory_value
+        FROM {silver_inventory}
+        UNION ALL
+        SELECT CAST(20010801 AS INT), product_key, warehouse_key, CAST(1 AS INT), CAST(1 AS INT), CAST(0 AS INT), CAST(1 AS INT), 'LOW_STOCK', CAST(7 AS DECIMAL(18,2))
+        FROM {silver_inventory} WHERE quantity_on_hand > 120
+        UNION ALL
+        SELECT CAST(20010801 AS INT), product_key + 900000000, warehouse_key, CAST(1 AS INT), CAST(1 AS INT), CAST(0 AS INT), CAST(1 AS INT), 'LOW_STOCK', CAST(7 AS DECIMAL(18,2))
+        FROM {silver_inventory} WHERE quantity_on_hand > 140""",
     # clickstream, sessions, reviews, stock movements ----------------------------------
     "clickstream": """
         SELECT event_id, CONCAT(CAST(user_id AS STRING), '-', CAST(CAST(ts AS DATE) AS STRING)) AS session_id,
