@@ -101,8 +101,10 @@ def whole_years(start: Column, end: Column) -> Column:
 
 def tolerant_number(value) -> Column:
     """Text to number, thousands separators and currency signs dropped, 0 where it does not parse."""
-    cleaned = F.regexp_replace(as_col(value).cast("string"), r"[^0-9.\-]", "")
-    return F.coalesce(cleaned.try_cast("double"), F.lit(0.0))
+    text = as_col(value).cast("string")
+    cleaned = F.regexp_replace(text, r"[^0-9.\-]", "")
+    number = F.coalesce(text.try_cast("double"), cleaned.try_cast("double"))
+    return F.when(F.abs(number) < float("inf"), number).otherwise(F.lit(0.0))
 
 
 def tolerant_date(value) -> Column:
