@@ -470,7 +470,7 @@ _NAMES = {
     "etl_jobs": """
         SELECT DISTINCT CONCAT('job_', CAST(user_id % 6 AS STRING)) AS job_id,
                CONCAT('Job ', CAST(user_id % 6 AS STRING)) AS job_name,
-               CASE WHEN user_id % 2 = 0 THEN 'batch' ELSE 'incremental' END AS job_type
+               CASE WHEN user_id % 6 = 5 THEN 'Pipeline' WHEN user_id % 6 = 4 THEN CAST(NULL AS STRING) ELSE 'batch' END AS job_type
         FROM {events}""",
     "job_runs": """
         SELECT CONCAT('run_', CAST(event_id AS STRING)) AS run_id, CONCAT('job_', CAST(user_id % 7 AS STRING)) AS job_id,
