@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from smeltery.operators import alerts, gold, monitoring, quality, storage
+from smeltery.operators.silver import silver_customer, silver_employee
 from smeltery.plans.registry import query, sql_table
 from smeltery.plans.report_queries import AS_OF_TS
+from smeltery.plans.silver_queries import RUN_TS
 
 _NOW = f"TIMESTAMP '{AS_OF_TS}'"
 _DAY = "2024-01-31"
@@ -139,8 +141,12 @@ def _validate_silver(t):
 
 @query(
     "validate_gold",
-    """SELECT table_name, 0::BIGINT AS duplicates, FALSE AS has_duplicates FROM (VALUES ('agg_daily_sales'), ('agg_customer_lifetime'), ('agg_monthly_product_sales')) v(table_name)
-       WHERE (SELECT COUNT(*) FROM lineitem) > 0""",
+    """SELECT *, duplicates > 0 AS has_duplicates FROM (
+       SELECT 'agg_daily_sales' AS table_name, COUNT(*) - COUNT(DISTINCT date_key) AS duplicates FROM expected_daily
+       UNION ALL SELECT 'agg_customer_lifetime', COUNT(*) - COUNT(DISTINCT customer_key) FROM silver_customer WHERE is_valid
+       UNION ALL SELECT 'agg_monthly_product_sales', COUNT(*) - COUNT(DISTINCT (y, m, c)) FROM (
+         SELECT YEAR(order_date) AS y, MONTH(order_date) AS m, category_name AS c FROM silver_orders JOIN silver_order_item USING (order_key)
+         JOIN silver_product USING (product_key) GROUP BY ALL))""",
 )
 def _validate_gold(t):
     orders, items = t("silver_orders"), t("silver_order_item")
@@ -166,9 +172,6 @@ def _valid(t):
        UNION ALL SELECT DISTINCT 'sales_rep_id', sales_rep_id::BIGINT FROM bronze_orders WHERE sales_rep_id NOT IN (SELECT employee_id FROM newest_known_employment)""",
 )
 def _misses(t):
-    from smeltery.operators.silver import silver_customer, silver_employee
-    from smeltery.plans.silver_queries import RUN_TS
-
     customers = silver_customer(t("bronze_customer"), None, RUN_TS, t("silver_person"), t("silver_customer_employee"))
     employees = silver_employee(
         t("bronze_employment"), None, RUN_TS, t("silver_person"), t("silver_employment_jobs"), t("silver_employee")
