@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from smeltery.functions.exprs import ratio, trimmed
 from smeltery.functions.keyed import previous_in_key
 from smeltery.functions.ordered import order_statistics, percentiles_cont
-from smeltery.operators.monitoring import at, days_back
+from smeltery.operators.monitoring import at
+from smeltery.session import durable
 
 # Statement kinds, aggregate words, thresholds.
 STATEMENT_KINDS = ("SELECT", "INSERT", "UPDATE", "DELETE", "CREATE", "ALTER", "DROP")
@@ -347,6 +348,7 @@ def workload_kpis(perf: DataFrame) -> DataFrame:
         F.coalesce(F.round("avg_execution_time_ms", 6), F.lit(0.0)).cast("decimal(24,6)").alias("avg"),
         F.coalesce(F.round("p95_execution_time_ms", 6), F.lit(0.0)).cast("decimal(24,6)").alias("p95"),
     )
+    rows = durable(rows)
     fifth = {"k": F.floor((F.col("n") - 1) * F.lit(0.8))}
     avg_cut = order_statistics(rows.where("avg > 0"), ["_all"], "avg", fifth, 6).select("k").scalar()
     p95_cut = order_statistics(rows.where("p95 > 0"), ["_all"], "p95", fifth, 6).select("k").scalar()

@@ -166,7 +166,6 @@ def _buckets(t):
 
 
 sql_table("perf_all", _perf("timed_logs", "query_hash"))
-sql_table("perf_texts", _perf("timed_logs", "query_text"))
 
 
 def _kpi_sql(source: str) -> str:

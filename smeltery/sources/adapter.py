@@ -510,6 +510,21 @@ _NAMES = {
                CAST(event_id % 40 AS INT) AS query_count,
                CAST(event_id % 50 / 100.0 AS DOUBLE) AS estimated_improvement, ts AS applied_at
         FROM {events}""",
+    "layer_catalog": """
+        SELECT layer, table_name, CAST(1 AS INT) AS position, CONCAT(table_name, '_id') AS column_name, 'int' AS type FROM {table_stats}
+        UNION ALL SELECT layer, table_name, CAST(2 AS INT), 'updated_at', 'string' FROM {table_stats} WHERE layer <> 'gold'
+        UNION ALL SELECT layer, table_name, CAST(3 AS INT), 'order_date', 'date' FROM {table_stats} WHERE table_name = 'orders'
+        UNION ALL SELECT layer, table_name, CAST(4 AS INT), 'category_name', 'string' FROM {table_stats} WHERE table_name = 'product'""",
+    "model_scores": """
+        SELECT log_id, CAST(mean_exec_time_ms AS DOUBLE) * 0.9 + 3 AS predicted_ms,
+               CASE WHEN mean_exec_time_ms > 8000 THEN CAST(-0.75 AS DOUBLE) ELSE CAST(NULL AS DOUBLE) END AS anomaly_score
+        FROM {query_logs}""",
+    "stored_recommendations": """
+        SELECT recommendation_id, recommendation_type, table_name,
+               CASE WHEN table_name = 'silver.orders' THEN 'order_date' WHEN table_name = 'gold.fact_sales' THEN 'order_id' ELSE 'customer_id' END AS column_name,
+               CASE WHEN query_count % 3 = 0 THEN '25' WHEN query_count % 3 = 1 THEN '12.5' ELSE '40ms' END AS estimated_improvement,
+               priority, status, query_count, applied_at
+        FROM {apply_events}""",
     "system_metrics": """
         SELECT CASE WHEN event_type = 'click' THEN 'cpu_percent' WHEN event_type = 'view' THEN 'cache_hit_percent'
                     WHEN event_type = 'purchase' THEN 'p95_latency_ms' ELSE 'disk_percent' END AS metric,
