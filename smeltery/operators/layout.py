@@ -185,11 +185,21 @@ def partition_pairs(text: Column, clustered: Column) -> Column:
     return F.array_distinct(F.when(F.size(timed) > 0, timed).otherwise(guessed))
 
 
-def table_column_candidates(logs: DataFrame) -> DataFrame:
-    """One row per log row, kind and pair."""
-    with_pairs = with_cluster_pairs(logs, name="_i").withColumn(
-        "_p", partition_pairs(F.col("query_text"), F.col("_i"))
-    )
+def _pair_arrays(texts: DataFrame) -> DataFrame:
+    return with_cluster_pairs(texts, name="_i").withColumn("_p", partition_pairs(F.col("query_text"), F.col("_i")))
+
+
+def table_column_candidates(logs: DataFrame, one_row_per_text: bool = False) -> DataFrame:
+    """One row per log row, kind and pair.
+
+    Statements repeat far more often than they differ: the patterns run over the distinct
+    texts, whose pairs are joined back, unless the frame is distinct by text already.
+    """
+    if one_row_per_text:
+        with_pairs = _pair_arrays(logs)
+    else:
+        texts = logs.select("query_text").where(F.col("query_text").isNotNull()).distinct()
+        with_pairs = logs.join(_pair_arrays(texts), "query_text").select(*logs.columns, "_i", "_p")
     kinds = F.array(
         F.struct(F.lit("index").alias("kind"), F.col("_i").alias("pairs")),
         F.struct(F.lit("partition").alias("kind"), F.col("_p").alias("pairs")),
@@ -203,7 +213,7 @@ def table_column_candidates(logs: DataFrame) -> DataFrame:
 
 def partition_candidates(logs: DataFrame) -> DataFrame:
     """Distinct time-like pairs over the log."""
-    pairs = table_column_candidates(logs.select("query_text").distinct()).where("type = 'partition'")
+    pairs = table_column_candidates(logs.select("query_text").distinct(), one_row_per_text=True).where("type = 'partition'")
     return pairs.select("table_name", "column_name").distinct()
 
 
@@ -263,7 +273,7 @@ def layout_recommendations(
             F.sum(_exact(F.col("actual_ms"))).alias("act"),
         )
     )
-    pairs = table_column_candidates(per_text)
+    pairs = table_column_candidates(per_text, one_row_per_text=True)
     if type_filter:
         pairs = pairs.where(F.col("type") == type_filter)
     groups = pairs.groupBy("type", "table_name", "column_name").agg(
@@ -317,7 +327,7 @@ def weighted_recommendations(
         F.sum(_exact(F.coalesce("predicted_ms", "a"))).alias("pred"),
         F.sum("io").alias("io"),
     )
-    pairs = table_column_candidates(per_text).where("type = 'index'")
+    pairs = table_column_candidates(per_text, one_row_per_text=True).where("type = 'index'")
     groups = pairs.groupBy("table_name", "column_name").agg(
         F.sum("n").alias("query_count"),
         F.sum("act").cast("double").alias("_a"),

@@ -247,7 +247,7 @@ sql_table("known_columns", "SELECT DISTINCT layer || '.' || table_name AS table_
 )
 def _genuine(t):
     texts = t("query_logs").groupBy("query_text").agg(F.count("*").alias("n"))
-    pairs = layout.table_column_candidates(texts)
+    pairs = layout.table_column_candidates(texts, one_row_per_text=True)
     return layout.genuine_recommendations(_merged(t), t("layer_catalog"), pairs, min_evidence=3)
 
 
