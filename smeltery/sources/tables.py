@@ -93,10 +93,13 @@ class Warehouse:
 
     def version(self, layer: str, table: str) -> str | None:
         """Folder of the current version; None where the table was never written."""
-        fs, pointer = self._fs(f"{self.folder(layer, table)}/_current")
+        fs, pointer = self._fs(f"{self.folder(layer, table)}/CURRENT")
         if not fs.exists(pointer):
             return None
-        name = self.spark.read.text(pointer.toString()).first()[0]
+        jvm = self.spark._jvm
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(pointer)))
+        name = reader.readLine()
+        reader.close()
         return f"{self.folder(layer, table)}/{name}"
 
     def exists(self, layer: str, table: str) -> bool:
@@ -113,9 +116,9 @@ class Warehouse:
         return None if path is None else self.spark.read.parquet(path)
 
     def _publish(self, layer: str, table: str, name: str) -> None:
-        fs, pointer = self._fs(f"{self.folder(layer, table)}/_current")
+        fs, pointer = self._fs(f"{self.folder(layer, table)}/CURRENT")
         jvm = self.spark._jvm
-        fresh = jvm.org.apache.hadoop.fs.Path(f"{self.folder(layer, table)}/_next_{name}")
+        fresh = jvm.org.apache.hadoop.fs.Path(f"{self.folder(layer, table)}/NEXT_{name}")
         stream = fs.create(fresh, True)
         stream.write(bytearray(name, "utf-8"))
         stream.close()
