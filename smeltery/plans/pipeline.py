@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -53,6 +54,7 @@ class Load:
         self.wh, self.run_ts, self.clock = warehouse, run_ts, clock
         self.run_id = uuid.uuid4().hex
         self.as_of = run_ts[:10]
+        self._steps: list[DataFrame] = []
 
     # Steps ------------------------------------------------------------------------------
 
@@ -72,7 +74,13 @@ class Load:
         row = run_row(
             self.wh.spark, self.run_id, "complete_etl", layer, table, status, records, started, self.clock(), error
         )
-        self.wh.append("monitoring", "job_runs", row)
+        self._steps.append(row)
+
+    def flush_log(self) -> None:
+        """Write the rows of all steps since the last flush, failed ones included."""
+        if self._steps:
+            self.wh.append("monitoring", "job_runs", reduce(DataFrame.unionByName, self._steps).coalesce(1))
+            self._steps = []
 
     def _max_key(self, table: str, key: str) -> int:
         held = self.wh.read_or_none("silver", table)
@@ -213,4 +221,7 @@ class Load:
         return out
 
     def run(self, mode: str = "rebuild") -> dict[str, dict[str, int]]:
-        return {"silver": self.transform_all(), "gold": self.aggregate_all(mode)}
+        try:
+            return {"silver": self.transform_all(), "gold": self.aggregate_all(mode)}
+        finally:
+            self.flush_log()

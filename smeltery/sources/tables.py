@@ -8,6 +8,7 @@ they are removed on purpose.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Mapping, Sequence
 
@@ -91,36 +92,45 @@ class Warehouse:
         target = jvm.org.apache.hadoop.fs.Path(path)
         return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
 
-    def version(self, layer: str, table: str) -> str | None:
-        """Folder of the current version; None where the table was never written."""
+    def _pointer(self, layer: str, table: str) -> tuple[str, T.StructType] | None:
+        """Folder and schema of the current version; None where the table was never written."""
         fs, pointer = self._fs(f"{self.folder(layer, table)}/CURRENT")
         if not fs.exists(pointer):
             return None
         jvm = self.spark._jvm
         reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(pointer)))
-        name = reader.readLine()
+        name, schema = reader.readLine(), reader.readLine()
         reader.close()
-        return f"{self.folder(layer, table)}/{name}"
+        return f"{self.folder(layer, table)}/{name}", T.StructType.fromJson(json.loads(schema))
+
+    def version(self, layer: str, table: str) -> str | None:
+        """Folder of the current version."""
+        found = self._pointer(layer, table)
+        return None if found is None else found[0]
 
     def exists(self, layer: str, table: str) -> bool:
-        return self.version(layer, table) is not None
+        return self._pointer(layer, table) is not None
 
     def read(self, layer: str, table: str) -> DataFrame:
-        path = self.version(layer, table)
-        if path is None:
+        df = self.read_or_none(layer, table)
+        if df is None:
             raise LookupError(f"no table {layer}.{table}")
-        return self.spark.read.parquet(path)
+        return df
 
     def read_or_none(self, layer: str, table: str) -> DataFrame | None:
-        path = self.version(layer, table)
-        return None if path is None else self.spark.read.parquet(path)
+        """The schema comes from the pointer: nothing is inferred, and an empty table has one too."""
+        found = self._pointer(layer, table)
+        if found is None:
+            return None
+        path, schema = found
+        return self.spark.read.schema(schema).parquet(path).select(*schema.names)
 
-    def _publish(self, layer: str, table: str, name: str) -> None:
+    def _publish(self, layer: str, table: str, name: str, schema: T.StructType) -> None:
         fs, pointer = self._fs(f"{self.folder(layer, table)}/CURRENT")
         jvm = self.spark._jvm
         fresh = jvm.org.apache.hadoop.fs.Path(f"{self.folder(layer, table)}/NEXT_{name}")
         stream = fs.create(fresh, True)
-        stream.write(bytearray(name, "utf-8"))
+        stream.write(bytearray(f"{name}\n{schema.json()}\n", "utf-8"))
         stream.close()
         if fs.exists(pointer):
             fs.delete(pointer, False)
@@ -134,16 +144,17 @@ class Warehouse:
         if column and column in df.columns:
             writer = writer.partitionBy(column)
         writer.parquet(f"{self.folder(layer, table)}/{name}")
-        self._publish(layer, table, name)
+        loose = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema.fields])
+        self._publish(layer, table, name, loose)
 
     def append(self, layer: str, table: str, df: DataFrame) -> None:
         """Add files to the current version; the first append makes one."""
-        path = self.version(layer, table)
-        if path is None:
+        found = self._pointer(layer, table)
+        if found is None:
             self.overwrite(layer, table, df)
             return
-        held = self.spark.read.parquet(path).schema
-        writer = df.select(*[F.col(f.name).cast(f.dataType) for f in held.fields]).write.mode("append")
+        path, schema = found
+        writer = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]).write.mode("append")
         column = PARTITIONED.get(table)
         if column and column in df.columns:
             writer = writer.partitionBy(column)
