@@ -32,6 +32,29 @@ def ordered_index(df: DataFrame, order: Sequence[Column | str], name: str = "idx
     return placed.withColumn(name, F.col("_row") + F.col("_offset")).select(*df.columns, name)
 
 
+def position_in_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str) -> DataFrame:
+    """``row_number`` per key without a window over whole keys.
+
+    A key with much of the data spans several sorted partitions: rows are numbered inside
+    each (key, partition) and moved up by the key's rows in the partitions before it.
+    """
+    kept = durable(df.orderBy(*keys, *order))
+    tagged = kept.withColumn("_mark", F.monotonically_increasing_id())
+    tagged = tagged.withColumn("_part", F.shiftright("_mark", _ROW_BITS))
+    local = F.row_number().over(W.partitionBy(*keys, "_part").orderBy("_mark"))
+    numbered = tagged.withColumn("_local", local)
+    sizes = tagged.groupBy(*keys, "_part").agg(F.count("*").alias("_size"))
+    # One row per (key, partition) enters this window.
+    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    match = F.col("n._part") == F.col("o._part")
+    for key in keys:
+        match = match & F.col(f"n.{key}").eqNullSafe(F.col(f"o.{key}"))
+    joined = numbered.alias("n").join(offsets.alias("o"), match)
+    position = (F.col("_local") + F.col("_offset")).cast("int").alias(name)
+    return joined.select(*[F.col(f"n.{c}") for c in df.columns], position)
+
+
 def with_surrogate_key(df: DataFrame, name: str, order: Sequence[str], start: int = 0) -> DataFrame:
     """Dense key ``start + 1 ...`` in the order of the natural key."""
     indexed = ordered_index(df, order, "_seq")

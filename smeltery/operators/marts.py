@@ -11,7 +11,8 @@ from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from smeltery.functions.exprs import ladder, money, money_ratio, ratio, trimmed
+from smeltery.functions.exprs import money, money_ratio, ratio, trimmed
+from smeltery.functions.ordered import position_in_key
 
 # Words of the sentiment score.
 POSITIVE = ("great", "good", "love", "excellent", "perfect", "happy", "nice", "best")
@@ -351,8 +352,8 @@ def product_performance(orders: DataFrame, items: DataFrame, product: DataFrame,
         .join(on_hand, "product_key", "left")
     )
     revenue = money(F.coalesce("revenue", F.lit(0)), 18)
-    rows = joined.withColumn("total_revenue", revenue)
-    rank = F.row_number().over(W.partitionBy("category").orderBy(F.col("total_revenue").desc(), "product_key"))
+    order = [F.col("total_revenue").desc(), F.col("product_key")]
+    rows = position_in_key(joined.withColumn("total_revenue", revenue), ["category"], order, "category_rank")
     return rows.select(
         "product_key",
         "product_id",
@@ -364,7 +365,7 @@ def product_performance(orders: DataFrame, items: DataFrame, product: DataFrame,
         F.coalesce("review_count", F.lit(0)).alias("review_count"),
         ratio(F.coalesce("units", F.lit(0)), F.col("on_hand")).alias("inventory_turnover"),
         F.datediff(F.to_date(F.lit(str(as_of))), F.col("last_sale")).alias("days_since_last_sale"),
-        rank.alias("category_rank"),
+        "category_rank",
         *[F.coalesce(n, F.lit(0)).alias(n) for n in stars],
         "average_sentiment_score",
     )

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
@@ -88,6 +89,15 @@ def split_by_key(df: DataFrame, key: str = "log_id", test_share: float = 0.2) ->
     return df.where(bucket >= cut), df.where(bucket < cut)
 
 
+def spread(features: DataFrame, key: str = "log_id") -> DataFrame:
+    """Feature rows spread over the executors and kept for the passes of a fit.
+
+    Features are narrow; one shuffle of them is paid once, the scan and the parsing behind
+    them are not repeated per pass.
+    """
+    return features.repartition(F.col(key)).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _scaled(inputs: Sequence[str], *, center: bool = False) -> list:
     return [
         VectorAssembler(inputCols=list(inputs), outputCol="raw_features"),
@@ -491,7 +501,7 @@ def top_cache_candidates(
     features: DataFrame, threshold: float = CACHE_THRESHOLD, limit: int | None = 50, **labels: float
 ) -> DataFrame:
     """Ranked by the classifier where one can be fitted, by the rule of thumb where not."""
-    training = cache_training(features, **labels)
+    training = spread(cache_training(features, **labels), "query_text")
     model = fit_cache_classifier(training)
     if model is None:
         return cache_heuristic(features, threshold, limit).withColumn("source", F.lit("heuristic"))

@@ -27,39 +27,39 @@ def _time_features(t):
 
 @query("query_time_scorecard")
 def _time(t):
-    train, test = ml.split_by_key(ml.time_features(t("query_logs")))
+    train, test = ml.split_by_key(ml.spread(ml.time_features(t("query_logs"))))
     model = ml.fit_query_time(train, "gbt", trees=10, depth=4)
     return ml.regression_scorecard(ml.score_query_time(model, test))
 
 
 @query("query_time_importance")
 def _importance(t):
-    model = ml.fit_query_time(ml.time_features(t("query_logs")), "random_forest", trees=10, depth=6)
+    model = ml.fit_query_time(ml.spread(ml.time_features(t("query_logs"))), "random_forest", trees=10, depth=6)
     return ml.feature_importance(model, t.spark)
 
 
 @query("workload_cluster_profiles")
 def _profiles(t):
-    features = ml.cluster_features(t("query_logs"))
+    features = ml.spread(ml.cluster_features(t("query_logs")))
     return ml.cluster_profiles(ml.assign_clusters(ml.fit_clusters(features), features))
 
 
 @query("workload_cluster_examples")
 def _examples(t):
-    features = ml.cluster_features(t("query_logs"))
+    features = ml.spread(ml.cluster_features(t("query_logs")))
     return ml.cluster_examples(ml.assign_clusters(ml.fit_clusters(features), features))
 
 
 @query("workload_cluster_scorecard")
 def _cluster_scorecard(t):
-    features = ml.cluster_features(t("query_logs"))
+    features = ml.spread(ml.cluster_features(t("query_logs")))
     model = ml.fit_clusters(features)
     assigned = ml.assign_clusters(model, features)
     return ml.cluster_scorecard(assigned, model).withColumn("silhouette", F.lit(ml.silhouette(assigned)))
 
 
 def _flagged(t):
-    features = ml.anomaly_features(t("query_logs"))
+    features = ml.spread(ml.anomaly_features(t("query_logs")))
     return ml.flag_anomalies(ml.score_isolation_forest(ml.fit_isolation_forest(features), features))
 
 
@@ -94,7 +94,7 @@ def _candidates(t):
 
 @query("cache_classifier_scorecard")
 def _cache_scorecard(t):
-    training = ml.cache_training(workload.cache_features(t("query_logs")), **_MARKS)
+    training = ml.spread(ml.cache_training(workload.cache_features(t("query_logs")), **_MARKS), "query_text")
     train, test = ml.split_by_key(training, "query_text")
     model = ml.fit_cache_classifier(train)
     if model is None:

@@ -71,3 +71,14 @@ def test_surrogate_keys_start_after_the_highest(spark):
     df = spark.createDataFrame([(30,), (10,), (20,)], "n int")
     got = {r.n: r.key for r in ordered.with_surrogate_key(df, "key", ["n"], 7).collect()}
     assert got == {10: 8, 20: 9, 30: 10}
+
+
+def test_position_in_key_matches_row_number(spark):
+    from pyspark.sql import Window as W
+
+    df = spark.range(6000).select(
+        F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 5).alias("k"), (F.col("id") * 7919 % 97).alias("v"), "id"
+    )
+    got = ordered.position_in_key(df, ["k"], [F.col("v").desc(), F.col("id")], "p")
+    want = df.withColumn("p", F.row_number().over(W.partitionBy("k").orderBy(F.col("v").desc(), "id")))
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count()
