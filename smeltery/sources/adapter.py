@@ -270,11 +270,11 @@ _NAMES = {
         FROM {supplier}""",
     "silver_restricted_info": """
         SELECT CAST(s_suppkey * 2 + 2 AS BIGINT) AS person_key, DATE '1994-03-01' + CAST(s_suppkey % 900 AS INT) AS hire_date
-        FROM {supplier} WHERE s_suppkey % 4 <> 0""",
+        FROM {supplier} WHERE s_acctbal > 0""",
     "silver_person_location": """
         SELECT CAST(c_custkey + 1 AS BIGINT) AS person_location_key, CAST(c_custkey * 2 + 1 AS BIGINT) AS person_key,
                CAST(c_custkey % 10 + 1 AS BIGINT) AS location_key, c_custkey % 6 = 0 AS is_primary
-        FROM {customer} WHERE c_custkey % 7 <> 0
+        FROM {customer} WHERE c_acctbal >= 0
         UNION ALL
         SELECT CAST(1000000000 + c_custkey AS BIGINT), CAST(c_custkey * 2 + 1 AS BIGINT),
                CAST(c_custkey % 9 + 1 AS BIGINT), c_custkey % 12 = 3
