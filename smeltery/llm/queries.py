@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from smeltery.llm import language, packing, toxicity, urls, warc
+from smeltery.llm import language, near_dups, packing, substrings, toxicity, urls, warc
 from smeltery.llm.folders import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,14 @@ def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = language.train(docs, ~toxicity.held_out())
     found = language.identify(docs.drop("lang"), known)
     return found.select("doc_id", toxicity.held_out().alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@query("op10_substring_dedup")
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op3_near_dups")
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85, shingle=3)
