@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from smeltery.llm import language, near_dups, packing, substrings, toxicity, urls, warc
+from smeltery.llm import decontamination, language, near_dups, packing, quality, substrings, toxicity, urls, warc
 from smeltery.llm.folders import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,33 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_near_dups")
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85, shingle=3)
+
+
+@query(
+    "op5_decontamination",
+    r"""
+    WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    bw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    bl AS (SELECT item_id, w, least(10, len(w)) AS l FROM bw WHERE len(w) > 0),
+    bs AS (SELECT item_id, w, l, unnest(range(0, len(w) - l + 1)) AS s FROM bl),
+    bg AS (SELECT DISTINCT item_id, l, array_to_string(w[s + 1 : s + l], ' ') AS g FROM bs),
+    ds AS (SELECT doc_id, w, l, unnest(range(0, len(w) - l + 1)) AS s FROM dw, (SELECT DISTINCT l FROM bg) WHERE len(w) >= l),
+    dg AS (SELECT doc_id, s, l, array_to_string(w[s + 1 : s + l], ' ') AS g FROM ds),
+    hits AS (SELECT doc_id, s, l, item_id FROM dg JOIN bg USING (l, g)),
+    places AS (SELECT doc_id, unnest(range(s, s + l)) AS p FROM hits),
+    n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM places GROUP BY doc_id),
+    i AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS ids FROM hits GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items,
+           sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM dw LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id)
+    """,
+)
+def benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_benchmark(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return decontamination.decontamination_digest(found)
+
+
+@query("op8_quality_rules")
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
