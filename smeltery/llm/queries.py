@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from smeltery.llm import decontamination, language, near_dups, packing, quality, substrings, toxicity, urls, warc
+from smeltery.llm import decontamination, language, licenses, near_dups, packing, quality, substrings, toxicity, urls, warc
 from smeltery.llm.folders import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,21 @@ def benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query(
+    "op9_licenses",
+    r"""
+    WITH p AS (SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '\n')) AS line FROM documents),
+    s AS (SELECT doc_id, CASE trim(regexp_replace(lower(line), '[^\p{L}\p{N}]+', ' ', 'g'))
+            WHEN 'licensed under the apache license version 2 0' THEN 'Apache-2.0'
+            WHEN 'released under the mit license' THEN 'MIT'
+            WHEN 'this work is licensed under the gnu general public license version 3' THEN 'GPL-3.0-only'
+            WHEN 'licensed under cc by nc 4 0' THEN 'CC-BY-NC-4.0' END AS license FROM p),
+    g AS (SELECT doc_id, count(license) AS n, list_sort(list(DISTINCT license) FILTER (license IS NOT NULL)) AS l FROM s GROUP BY doc_id)
+    SELECT doc_id, CAST(n AS BIGINT) AS n_sentences, coalesce(array_to_string(l, ','), '') AS licenses FROM g
+    """,
+)
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.size("sentences").cast("long").alias("n_sentences"), F.array_join(F.array_sort("licenses"), ",").alias("licenses"))
