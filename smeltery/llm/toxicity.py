@@ -63,13 +63,12 @@ class FactorizationMachine:
         return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
-def choose_terms(term: np.ndarray, owner: np.ndarray, label: np.ndarray, size: int, least: int) -> np.ndarray:
-    """Terms in at least ``least`` texts whose presence tells most about the label (G statistic)."""
-    width = 1 << DOMAIN_BITS
-    both = np.bincount(term, minlength=width).astype(np.float64)
-    hits = np.bincount(term, label[owner].astype(np.float64), minlength=width)
+def choose_terms(place: np.ndarray, owner: np.ndarray, label: np.ndarray, terms: int, size: int, least: int) -> np.ndarray:
+    """Of ``terms`` numbered terms, those in at least ``least`` texts whose presence tells most about the label (G statistic)."""
+    both = np.bincount(place, minlength=terms).astype(np.float64)
+    hits = np.bincount(place[label[owner] == 1], minlength=terms).astype(np.float64)
     n, pos = float(len(label)), float(label.sum())
-    gain = np.zeros(width)
+    gain = np.zeros(terms)
     for cell, expected in (
         (hits, both * pos / n),
         (both - hits, both * (n - pos) / n),
@@ -93,10 +92,12 @@ def fit(term: np.ndarray, owner: np.ndarray, label: np.ndarray, size: int = 4096
     if not n or not pos or pos == n:
         share = (pos + 1) / (n + 2)
         return FactorizationMachine(np.zeros(0, np.int64), float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, rank)))
-    vocabulary = choose_terms(term, owner, label, size, least)
-    place = np.full(1 << DOMAIN_BITS, -1, dtype=np.int32)
-    place[vocabulary] = np.arange(len(vocabulary))
-    where = place[term]
+    known = np.unique(term)
+    where = np.searchsorted(known, term).astype(np.int32)
+    chosen = choose_terms(where, owner, label, len(known), size, least)
+    place = np.full(len(known), -1, dtype=np.int32)
+    place[chosen] = np.arange(len(chosen))
+    vocabulary, where = known[chosen], place[where]
     keep = where >= 0
     where, owner = where[keep], owner[keep]
     order = np.argsort(owner, kind="stable")
@@ -131,7 +132,7 @@ def fit(term: np.ndarray, owner: np.ndarray, label: np.ndarray, size: int = 4096
     return FactorizationMachine(vocabulary, float(bias), w, v)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, key: str = "doc_id", text: str = "text", label: str = "toxic", **settings) -> FactorizationMachine:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, key: str = "doc_id", text: str = "text", label: str = "toxic", **settings) -> FactorizationMachine:
     """Fit on at most ``max_rows`` labelled rows, the smallest by a hash of the key; whole texts are read.
 
     ``labels`` holds the rows that may be learned from. Null labels and keys are left out, a key labelled
@@ -157,7 +158,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, key: str =
     rows = picked.mapInArrow(run, "y int, terms binary").toArrow()
     y = np.array(rows.column("y").to_pylist(), dtype=np.int64)
     lists = [np.frombuffer(x, dtype="<i4") for x in rows.column("terms").to_pylist()]
-    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    owner = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
+    del rows
     return fit(np.concatenate(lists) if lists else np.zeros(0, np.int32), owner, (y > 0).astype(np.int64), **settings)
 
 
