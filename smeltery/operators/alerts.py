@@ -175,15 +175,14 @@ def alerts_active(
         severity, threshold = ruled["slow_query"]
         slow = slow_queries(logs, now, _clamp(threshold, 0.1, 3600.0) * 1000.0, limit)
         text = F.coalesce("query_text", F.lit(""))
-        snippet = F.when(F.length(text) > 120, F.concat(F.left(text, F.lit(120)), F.lit("…"))).otherwise(text)
         parts.append(
             _alert(
                 slow,
                 "slow_query",
                 severity,
-                F.concat(F.lit("slow_q_"), stable_id(F.left(snippet, F.lit(160)), F.col("collected_at").cast("string"))),
+                F.concat(F.lit("slow_q_"), stable_id(text, F.lit("|"), F.coalesce(F.col("collected_at").cast("string"), F.lit("")), F.lit("|"), F.col("log_id").cast("string"))),
                 F.concat(F.lit("Slow query ("), _text(F.col("mean_exec_time_ms").cast("double"), 0), F.lit(" ms mean)")),
-                F.when(snippet == "", "Query exceeded configured duration threshold.").otherwise(snippet),
+                F.when(text == "", "Query exceeded configured duration threshold.").otherwise(text),
                 F.col("collected_at"),
             )
         )
@@ -267,17 +266,20 @@ def incidents_sync(existing: DataFrame, alerts: DataFrame, run_ts) -> DataFrame:
     )
 
 
-def incidents_view(incidents: DataFrame, now, limit: int = 500) -> DataFrame:
-    """Open incidents and those resolved within a day, newest first."""
+def incidents_view(incidents: DataFrame, now, limit: int | None = None) -> DataFrame:
+    """Open incidents and those resolved within a day; ``limit`` keeps the newest."""
     shown = incidents.where(
         (F.col("status") == "open") | ((F.col("status") == "resolved") & (F.col("resolved_at") >= days_back(now, 1)))
     )
     order = [F.coalesce("started_at", "updated_at").desc_nulls_last(), F.col("updated_at").desc(), F.col("incident_id")]
-    return shown.orderBy(*order).limit(limit)
+    return shown if limit is None else shown.orderBy(*order).limit(limit)
 
 
-def anomalies_rules(stats: DataFrame, runs: DataFrame, jobs: DataFrame, now, top: int = 20) -> DataFrame:
-    """Failed runs of a week; tables far behind in inserts; tables with outsized rows."""
+def anomalies_rules(stats: DataFrame, runs: DataFrame, jobs: DataFrame, now, top: int | None = None) -> DataFrame:
+    """Failed runs of a week; tables far behind in inserts; tables with outsized rows.
+
+    ``top`` compares the tables of most inserts and bytes only; by default all are looked at.
+    """
     failed = runs.where((F.col("status") == "failed") & (F.col("started_at") >= days_back(now, 7)))
     failed = failed.join(jobs.select("job_id", "job_name"), "job_id")
     nothing = F.lit(None).cast("double")
@@ -291,7 +293,7 @@ def anomalies_rules(stats: DataFrame, runs: DataFrame, jobs: DataFrame, now, top
         nothing.alias("actual_value"),
         F.col("started_at").alias("occurred_at"),
     )
-    most = stats.orderBy(F.col("inserts").desc_nulls_last(), "layer", "table_name").limit(top)
+    most = _newest(stats, top, F.col("inserts").desc_nulls_last(), F.col("layer"), F.col("table_name"))
     mean = most.agg(F.sum("inserts").cast("double") / F.count("*")).scalar()
     name = F.concat_ws(".", "layer", "table_name")
     lagging = most.where((F.col("inserts") > 0) & (F.col("inserts") < mean * 0.1) & (mean > 1000)).select(
@@ -303,7 +305,7 @@ def anomalies_rules(stats: DataFrame, runs: DataFrame, jobs: DataFrame, now, top
         F.col("inserts").cast("double").alias("actual_value"),
         at(now).alias("occurred_at"),
     )
-    big = stats.where("live > 0").orderBy(F.col("bytes").desc_nulls_last(), "layer", "table_name").limit(top)
+    big = _newest(stats.where("live > 0"), top, F.col("bytes").desc_nulls_last(), F.col("layer"), F.col("table_name"))
     width = F.col("bytes").cast("double") / F.col("live")
     usual = big.agg(F.sum(width.cast("decimal(28,8)")).cast("double") / F.count("*")).scalar()
     wide = big.where((width > usual * 2) & (usual > 0)).select(
@@ -328,7 +330,7 @@ def alert_history(alerts: DataFrame, runs: DataFrame, jobs: DataFrame, now, days
         F.lit("etl_failure").alias("type"),
         F.lit("high").alias("severity"),
         F.concat(F.lit("ETL "), F.col("status"), F.lit(": "), F.coalesce("job_name", "run_id")).alias("title"),
-        F.left(F.coalesce("error_message", F.lit("Run failed")), F.lit(2000)).alias("message"),
+        F.coalesce("error_message", F.lit("Run failed")).alias("message"),
         F.col("started_at").alias("occurred_at"),
         F.col("completed_at").alias("resolved_at"),
         seconds_between(F.col("started_at"), F.col("completed_at")).alias("resolution_time_seconds"),

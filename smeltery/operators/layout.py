@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from smeltery.functions.exprs import ladder, tolerant_list, trimmed
+from smeltery.functions.ordered import ordered_index
 
 # Text patterns and name lists of the extraction.
 QUALIFIED = r"\b(SILVER|BRONZE|GOLD)\.([A-Z0-9_]+)\.([A-Z0-9_]+)\b\s*(=|IN\b|BETWEEN\b|>|<)"
@@ -313,7 +314,7 @@ def by_priority(recommendations: DataFrame) -> DataFrame:
 
 
 def weighted_recommendations(
-    logs: DataFrame, scores: DataFrame | None = None, min_evidence: int = 2, limit: int | None = 100
+    logs: DataFrame, scores: DataFrame | None = None, min_evidence: int = 2, limit: int | None = None
 ) -> DataFrame:
     """Benefit from time and reads, saturating; groups with little evidence stay out."""
     rows = logs.select("log_id", "query_text", F.coalesce(F.col("mean_exec_time_ms").cast("double"), F.lit(0.0)).alias("a"), F.coalesce(F.col("shared_blks_read"), F.lit(0)).alias("io"))
@@ -354,8 +355,8 @@ def weighted_recommendations(
     return out.orderBy(*order, "table_name", "column_name").limit(limit)
 
 
-def rule_recommendations(logs: DataFrame, min_calls: int = 10, sample: int | None = 50) -> DataFrame:
-    """Fixed rules for three tables over the most called filtering statements."""
+def rule_recommendations(logs: DataFrame, min_calls: int = 10, sample: int | None = None) -> DataFrame:
+    """Fixed rules for three tables over the filtering statements; ``sample`` looks at the most called only."""
     held = logs.where(F.col("query_text").contains("WHERE") & (F.col("calls") > min_calls))
     if sample is not None:
         held = held.orderBy(F.col("calls").desc(), F.col("mean_exec_time_ms").desc(), "log_id").limit(sample)
@@ -400,11 +401,12 @@ def leading_columns(catalog: DataFrame) -> DataFrame:
 
 
 def activity_recommendations(
-    stats: DataFrame, catalog: DataFrame, min_scans: int = 5, min_rows: int = 1000, min_mb: float = 0.25, top: int = 20
+    stats: DataFrame, catalog: DataFrame, min_scans: int = 5, min_rows: int = 1000, min_mb: float = 0.25, top: int | None = None
 ) -> DataFrame:
     """Much scanned tables: cluster by the first column, and large ones partition by time. ``reads`` count as scans."""
-    busy = stats.orderBy(F.col("reads").desc(), F.col("live").desc(), "layer", "table_name").limit(top)
-    busy = busy.where(F.col("reads") >= min_scans)
+    busy = stats.where(F.col("reads") >= min_scans)
+    if top is not None:
+        busy = busy.orderBy(F.col("reads").desc(), F.col("live").desc(), "layer", "table_name").limit(top)
     joined = busy.join(leading_columns(catalog), ["layer", "table_name"], "left")
     scans = F.col("reads")
     priority = F.when(scans > 100, "high").when(scans > 10, "medium").otherwise("low")
@@ -512,22 +514,25 @@ def merge_first_wins(sources: Sequence[DataFrame], keys: Sequence[str]) -> DataF
     return union.groupBy(*keys).agg(first).select(*keys, *[F.col(f"_r.{c}") for c in rest]).select(*columns)
 
 
-def alternate_sources(left: DataFrame, right: DataFrame, text: str, order: Sequence[str], limit: int) -> DataFrame:
-    """Two newest-first samples taken in turns, one row per text, up to the limit.
+def alternate_sources(left: DataFrame, right: DataFrame, text: str, order: Sequence[str], limit: int | None = None) -> DataFrame:
+    """Two newest-first lists taken in turns, one row per text; ``limit`` ends the joint list.
 
-    Both samples are cut to ``limit`` rows before they are ranked.
+    Each list holds a text once, at its newest row, before rows are ranked, so that repeats use up no turn.
     """
 
     def ranked(df: DataFrame, source: int) -> DataFrame:
         keys = [F.col(order[0]).desc(), *order[1:]]
-        cut = df.orderBy(*keys).limit(limit)
-        return cut.withColumn("_rank", F.row_number().over(W.orderBy(*keys))).withColumn("_source", F.lit(source))
+        clean = df.withColumn("_text", F.trim(F.coalesce(F.col(text), F.lit("")))).where("_text <> ''")
+        newest = F.max_by(F.struct(*df.columns), F.struct(order[0], *[-F.col(c) for c in order[1:]])).alias("r")
+        once = clean.groupBy("_text").agg(newest).select("_text", "r.*")
+        return ordered_index(once, keys, "_rank").withColumn("_source", F.lit(source))
 
     both = ranked(left, 0).unionByName(ranked(right, 1))
-    clean = both.withColumn("_text", F.trim(F.coalesce(F.col(text), F.lit("")))).where("_text <> ''")
     rest = [c for c in left.columns if c != text]
-    firsts = clean.groupBy("_text").agg(F.min(F.struct("_rank", "_source", text, *rest)).alias("r"))
-    return firsts.orderBy("r._rank", "r._source").limit(limit).select(*[F.col(f"r.{c}") for c in left.columns])
+    firsts = both.groupBy("_text").agg(F.min(F.struct("_rank", "_source", text, *rest)).alias("r"))
+    if limit is not None:
+        firsts = firsts.orderBy("r._rank", "r._source").limit(limit)
+    return firsts.select(*[F.col(f"r.{c}") for c in left.columns])
 
 
 def genuine_recommendations(
@@ -584,7 +589,7 @@ def with_status(recommendations: DataFrame, status: str) -> DataFrame:
     return recommendations.where(F.lower(F.coalesce(trimmed("status"), F.lit("pending"))) == status)
 
 
-def pending_recommendations(stored: DataFrame, limit: int | None = 100) -> DataFrame:
+def pending_recommendations(stored: DataFrame, limit: int | None = None) -> DataFrame:
     pending = with_status(stored, "pending").withColumn("status_norm", F.coalesce(trimmed("status"), F.lit("pending")))
     if limit is None:
         return pending

@@ -157,9 +157,9 @@ def silver_country(bronze: DataFrame, existing: DataFrame | None, run_ts) -> Dat
     rows = _fresh(bronze, "country", existing).select(
         "country_id",
         empty_to("country_name", "Unknown").alias("country_name"),
-        F.left(empty_to("country_code", "XXX"), F.lit(3)).alias("country_code"),
+        empty_to("country_code", "XXX").alias("country_code"),
         null_to("nat_lang_code", 1033).alias("national_language_code"),
-        F.left(empty_to("currency_code", "USD"), F.lit(10)).alias("currency_code"),
+        empty_to("currency_code", "USD").alias("currency_code"),
     )
     return stamp(rows, run_ts)
 
@@ -219,10 +219,10 @@ def silver_product(bronze: DataFrame, existing: DataFrame | None, run_ts) -> Dat
             lookup("weight_class", WEIGHT_CLASSES, "Standard").alias("weight_class_description"),
             _zero("warranty_period").alias("warranty_period_months"),
             _zero("supplier_id").alias("supplier_id"),
-            F.left(F.trim(empty_to("status", "ACTIVE")), F.lit(20)).alias("product_status"),
+            F.trim(empty_to("status", "ACTIVE")).alias("product_status"),
             list_price.alias("list_price"),
             least.alias("minimum_price"),
-            F.left(empty_to("price_currency", "USD"), F.lit(3)).alias("price_currency"),
+            empty_to("price_currency", "USD").alias("price_currency"),
             blank_to("catalog_url", link).alias("catalog_url"),
             money(margin, 12).alias("profit_margin"),
             F.round(F.when(list_price > 0, margin * 100 / list_price).otherwise(F.lit(0)), 2)
@@ -269,7 +269,7 @@ def silver_person(bronze: DataFrame, existing: DataFrame | None, run_ts) -> Data
             blank_to("nickname", full).alias("display_name"),
             null_to("nat_lang_code", 1033).alias("national_language_code"),
             null_to("culture_code", 1033).alias("culture_code"),
-            F.left(F.trim(empty_to("gender", "Unspecified")), F.lit(20)).alias("gender"),
+            F.trim(empty_to("gender", "Unspecified")).alias("gender"),
         ),
         run_ts,
     )
@@ -345,8 +345,8 @@ def silver_phone_number(
             "left",
         )
     )
-    area = F.left(F.trim(empty_to("country_code", "+1")), F.lit(5))
-    number = F.left(F.trim(empty_to("phone_number", "0000000000")), F.lit(20))
+    area = F.trim(empty_to("country_code", "+1"))
+    number = F.trim(empty_to("phone_number", "0000000000"))
     missing = F.coalesce(F.col("phone_type_id"), F.lit(0)) == 0
     return stamp(
         rows.select(
@@ -370,7 +370,7 @@ def silver_customer_company(bronze: DataFrame, existing: DataFrame | None, run_t
             "company_id",
             empty_to("company_name", "Unknown Company").alias("company_name"),
             limit.alias("credit_limit"),
-            F.left(empty_to("credit_limit_currency", "USD"), F.lit(3)).alias("credit_limit_currency"),
+            empty_to("credit_limit_currency", "USD").alias("credit_limit_currency"),
             ladder(limit, CREDIT_TIERS, "BRONZE").alias("credit_tier"),
         ),
         run_ts,
@@ -390,7 +390,7 @@ def silver_customer_employee(bronze: DataFrame, existing: DataFrame | None, run_
             blank_to("job_title", "Representative").alias("job_title"),
             blank_to("department", "General").alias("department"),
             money(F.coalesce("credit_limit", F.lit(0)), 12).alias("credit_limit"),
-            F.left(empty_to("credit_limit_currency", "USD"), F.lit(3)).alias("credit_limit_currency"),
+            empty_to("credit_limit_currency", "USD").alias("credit_limit_currency"),
         ),
         run_ts,
     )
@@ -518,11 +518,11 @@ def silver_orders(
         "customer_key",
         "sales_rep_key",
         F.coalesce("order_date", F.to_date(F.lit(run_ts))).alias("order_date"),
-        F.left(code, F.lit(20)).alias("order_code"),
+        code.alias("order_code"),
         status.alias("order_status"),
         status_category(status).alias("order_status_category"),
         money(F.coalesce("order_total", F.lit(0))).alias("order_total"),
-        F.left(empty_to("order_currency", "USD"), F.lit(3)).alias("order_currency"),
+        empty_to("order_currency", "USD").alias("order_currency"),
         promotion.alias("promotion_code"),
         (promotion != "").alias("has_promotion"),
     )

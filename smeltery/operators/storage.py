@@ -41,15 +41,17 @@ def storage_utilization(stats: DataFrame) -> DataFrame:
     )
 
 
-def _top(stats: DataFrame, size: str, n: int) -> DataFrame:
+def _top(stats: DataFrame, size: str, n: int | None) -> DataFrame:
+    if n is None:
+        return stats
     order = W.partitionBy("layer").orderBy(F.col(size).desc_nulls_last(), "table_name")
     return stats.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= n).drop("_rn")
 
 
-def growth_trends(stats: DataFrame, days: int = 30) -> DataFrame:
-    """Net operations per day and growth in percent, per layer over its ten largest tables."""
+def growth_trends(stats: DataFrame, days: int = 30, largest: int | None = None) -> DataFrame:
+    """Net operations per day and growth in percent per layer; ``largest`` looks at that many tables only."""
     sums = (
-        _top(stats, "live", 10)
+        _top(stats, "live", largest)
         .groupBy("layer")
         .agg(
             F.coalesce(F.sum("live"), F.lit(0)).alias("current_size"),
@@ -77,11 +79,11 @@ def growth_points(trends: DataFrame, as_of, days: int = 30) -> DataFrame:
     return spread.select("layer", "day", size.alias("projected_size"))
 
 
-def compression_stats(stats: DataFrame) -> DataFrame:
-    """Fixed-factor estimate for the ten largest tables of every layer, and the layer mean."""
+def compression_stats(stats: DataFrame, largest: int | None = None) -> DataFrame:
+    """Fixed-factor estimate for the tables of every layer, and the layer mean; ``largest`` keeps that many a layer."""
     filled = (F.col("row_count") > 0) & (F.col("table_bytes") > 0)
     saved = (UNCOMPRESSED_FACTOR - 1) / UNCOMPRESSED_FACTOR * 100
-    top = _top(stats, "bytes", 10).select(
+    top = _top(stats, "bytes", largest).select(
         "layer",
         "table_name",
         "row_count",
@@ -97,14 +99,15 @@ def _hit_rate(hits: Column, reads: Column) -> Column:
     return F.when(total > 0, hits.cast("double") / total * 100).otherwise(0.0)
 
 
-def cache_performance(stats: DataFrame, limit: int = 20) -> DataFrame:
-    """Hit rate and grade of the most hit tables, with a row for all of them together."""
+def cache_performance(stats: DataFrame, limit: int | None = None) -> DataFrame:
+    """Hit rate and grade of every table and of all together; ``limit`` lists only the most hit tables."""
     hits, reads = F.coalesce("hits", F.lit(0)), F.coalesce("reads", F.lit(0))
-    top = stats.orderBy(F.col("hits").desc_nulls_last(), "layer", "table_name").limit(limit)
-    per_table = top.select(
-        F.concat_ws(".", "layer", "table_name").alias("table_name"), hits.alias("cache_hits"), reads.alias("disk_reads")
+    counted = stats.select(
+        "layer", F.concat_ws(".", "layer", "table_name").alias("table_name"), hits.alias("cache_hits"), reads.alias("disk_reads")
     )
-    overall = per_table.agg(
+    shown = counted if limit is None else counted.orderBy(F.col("cache_hits").desc(), "layer", "table_name").limit(limit)
+    per_table = shown.drop("layer")
+    overall = counted.agg(
         F.sum("cache_hits").alias("cache_hits"), F.sum("disk_reads").alias("disk_reads")
     ).select(F.lit("overall").alias("table_name"), "cache_hits", "disk_reads")
     rate = _hit_rate(F.col("cache_hits"), F.col("disk_reads"))

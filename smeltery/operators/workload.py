@@ -17,7 +17,7 @@ from smeltery.session import durable
 # Statement kinds, aggregate words, thresholds.
 STATEMENT_KINDS = ("SELECT", "INSERT", "UPDATE", "DELETE", "CREATE", "ALTER", "DROP")
 AGGREGATE_WORDS = ("COUNT", "SUM", "AVG", "MIN", "MAX", "GROUP BY")
-LOOK_AHEAD = 100
+NEXT_CLAUSE = r"(?s)^(.*?)(?:\b(?:HAVING|ORDER BY|LIMIT|OFFSET|WINDOW|UNION)\b|$)"
 SLOW_AVG_MS = Decimal("1000")
 SLOW_P95_MS = Decimal("2000")
 COUNTERS = (
@@ -82,9 +82,10 @@ def _occurrences(text: Column, word: str) -> Column:
 
 
 def _listed_after(text: Column, upper: Column, clause: str) -> Column:
-    """Commas in the stretch from the clause on, plus one; 0 without the clause."""
+    """Commas from the clause to the next one, plus one; 0 without the clause."""
     spot = F.locate(clause, upper)
-    stretch = F.substr(text, spot, F.lit(LOOK_AHEAD))
+    rest = F.substr(upper, spot + F.lit(len(clause)))
+    stretch = F.regexp_extract(rest, NEXT_CLAUSE, 1)
     return F.when(spot > 0, _occurrences(stretch, ",") + 1).otherwise(0)
 
 
@@ -277,7 +278,7 @@ def query_previews(logs: DataFrame) -> DataFrame:
     """Text, or else template, of the newest row of every statement."""
     shown = F.coalesce(trimmed("query_text"), trimmed("query_template"))
     newest = F.max_by(shown, F.struct("collected_at", "log_id"))
-    return logs.groupBy("query_hash").agg(F.left(F.coalesce(newest, F.lit("")), F.lit(4000)).alias("preview"))
+    return logs.groupBy("query_hash").agg(F.coalesce(newest, F.lit("")).alias("preview"))
 
 
 def hourly_calls(logs: DataFrame, start: str, end: str) -> DataFrame:
@@ -497,8 +498,8 @@ def sample_quality(logs: DataFrame, limit: int | None = None) -> DataFrame:
     )
 
 
-def cache_candidate_base(logs: DataFrame, sample: int | None = None, limit: int = 50) -> DataFrame:
-    """Samples, calls and mean time per text, most called first."""
+def cache_candidate_base(logs: DataFrame, sample: int | None = None, limit: int | None = None) -> DataFrame:
+    """Samples, calls and mean time per text; ``limit`` keeps the most called."""
     rows = with_row_total(newest_sample(logs, sample))
     sums = rows.groupBy("query_text").agg(
         F.count("*").alias("sample_count"), F.sum("_calls").cast("double").alias("calls_sum"), F.sum("_total").alias("t")
@@ -507,8 +508,9 @@ def cache_candidate_base(logs: DataFrame, sample: int | None = None, limit: int
         "query_text", "sample_count", "calls_sum", ratio(F.col("t"), F.col("calls_sum")).alias("mean_exec_ms")
     )
     order = [F.col("calls_sum").desc(), F.col("mean_exec_ms").desc_nulls_last(), F.col("query_text")]
-    return measured.orderBy(*order).limit(limit).select(
-        F.left("query_text", F.lit(180)).alias("query_preview"), "sample_count", "calls_sum", "mean_exec_ms"
+    held = measured if limit is None else measured.orderBy(*order).limit(limit)
+    return held.select(
+        F.col("query_text").alias("query_preview"), "sample_count", "calls_sum", "mean_exec_ms"
     )
 
 
@@ -543,7 +545,7 @@ def cache_features(logs: DataFrame) -> DataFrame:
     )
 
 
-def cache_heuristic(features: DataFrame, threshold: float = 0.7, limit: int | None = 50) -> DataFrame:
+def cache_heuristic(features: DataFrame, threshold: float = 0.7, limit: int | None = None) -> DataFrame:
     """Chance of a worthwhile cache entry from call volume and time, without a model."""
     busy = F.least(F.col("calls_sum") / 100.0, F.lit(1.0))
     slow = F.least(F.col("mean_exec_ms") / 1000.0, F.lit(1.0))
@@ -552,7 +554,7 @@ def cache_heuristic(features: DataFrame, threshold: float = 0.7, limit: int | No
     if limit is not None:
         held = held.orderBy(F.col("cache_probability").desc(), "query_text").limit(limit)
     return held.select(
-        F.left("query_text", F.lit(500)).alias("query_preview"),
+        F.col("query_text").alias("query_preview"),
         "cache_probability",
         "sample_count",
         "calls_sum",
@@ -580,7 +582,7 @@ def before_after(latencies: DataFrame) -> DataFrame:
     stats = stats.select("scenario", "variant", ((F.col("lo") + F.col("hi")) / 2).alias("p50"), "p95", "p99")
     old = stats.where("variant = 'baseline'").drop("variant")
     new = stats.where("variant = 'optimized'").select("scenario", *[F.col(p).alias(f"new_{p}") for p in ("p50", "p95", "p99")])
-    cut = {p: (F.col(p) - F.col(f"new_{p}")) / F.col(p) * 100 for p in ("p50", "p95", "p99")}
+    cut = {p: ratio(F.col(p) - F.col(f"new_{p}"), F.col(p)) * 100 for p in ("p50", "p95", "p99")}
     return old.join(new, "scenario").select(
         "scenario",
         *[c.alias(f"{p}_reduction_pct") for p, c in cut.items()],

@@ -123,7 +123,7 @@ def _layout_top(t):
           FROM all_pairs JOIN query_logs USING (log_id) JOIN model_scores USING (log_id) WHERE type = 'index' GROUP BY ALL HAVING COUNT(*) >= 2),
        b AS (SELECT *, a / n * n + io / n * 0.5::DOUBLE AS ben FROM g), r AS (SELECT *, 0.1::DOUBLE + 0.4::DOUBLE * (ben / (ben + 1000000)) AS gain FROM b)
        SELECT table_name, column_name, n AS query_count, a / n AS avg_execution_ms, CASE WHEN p > 0 THEN p / n ELSE a / n END AS predicted_avg_ms, gain AS estimated_improvement,
-         CASE WHEN gain >= 0.35::DOUBLE THEN 'high' WHEN gain >= 0.2::DOUBLE THEN 'medium' ELSE 'low' END AS priority FROM r ORDER BY priority DESC, gain DESC, query_count DESC, table_name, column_name LIMIT 100""",
+         CASE WHEN gain >= 0.35::DOUBLE THEN 'high' WHEN gain >= 0.2::DOUBLE THEN 'medium' ELSE 'low' END AS priority FROM r""",
 )
 def _weighted(t):
     return layout.weighted_recommendations(t("query_logs"), t("model_scores"))
@@ -131,7 +131,7 @@ def _weighted(t):
 
 @query(
     "rule_recommendations",
-    """WITH s AS (SELECT *, UPPER(query_text) AS u, mean_exec_time_ms::DOUBLE AS ms FROM query_logs WHERE CONTAINS(query_text, 'WHERE') AND calls > 10 ORDER BY calls DESC, mean_exec_time_ms DESC, log_id LIMIT 50),
+    """WITH s AS (SELECT *, UPPER(query_text) AS u, mean_exec_time_ms::DOUBLE AS ms FROM query_logs WHERE CONTAINS(query_text, 'WHERE') AND calls > 10),
        h AS (SELECT *, CASE WHEN CONTAINS(u, 'SILVER.ORDERS') AND CONTAINS(u, 'ORDER_DATE') THEN 'silver.orders' WHEN CONTAINS(u, 'SILVER.CUSTOMERS') AND CONTAINS(u, 'CUSTOMER_ID') THEN 'silver.customers'
               WHEN CONTAINS(u, 'SILVER.PRODUCTS') AND (CONTAINS(u, 'PRODUCT_ID') OR CONTAINS(u, 'CATEGORY')) THEN 'silver.products' END AS tb FROM s),
        k AS (SELECT *, CASE tb WHEN 'silver.orders' THEN 'order_date' WHEN 'silver.customers' THEN 'customer_id' ELSE CASE WHEN CONTAINS(u, 'PRODUCT_ID') THEN 'product_id' ELSE 'category' END END AS cn FROM h WHERE tb IS NOT NULL)
@@ -158,7 +158,7 @@ def _leading(t):
 @query(
     "activity_recommendations",
     """WITH b AS (SELECT s.*, first_column, time_column, s.layer || '.' || s.table_name AS nm, CASE WHEN reads > 100 THEN 'high' WHEN reads > 10 THEN 'medium' ELSE 'low' END AS pri
-          FROM (SELECT * FROM table_stats ORDER BY reads DESC, live DESC, layer, table_name LIMIT 20) s LEFT JOIN lead_columns l ON l.layer = s.layer AND l.table_name = s.table_name WHERE reads >= 5)
+          FROM table_stats s LEFT JOIN lead_columns l ON l.layer = s.layer AND l.table_name = s.table_name WHERE reads >= 5)
        SELECT 'index' AS type, nm AS table_name, COALESCE(first_column, 'id') AS column_name, 0.25::DOUBLE AS estimated_improvement, 0.15::DOUBLE AS cost, pri AS priority, reads AS query_count FROM b
        UNION ALL SELECT 'partition', nm, time_column, 0.2, 0.2, pri, reads FROM b WHERE (live >= 1000 OR bytes / 1048576.0 >= 0.25) AND time_column IS NOT NULL""",
 )
@@ -225,14 +225,12 @@ def _merge(t):
 
 @query(
     "alternated_samples",
-    """WITH a AS (SELECT query_text, ROW_NUMBER() OVER (ORDER BY collected_at DESC, log_id) AS r, 0 AS s FROM query_logs WHERE calls > 50 QUALIFY r <= 200),
-       b AS (SELECT query_text, ROW_NUMBER() OVER (ORDER BY collected_at DESC, log_id) AS r, 1 AS s FROM query_logs WHERE calls <= 50 QUALIFY r <= 200)
-       SELECT query_text FROM (SELECT * FROM (SELECT * FROM a UNION ALL SELECT * FROM b) QUALIFY ROW_NUMBER() OVER (PARTITION BY TRIM(query_text) ORDER BY r, s) = 1) ORDER BY r, s LIMIT 200""",
+    """SELECT query_text FROM query_logs WHERE TRIM(query_text) <> '' GROUP BY query_text""",
 )
 def _alternated(t):
     rows = t("query_logs").select("query_text", "collected_at", "log_id", "calls")
     both = layout.alternate_sources(
-        rows.where("calls > 50"), rows.where("calls <= 50"), "query_text", ["collected_at", "log_id"], 200
+        rows.where("calls > 50"), rows.where("calls <= 50"), "query_text", ["collected_at", "log_id"]
     )
     return both.select("query_text")
 
@@ -265,8 +263,7 @@ def _suppressed(t):
 
 @query(
     "pending_recommendations",
-    """SELECT recommendation_id, table_name, 'pending' AS status_norm FROM stored_recommendations WHERE LOWER(COALESCE(NULLIF(TRIM(status), ''), 'pending')) = 'pending'
-       ORDER BY applied_at DESC, recommendation_id LIMIT 100""",
+    """SELECT recommendation_id, table_name, 'pending' AS status_norm FROM stored_recommendations WHERE LOWER(COALESCE(NULLIF(TRIM(status), ''), 'pending')) = 'pending'""",
 )
 def _pending(t):
     rows = layout.pending_recommendations(t("stored_recommendations"))

@@ -62,7 +62,7 @@ def _compression(t):
 
 @query(
     "cache_performance",
-    """WITH x AS (SELECT layer || '.' || table_name AS table_name, hits AS cache_hits, reads AS disk_reads FROM table_stats ORDER BY hits DESC, layer, table_stats.table_name LIMIT 20),
+    """WITH x AS (SELECT layer || '.' || table_name AS table_name, hits AS cache_hits, reads AS disk_reads FROM table_stats),
        y AS (SELECT * FROM x UNION ALL SELECT 'overall', SUM(cache_hits)::BIGINT, SUM(disk_reads)::BIGINT FROM x),
        z AS (SELECT *, CASE WHEN cache_hits + disk_reads > 0 THEN cache_hits::DOUBLE / (cache_hits + disk_reads) * 100 ELSE 0 END::DOUBLE AS r FROM y)
        SELECT table_name, cache_hits, disk_reads, ROUND(r, 2) AS hit_rate,
@@ -364,8 +364,8 @@ sql_table(
         UNION ALL SELECT 'etl_' || status || '_' || run_id, 'etl_failure', 'high', 'ETL job ' || status || ': ' || job_name,
           'ETL job ''' || job_name || ''' on layer ' || COALESCE(layer, 'unknown') || COALESCE(' for table ' || table_name, '') || ' finished with status ' || UPPER(status) || '.' || COALESCE(' Error: ' || error_message, ''),
           layer, table_name, started_at FROM job_runs JOIN etl_jobs USING (job_id) WHERE status IN ('failed', 'error') AND started_at >= {_NOW} - INTERVAL 1 DAY
-        UNION ALL SELECT 'slow_q_' || SUBSTR(sha256(SUBSTR(sn, 1, 160) || collected_at::VARCHAR), 1, 24), 'slow_query', 'high', 'Slow query (' || ROUND(mean_exec_time_ms::DOUBLE, 0) || ' ms mean)', sn, NULL, NULL, collected_at
-          FROM (SELECT *, CASE WHEN LENGTH(query_text) > 120 THEN SUBSTR(query_text, 1, 120) || '…' ELSE query_text END AS sn FROM query_logs WHERE mean_exec_time_ms > 5000 AND collected_at >= {_NOW} - INTERVAL 1 DAY)""",
+        UNION ALL SELECT 'slow_q_' || SUBSTR(sha256(COALESCE(query_text, '') || '|' || COALESCE(collected_at::VARCHAR, '') || '|' || log_id), 1, 24), 'slow_query', 'high', 'Slow query (' || ROUND(mean_exec_time_ms::DOUBLE, 0) || ' ms mean)', query_text, NULL, NULL, collected_at
+          FROM query_logs WHERE mean_exec_time_ms > 5000 AND collected_at >= {_NOW} - INTERVAL 1 DAY""",
 )
 sql_table("acks", "SELECT 'etl_failed_' || run_id AS alert_id FROM job_runs WHERE progress > 70")
 sql_table("live_alerts", "SELECT *, 'active' AS status FROM raw_alerts WHERE alert_id NOT IN (SELECT alert_id FROM acks)")
@@ -466,7 +466,7 @@ def _incidents(t):
 @query(
     "incidents_view",
     f"""SELECT * FROM synced WHERE status = 'open' OR (status = 'resolved' AND resolved_at >= {_NOW} - INTERVAL 1 DAY)
-        ORDER BY COALESCE(started_at, updated_at) DESC NULLS LAST, updated_at DESC, incident_id LIMIT 500""",
+        """,
 )
 def _incidents_view(t):
     return alerts.incidents_view(_synced(t), AS_OF_TS)
@@ -474,8 +474,8 @@ def _incidents_view(t):
 
 @query(
     "anomalies_rules",
-    f"""WITH m AS (SELECT * FROM table_stats ORDER BY inserts DESC, layer, table_name LIMIT 20), a AS (SELECT SUM(inserts)::DOUBLE / COUNT(*) AS v FROM m),
-        b AS (SELECT * FROM table_stats WHERE live > 0 ORDER BY bytes DESC, layer, table_name LIMIT 20), u AS (SELECT SUM((bytes::DOUBLE / live)::DECIMAL(28,8))::DOUBLE / COUNT(*) AS v FROM b)
+    f"""WITH m AS (SELECT * FROM table_stats), a AS (SELECT SUM(inserts)::DOUBLE / COUNT(*) AS v FROM m),
+        b AS (SELECT * FROM table_stats WHERE live > 0), u AS (SELECT SUM((bytes::DOUBLE / live)::DECIMAL(28,8))::DOUBLE / COUNT(*) AS v FROM b)
         SELECT 'anomaly_etl_failure_' || run_id AS anomaly_id, 'etl_failure' AS type, 'high' AS severity,
           CASE WHEN layer IS NOT NULL OR table_name IS NOT NULL THEN COALESCE(layer, 'unknown') || '.' || COALESCE(table_name, 'unknown') END AS table_name, NULL::DOUBLE AS expected_value, NULL::DOUBLE AS actual_value, started_at AS occurred_at
           FROM job_runs JOIN etl_jobs USING (job_id) WHERE status = 'failed' AND started_at >= {_NOW} - INTERVAL 7 DAY

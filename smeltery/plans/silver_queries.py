@@ -58,9 +58,9 @@ def _empty(column: str, default: str) -> str:
 @query(
     "silver_country",
     f"""SELECT country_id, {_empty('country_name', "'Unknown'")} AS country_name,
-        SUBSTR({_empty('country_code', "'XXX'")}, 1, 3) AS country_code,
+        {_empty('country_code', "'XXX'")} AS country_code,
         COALESCE(nat_lang_code, 1033) AS national_language_code,
-        SUBSTR({_empty('currency_code', "'USD'")}, 1, 10) AS currency_code, {_STAMP} FROM newest_country""",
+        {_empty('currency_code', "'USD'")} AS currency_code, {_STAMP} FROM newest_country""",
 )
 def _country(t):
     return silver.silver_country(t("bronze_country"), None, RUN_TS)
@@ -103,8 +103,8 @@ def _warehouse(t):
         CASE weight_class WHEN 1 THEN 'Light' WHEN 2 THEN 'Medium' WHEN 3 THEN 'Heavy' WHEN 4 THEN 'Very Heavy'
              WHEN 5 THEN 'Extra Heavy' ELSE 'Standard' END AS weight_class_description,
         COALESCE(warranty_period, 0) AS warranty_period_months, COALESCE(supplier_id, 0) AS supplier_id,
-        SUBSTR(TRIM({_empty('status', "'ACTIVE'")}), 1, 20) AS product_status, lp::DOUBLE AS list_price, mp::DOUBLE AS minimum_price,
-        SUBSTR({_empty('price_currency', "'USD'")}, 1, 3) AS price_currency,
+        TRIM({_empty('status', "'ACTIVE'")}) AS product_status, lp::DOUBLE AS list_price, mp::DOUBLE AS minimum_price,
+        {_empty('price_currency', "'USD'")} AS price_currency,
         COALESCE(NULLIF(TRIM(catalog_url), ''), 'https://catalog.local/product/' || product_id) AS catalog_url,
         (lp - mp)::DOUBLE AS profit_margin,
         CASE WHEN lc > 0 THEN ((2 * (lc - mc) * 10000 + lc) // (2 * lc)) / 100.0 ELSE 0 END::DOUBLE AS profit_margin_pct, {_STAMP}
@@ -135,7 +135,7 @@ _FULL = f"CONCAT_WS(' ', {_FN}, NULLIF(TRIM(middle_names), ''), {_LN})"
     f"""SELECT person_id, {_FN} AS first_name, {_LN} AS last_name, {_blank('middle_names', "'—'")} AS middle_names,
         {_blank('nickname', "'—'")} AS nickname, {_FULL} AS full_name, {_blank('nickname', _FULL)} AS display_name,
         COALESCE(nat_lang_code, 1033) AS national_language_code, COALESCE(culture_code, 1033) AS culture_code,
-        SUBSTR(TRIM({_empty('gender', "'Unspecified'")}), 1, 20) AS gender, {_STAMP} FROM newest_person""",
+        TRIM({_empty('gender', "'Unspecified'")}) AS gender, {_STAMP} FROM newest_person""",
 )
 def _person(t):
     return silver.silver_person(t("bronze_person"), None, RUN_TS)
@@ -182,9 +182,9 @@ def _person_location(t):
 @query(
     "silver_phone_number",
     f"""SELECT phone_number_id AS phone_id, p.person_key, l.location_key,
-        SUBSTR(TRIM({_empty('phone_number', "'0000000000'")}), 1, 20) AS phone_number,
-        SUBSTR(TRIM({_empty('country_code', "'+1'")}), 1, 5) AS country_code,
-        TRIM(SUBSTR(TRIM({_empty('country_code', "'+1'")}), 1, 5) || ' ' || SUBSTR(TRIM({_empty('phone_number', "'0000000000'")}), 1, 20)) AS full_phone_number,
+        TRIM({_empty('phone_number', "'0000000000'")}) AS phone_number,
+        TRIM({_empty('country_code', "'+1'")}) AS country_code,
+        TRIM(TRIM({_empty('country_code', "'+1'")}) || ' ' || TRIM({_empty('phone_number', "'0000000000'")})) AS full_phone_number,
         CASE WHEN COALESCE(phone_type_id, 0) = 0 OR phone_type_id = 1 THEN 'MOBILE' WHEN phone_type_id = 2 THEN 'HOME'
              WHEN phone_type_id = 3 THEN 'WORK' WHEN phone_type_id = 4 THEN 'FAX' ELSE 'OTHER' END AS phone_type,
         FALSE AS is_primary, {_STAMP}
@@ -200,7 +200,7 @@ def _phone(t):
     "silver_customer_company",
     f"""SELECT company_id, {_empty('company_name', "'Unknown Company'")} AS company_name,
         COALESCE(company_credit_limit, 0)::DOUBLE AS credit_limit,
-        SUBSTR({_empty('credit_limit_currency', "'USD'")}, 1, 3) AS credit_limit_currency,
+        {_empty('credit_limit_currency', "'USD'")} AS credit_limit_currency,
         CASE WHEN company_credit_limit >= 1000000 THEN 'PLATINUM' WHEN company_credit_limit >= 500000 THEN 'GOLD'
              WHEN company_credit_limit >= 100000 THEN 'SILVER' ELSE 'BRONZE' END AS credit_tier, {_STAMP}
         FROM newest_customer_company""",
@@ -215,7 +215,7 @@ def _company(t):
         COALESCE(NULLIF(TRIM(badge_number), ''), printf('BADGE-%06d', customer_employee_id)) AS badge_number,
         {_blank('job_title', "'Representative'")} AS job_title, {_blank('department', "'General'")} AS department,
         COALESCE(credit_limit, 0)::DOUBLE AS credit_limit,
-        SUBSTR({_empty('credit_limit_currency', "'USD'")}, 1, 3) AS credit_limit_currency, {_STAMP}
+        {_empty('credit_limit_currency', "'USD'")} AS credit_limit_currency, {_STAMP}
         FROM newest_customer_employee LEFT JOIN (SELECT company_id, company_key FROM silver_customer_company) USING (company_id)""",
 )
 def _customer_employee(t):
@@ -279,12 +279,12 @@ _STATUS = _empty("o.order_status", "'PENDING'")
 @query(
     "silver_orders",
     f"""SELECT o.order_id, c.customer_key, e.employee_key AS sales_rep_key, COALESCE(o.order_date, {_TODAY}) AS order_date,
-        SUBSTR(COALESCE(NULLIF(TRIM(o.order_code), ''), printf('ORD-%010d', o.order_id)), 1, 20) AS order_code,
+        COALESCE(NULLIF(TRIM(o.order_code), ''), printf('ORD-%010d', o.order_id)) AS order_code,
         UPPER({_STATUS}) AS order_status,
         CASE WHEN UPPER({_STATUS}) IN ('PENDING', 'PROCESSING') THEN 'PROCESSING'
              WHEN UPPER({_STATUS}) IN ('SHIPPED', 'DELIVERED', 'COMPLETED') THEN 'COMPLETED'
              WHEN UPPER({_STATUS}) IN ('CANCELLED', 'CANCELED') THEN 'CANCELLED' ELSE 'PENDING' END AS order_status_category,
-        COALESCE(o.order_total, 0)::DOUBLE AS order_total, SUBSTR({_empty('o.order_currency', "'USD'")}, 1, 3) AS order_currency,
+        COALESCE(o.order_total, 0)::DOUBLE AS order_total, {_empty('o.order_currency', "'USD'")} AS order_currency,
         {_blank('o.promotion_code', "''")} AS promotion_code, {_blank('o.promotion_code', "''")} <> '' AS has_promotion, {_SHORT_STAMP}
         FROM newest_known_orders o JOIN (SELECT customer_id, customer_key FROM silver_customer) c USING (customer_id)
         LEFT JOIN (SELECT employee_id, employee_key FROM silver_employee WHERE employee_id <> 0) e ON e.employee_id = o.sales_rep_id""",

@@ -28,7 +28,8 @@ _TAIL = f"SUBSTR(query_text, STRPOS({_U}, 'WHERE'))"
 
 
 def _listed(clause):
-    stretch = f"SUBSTR(query_text, STRPOS({_U}, '{clause}'), 100)"
+    rest = f"SUBSTR({_U}, STRPOS({_U}, '{clause}') + {len(clause)})"
+    stretch = rf"regexp_extract({rest}, '(?s)^(.*?)(?:\b(?:HAVING|ORDER BY|LIMIT|OFFSET|WINDOW|UNION)\b|$)', 1)"
     return f"CASE WHEN STRPOS({_U}, '{clause}') > 0 THEN {_count(stretch, ',')} + 1 ELSE 0 END::INTEGER"
 
 
@@ -276,24 +277,24 @@ def _classes(t):
     return workload.workload_classes(t("query_logs"))
 
 
-_SAMPLE = "(SELECT * FROM timed_logs WHERE TRIM(query_text) <> '' AND (COALESCE(mean_exec_time_ms, 0) > 0 OR COALESCE(calls, 0) > 0) ORDER BY collected_at DESC, log_id LIMIT {})"
+_SAMPLE = "(SELECT * FROM timed_logs WHERE TRIM(query_text) <> '' AND (COALESCE(mean_exec_time_ms, 0) > 0 OR COALESCE(calls, 0) > 0))"
 
 
 @query(
     "sample_quality",
-    f"SELECT COUNT(*) AS sampled_rows, COUNT(*) FILTER (WHERE extracted_features IS NULL) AS missing_extracted_features, MAX(collected_at) AS data_watermark_utc FROM {_SAMPLE.format(5000)}",
+    f"SELECT COUNT(*) AS sampled_rows, COUNT(*) FILTER (WHERE extracted_features IS NULL) AS missing_extracted_features, MAX(collected_at) AS data_watermark_utc FROM {_SAMPLE}",
 )
 def _quality(t):
-    return workload.sample_quality(t("query_logs"), 5000)
+    return workload.sample_quality(t("query_logs"))
 
 
 @query(
     "cache_candidate_base",
-    f"""SELECT SUBSTR(query_text, 1, 180) AS query_preview, COUNT(*) AS sample_count, SUM(c)::DOUBLE AS calls_sum, SUM(tot)::DOUBLE / NULLIF(SUM(c)::DOUBLE, 0) AS mean_exec_ms
-        FROM {_SAMPLE.format(8000)} GROUP BY query_text ORDER BY calls_sum DESC, mean_exec_ms DESC NULLS LAST, query_text LIMIT 50""",
+    f"""SELECT query_text AS query_preview, COUNT(*) AS sample_count, SUM(c)::DOUBLE AS calls_sum, SUM(tot)::DOUBLE / NULLIF(SUM(c)::DOUBLE, 0) AS mean_exec_ms
+        FROM {_SAMPLE} GROUP BY query_text""",
 )
 def _cache_base(t):
-    return workload.cache_candidate_base(t("query_logs"), 8000, 50)
+    return workload.cache_candidate_base(t("query_logs"))
 
 
 sql_table(
@@ -313,9 +314,8 @@ def _cache_features(t):
 
 @query(
     "cache_heuristic",
-    """SELECT SUBSTR(query_text, 1, 500) AS query_preview, LEAST(0.99::DOUBLE, LEAST(calls_sum / 100, 1) * 0.6::DOUBLE + LEAST(mean_exec_ms / 1000, 1) * 0.4::DOUBLE) AS cache_probability,
-       sample_count, calls_sum, mean_exec_ms, sample_log_id FROM cache_feats WHERE LEAST(0.99::DOUBLE, LEAST(calls_sum / 100, 1) * 0.6::DOUBLE + LEAST(mean_exec_ms / 1000, 1) * 0.4::DOUBLE) >= 0.7::DOUBLE
-       ORDER BY cache_probability DESC, query_text LIMIT 50""",
+    """SELECT query_text AS query_preview, LEAST(0.99::DOUBLE, LEAST(calls_sum / 100, 1) * 0.6::DOUBLE + LEAST(mean_exec_ms / 1000, 1) * 0.4::DOUBLE) AS cache_probability,
+       sample_count, calls_sum, mean_exec_ms, sample_log_id FROM cache_feats WHERE LEAST(0.99::DOUBLE, LEAST(calls_sum / 100, 1) * 0.6::DOUBLE + LEAST(mean_exec_ms / 1000, 1) * 0.4::DOUBLE) >= 0.7::DOUBLE""",
 )
 def _cache_heuristic(t):
     return workload.cache_heuristic(workload.cache_features(t("query_logs")))
