@@ -350,27 +350,43 @@ def alert_history(alerts: DataFrame, runs: DataFrame, jobs: DataFrame, now, days
     return past.unionByName(present)
 
 
-def sustained_alerts(metrics: DataFrame, rules=SUSTAINED_RULES, slide: str = "1 minute") -> DataFrame:
-    """Windows as long as a rule demands in which every sample breaks its threshold.
+def sustained_alerts(metrics: DataFrame, rules=SUSTAINED_RULES) -> DataFrame:
+    """Windows as long as a rule demands, one from each minute, in which every sample breaks its threshold.
 
-    Samples meet only the rules of their metric; each rule's windows slide by a minute and
-    keep just the extremes, so they combine before the shuffle.
+    One scan: samples become extremes per host, metric and minute, and only these minutes are laid into the
+    windows of the rules for their metric.
     """
-    frames = []
-    for name, metric, op, threshold, minutes, severity in rules:
-        held = metrics.where(F.col("metric") == metric)
-        spans = held.groupBy("host", F.window("observed_at", f"{minutes} minutes", slide).alias("w")).agg(
-            F.min("value").alias("lowest"), F.max("value").alias("highest"), F.count("*").alias("samples")
-        )
-        breach = F.col("lowest") > threshold if op == ">" else F.col("highest") < threshold
-        frames.append(
-            spans.where(breach).select(
+    listed = F.array(
+        *[
+            F.struct(
                 F.lit(name).alias("rule"),
+                F.lit(metric).alias("metric"),
+                F.lit(op).alias("op"),
+                F.lit(float(threshold)).alias("threshold"),
+                F.lit(int(minutes)).alias("minutes"),
                 F.lit(severity).alias("severity"),
-                "host",
-                F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                F.col("w.end").cast("timestamp_ntz").alias("window_end"),
-                "samples",
             )
-        )
-    return reduce(lambda a, b: a.unionByName(b), frames)
+            for name, metric, op, threshold, minutes, severity in rules
+        ]
+    )
+    wanted = sorted({metric for _, metric, *_ in rules})
+    per_minute = (
+        metrics.where(F.col("metric").isin(wanted))
+        .groupBy("host", "metric", F.date_trunc("minute", "observed_at").alias("minute"))
+        .agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("n"))
+    )
+    met = per_minute.select("host", "metric", "minute", "low", "high", "n", F.explode(F.filter(listed, lambda r: r["metric"] == F.col("metric"))).alias("r"))
+    laid = met.select("host", "minute", "low", "high", "n", "r", F.explode(F.sequence(F.lit(0), F.col("r.minutes") - 1)).alias("back"))
+    start = F.col("minute") - F.make_dt_interval(mins=F.col("back"))
+    spans = laid.groupBy("r", "host", start.alias("start")).agg(
+        F.min("low").alias("lowest"), F.max("high").alias("highest"), F.sum("n").alias("samples")
+    )
+    breach = F.when(F.col("r.op") == ">", F.col("lowest") > F.col("r.threshold")).otherwise(F.col("highest") < F.col("r.threshold"))
+    return spans.where(breach).select(
+        F.col("r.rule").alias("rule"),
+        F.col("r.severity").alias("severity"),
+        "host",
+        F.col("start").cast("timestamp_ntz").alias("window_start"),
+        (F.col("start") + F.make_dt_interval(mins=F.col("r.minutes"))).cast("timestamp_ntz").alias("window_end"),
+        "samples",
+    )

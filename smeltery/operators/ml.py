@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+from multiprocessing.pool import ThreadPool
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
@@ -42,8 +43,9 @@ CLUSTER_FEATURES = ("mean_exec_time_ms", "estimated_rows", "table_count", "join_
 ANOMALY_FEATURES = ("mean_exec_time_ms", "calls", "rows_affected", "shared_blks_hit", "shared_blks_read")
 SEED = 42
 CLUSTERS = 5
-PCA_ABOVE = 10
 TREES = 100
+DEPTH = 6
+STARTS = 10
 TREE_SAMPLE = 256
 CONTAMINATION = 0.1
 CACHE_MIN_CALLS = 10
@@ -116,7 +118,7 @@ def _regressor(kind: str, trees: int, depth: int):
     raise ValueError(f"unknown model kind {kind}")
 
 
-def fit_query_time(features: DataFrame, kind: str = "gbt", trees: int = 20, depth: int = 6) -> PipelineModel:
+def fit_query_time(features: DataFrame, kind: str = "gbt", trees: int = TREES, depth: int = DEPTH) -> PipelineModel:
     """Boosted trees or a random forest on the scaled features."""
     return Pipeline(stages=[*_scaled(TIME_FEATURES), _regressor(kind, trees, depth)]).fit(features)
 
@@ -138,7 +140,7 @@ def regression_scorecard(predictions: DataFrame, label: str = "target", value: s
     sums = rows.agg(
         F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"),
         F.avg(F.abs("e")).alias("mae"),
-        (1 - F.avg(F.col("e") * F.col("e")) / F.var_pop("y")).alias("r2"),
+        (1 - ratio(F.avg(F.col("e") * F.col("e")), F.var_pop("y"))).alias("r2"),
         (F.avg("r") * 100).alias("mape_pct"),
         F.count("*").alias("rows"),
     )
@@ -146,7 +148,7 @@ def regression_scorecard(predictions: DataFrame, label: str = "target", value: s
     return sums.withColumn("median_ape_pct", median * 100)
 
 
-def cross_validate(features: DataFrame, kind: str = "gbt", trees: int = 10, depth: int = 4, folds: int = 5) -> float:
+def cross_validate(features: DataFrame, kind: str = "gbt", trees: int = TREES, depth: int = DEPTH, folds: int = 5) -> float:
     """Mean RMSE over the folds."""
     pipeline = Pipeline(stages=[*_scaled(TIME_FEATURES), _regressor(kind, trees, depth)])
     checker = CrossValidator(
@@ -176,15 +178,27 @@ def load_model(path: str) -> PipelineModel:
 # Clusters ---------------------------------------------------------------------------------
 
 
-def fit_clusters(features: DataFrame, inputs: Sequence[str] = CLUSTER_FEATURES, k: int = CLUSTERS) -> PipelineModel:
-    """KMeans on standardised features; more than ten are first reduced to ten components."""
+def fit_clusters(
+    features: DataFrame, inputs: Sequence[str] = CLUSTER_FEATURES, k: int = CLUSTERS, starts: int = STARTS, components: int | None = None
+) -> PipelineModel:
+    """KMeans on standardised features, the best of ``starts`` starts; ``components`` reduces the inputs first."""
     stages = _scaled(inputs, center=True)
     column = "features"
-    if len(inputs) > PCA_ABOVE:
-        stages.append(PCA(k=PCA_ABOVE, inputCol="features", outputCol="components"))
+    if components is not None:
+        stages.append(PCA(k=components, inputCol="features", outputCol="components"))
         column = "components"
-    stages.append(KMeans(k=k, seed=SEED, maxIter=300, featuresCol=column, predictionCol="cluster"))
-    return Pipeline(stages=stages).fit(features)
+    prepared = Pipeline(stages=stages).fit(features)
+    points = prepared.transform(features).select(column).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def fit(start: int):
+        return KMeans(k=k, seed=SEED + start, maxIter=300, featuresCol=column, predictionCol="cluster").fit(points)
+
+    # The starts are jobs of their own over the same kept points and share the executors.
+    with ThreadPool(min(starts, 5)) as pool:
+        fits = pool.map(inheritable_thread_target(features.sparkSession)(fit), range(starts))
+    points.unpersist()
+    best = min(fits, key=lambda m: m.summary.trainingCost)
+    return PipelineModel([*prepared.stages, best])
 
 
 def assign_clusters(model: PipelineModel, features: DataFrame) -> DataFrame:
@@ -216,7 +230,7 @@ def cluster_examples(assigned: DataFrame, per_cluster: int = 25) -> DataFrame:
     )
     order = W.partitionBy("cluster").orderBy(F.col("calls_sum").desc(), F.col("sample_count").desc(), "query_text")
     top = sums.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= per_cluster)
-    preview = F.left(F.regexp_replace(F.trim("query_text"), r"\s+", " "), F.lit(260))
+    preview = F.regexp_replace(F.trim("query_text"), r"\s+", " ")
     return top.select("cluster", preview.alias("query_preview"), "calls_sum", "mean_exec_ms", "sample_count")
 
 
@@ -248,10 +262,10 @@ def cluster_scorecard(assigned: DataFrame, model: PipelineModel) -> DataFrame:
         pairs = [
             (a["spread"] + b["spread"]) / float(np.linalg.norm(means[a["cluster"]] - means[b["cluster"]]))
             for b in rows
-            if b["cluster"] != a["cluster"]
+            if b["cluster"] != a["cluster"] and np.any(means[a["cluster"]] != means[b["cluster"]])
         ]
         worst.append(max(pairs) if pairs else 0.0)
-    calinski = (between / (k - 1)) / (within / (n - k)) if k > 1 and within else float("nan")
+    calinski = (between / (k - 1)) / (within / (n - k)) if k > 1 and within and n > k else float("nan")
     return assigned.sparkSession.createDataFrame(
         [(k, n, float(within), float(calinski), float(sum(worst) / k))],
         "clusters int, rows long, inertia double, calinski_harabasz double, davies_bouldin double",
@@ -402,7 +416,7 @@ def model_anomalies(logs: DataFrame, flagged: DataFrame) -> DataFrame:
         F.when((reason == "Execution time spike") | (strength > 1.0), "high").when(strength > 0.3, "medium").otherwise("low")
     )
     upper = F.upper(F.coalesce("query_text", F.lit("")))
-    ident = stable_id(F.left(upper, F.lit(240)), F.col("collected_at").cast("string"))
+    ident = stable_id(upper, F.lit("|"), F.col("collected_at").cast("string"), F.lit("|"), F.col("log_id").cast("string"))
     hint = F.nullif(F.lower(F.regexp_extract(upper, r"\b((?:GOLD|SILVER|BRONZE)\.[A-Z0-9_]+)", 1)), F.lit(""))
     return rows.select(
         F.concat(F.lit("model_anom_"), ident).alias("alert_id"),
@@ -480,7 +494,7 @@ def fit_cache_classifier(training: DataFrame) -> PipelineModel | None:
 
 
 def cache_candidates(
-    model: PipelineModel, training: DataFrame, threshold: float = CACHE_THRESHOLD, limit: int | None = 50
+    model: PipelineModel, training: DataFrame, threshold: float = CACHE_THRESHOLD, limit: int | None = None
 ) -> DataFrame:
     """Statements by their chance of being worth caching."""
     scored = model.transform(training).withColumn("cache_probability", vector_to_array("probability")[1])
@@ -488,7 +502,7 @@ def cache_candidates(
     if limit is not None:
         held = held.orderBy(F.col("cache_probability").desc(), "query_text").limit(limit)
     return held.select(
-        F.left("query_text", F.lit(500)).alias("query_preview"),
+        F.col("query_text").alias("query_preview"),
         "cache_probability",
         "sample_count",
         "calls_sum",
@@ -498,7 +512,7 @@ def cache_candidates(
 
 
 def top_cache_candidates(
-    features: DataFrame, threshold: float = CACHE_THRESHOLD, limit: int | None = 50, **labels: float
+    features: DataFrame, threshold: float = CACHE_THRESHOLD, limit: int | None = None, **labels: float
 ) -> DataFrame:
     """Ranked by the classifier where one can be fitted, by the rule of thumb where not."""
     training = spread(cache_training(features, **labels), "query_text")

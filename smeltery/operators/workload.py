@@ -230,13 +230,17 @@ def _by_total(rows: DataFrame, key: str, limit: int | None) -> DataFrame:
 
 
 def query_performance(
-    logs: DataFrame, start: str, end: str, query_id: str | None = None, limit: int | None = 100
+    logs: DataFrame, start: str, end: str, query_id: str | None = None, limit: int | None = 100, all_if_empty: bool = False
 ) -> DataFrame:
-    """Per statement in [start, end): executions, mean, percentiles, total. An empty window falls back to all rows."""
+    """Per statement in [start, end): executions, mean, percentiles, total.
+
+    The range is a plain filter that reaches the scan. With ``all_if_empty`` an empty window takes all rows.
+    """
     inside = (F.col("collected_at") >= at(start)) & (F.col("collected_at") < at(end))
     held = logs if query_id is None else logs.where(F.col("query_hash") == query_id)
-    anything = held.agg(F.coalesce(F.bool_or(inside), F.lit(False))).scalar()
-    rows = with_row_total(held.where(inside | ~anything))
+    if not all_if_empty or not held.where(inside).isEmpty():
+        held = held.where(inside)
+    rows = with_row_total(held)
     return _by_total(_latency(rows, ["query_hash"]), "query_hash", limit)
 
 
@@ -246,8 +250,8 @@ def window_bounds(as_of, long_days: int) -> dict[str, str]:
     return {"1d": str(day - timedelta(days=1)), "7d": str(day - timedelta(days=7)), "long": str(day - timedelta(days=long_days))}
 
 
-def query_performance_windows(logs: DataFrame, as_of, long_days: int = 30, limit: int = 100) -> DataFrame:
-    """The three windows side by side for every statement that ranks in one of them, from one scan."""
+def query_performance_windows(logs: DataFrame, as_of, long_days: int = 30, limit: int | None = None) -> DataFrame:
+    """The three windows side by side for every statement, from one scan; ``limit`` keeps those that rank in one."""
     day = date.fromisoformat(str(as_of))
     end = at(str(day + timedelta(days=1)))
     starts = window_bounds(as_of, long_days)
@@ -269,6 +273,8 @@ def query_performance_windows(logs: DataFrame, as_of, long_days: int = 30, limit
         "shared_blks_read",
     )
     measured = _latency(spread, ["window", "query_hash"])
+    if limit is None:
+        return measured
     order = W.partitionBy("window").orderBy(F.col("total_execution_time_ms").desc_nulls_last(), "query_hash")
     listed = measured.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= limit)
     return measured.join(listed.select("query_hash").distinct(), "query_hash", "left_semi")

@@ -90,7 +90,7 @@ def _performance(t):
 
 @query("query_performance_fallback", _perf("timed_logs", "query_hash") + _TOP)
 def _performance_fallback(t):
-    return workload.query_performance(t("query_logs"), "2030-01-10", "2030-01-25")
+    return workload.query_performance(t("query_logs"), "2030-01-10", "2030-01-25", all_if_empty=True)
 
 
 @query("query_performance_one", _perf("(SELECT * FROM timed_logs WHERE query_hash = 'q_view_3')", "query_hash"))
@@ -98,7 +98,6 @@ def _performance_one(t):
     return workload.query_performance(t("query_logs"), "2024-01-01", "2024-02-01", query_id="q_view_3")
 
 
-# A cap of 5 per window makes the alignment of the windows visible.
 sql_table(
     "windowed",
     _perf(
@@ -112,10 +111,10 @@ sql_table(
 
 @query(
     "query_performance_windows",
-    """SELECT * FROM windowed WHERE query_hash IN (SELECT query_hash FROM windowed QUALIFY ROW_NUMBER() OVER (PARTITION BY "window" ORDER BY total_execution_time_ms DESC NULLS LAST, query_hash) <= 5)""",
+    "SELECT * FROM windowed",
 )
 def _windows(t):
-    return workload.query_performance_windows(t("query_logs"), AS_OF, 30, 5)
+    return workload.query_performance_windows(t("query_logs"), AS_OF, 30)
 
 
 @query(
@@ -219,7 +218,7 @@ def _weighted(t):
          GREATEST(0, COALESCE(a1, a7, al, 0) / 1000 * GREATEST(1, runs)) * (1 + GREATEST(0, growth_pct) / 100) AS impact_score, sample_log_id FROM h ORDER BY impact_score DESC, query_hash LIMIT 13""",
 )
 def _hotspots(t):
-    return workload.hotspots(workload.query_performance_windows(t("query_logs"), AS_OF, 30, 1000))
+    return workload.hotspots(workload.query_performance_windows(t("query_logs"), AS_OF, 30))
 
 
 def _json(key, kind, default):

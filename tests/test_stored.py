@@ -153,5 +153,5 @@ def test_model_round_trip_and_centroids(spark, t, tmp_path):
     got = [r.cluster for r in ml.assign_to_centroids(points, "v", {0: [0.0, 0.0], 1: [5.0, 5.1]}, 0.5).collect()]
     assert got == [0, 1, -1]
     wide = t("query_logs").select(*[(F.col("log_id") % (i + 2)).cast("double").alias(f"f{i}") for i in range(12)])
-    reduced = ml.fit_clusters(wide, [f"f{i}" for i in range(12)], 3)
+    reduced = ml.fit_clusters(wide, [f"f{i}" for i in range(12)], 3, starts=2, components=10)
     assert ml.assign_clusters(reduced, wide).select("cluster").distinct().count() == 3
