@@ -82,7 +82,7 @@ def choose_terms(place: np.ndarray, owner: np.ndarray, label: np.ndarray, terms:
     return np.sort(best[gain[best] > 0])
 
 
-def fit(term: np.ndarray, owner: np.ndarray, label: np.ndarray, size: int = 4096, least: int = 5, rank: int = 4, epochs: int = 12, rate: float = 0.1, decay: float = 1e-5, seed: int = 7) -> FactorizationMachine:
+def fit(term: np.ndarray, owner: np.ndarray, label: np.ndarray, size: int = 1024, least: int = 3, rank: int = 4, epochs: int = 12, rate: float = 0.3, decay: float = 1e-5, seed: int = 7) -> FactorizationMachine:
     """Adagrad on the logistic loss over small batches; both classes weigh the same in sum.
 
     Without rows, or with one class only, the machine gives the share of that class.
