@@ -57,9 +57,9 @@ def warehouse_summary(layers: Mapping[str, Mapping[str, DataFrame]]) -> DataFram
     )
 
 
-def stored_bytes(spark: SparkSession, path: str) -> DataFrame:
-    """Files and bytes behind a stored table, from the file metadata column."""
-    files = spark.read.parquet(path).select("_metadata.file_path", "_metadata.file_size").distinct()
+def stored_bytes(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Files and bytes behind the part folders of a stored table, from the listing alone."""
+    files = _union([spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(p).select("path", F.col("length").alias("file_size")) for p in paths])
     return files.agg(F.count("*").alias("files"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("bytes"))
 
 

@@ -200,11 +200,7 @@ class Load:
     def _snapshot(self, s) -> int:
         def work() -> None:
             have = self.wh.read_or_none("gold", "fact_inventory_snapshot")
-            rows = gold.fact_inventory_snapshot(s, have, self.as_of)
-            if have is not None:
-                key = int(self.as_of.replace("-", ""))
-                rows = have.where(F.col("snapshot_date_key") != key).select(*rows.columns).unionByName(rows)
-            self.wh.overwrite("gold", "fact_inventory_snapshot", rows)
+            self.wh.overwrite_partitions("gold", "fact_inventory_snapshot", gold.fact_inventory_snapshot(s, have, self.as_of))
 
         return self._step("gold", "fact_inventory_snapshot", work)
 

@@ -1,9 +1,11 @@
-"""Stored layers: one Parquet folder per table, written in versions and read through a pointer.
-
-Without a table format a table cannot be read and overwritten in one plan. A write goes to
-a new version folder; a small pointer file then names it. Readers keep the version they
-started with, a lost executor only repeats its own tasks, and old versions stay until
-they are removed on purpose.
+"""Stored layers: one folder per table, written as parts and read through numbered manifests.
+
+Without a table format a table cannot be read and overwritten in one plan. Every write puts
+its files into a new part folder and then publishes a manifest, a small file that lists the
+parts of the table; the complete manifest with the highest number counts. Nothing is ever
+deleted or changed in place, so a write that stops half way leaves the table as it was,
+readers keep the parts they started with, and of two writers that publish the same number
+one fails. Old parts stay until they are removed on purpose.
 """
 
 from __future__ import annotations
@@ -11,10 +13,12 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 LAYERS = ("bronze", "silver", "gold", "monitoring")
+MANIFEST = "MANIFEST_"
 # Children before parents.
 EMPTYING_ORDER = {
     "gold": (
@@ -92,24 +96,40 @@ class Warehouse:
         target = jvm.org.apache.hadoop.fs.Path(path)
         return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
 
-    def _pointer(self, layer: str, table: str) -> tuple[str, T.StructType] | None:
-        """Folder and schema of the current version; None where the table was never written."""
-        fs, pointer = self._fs(f"{self.folder(layer, table)}/CURRENT")
-        if not fs.exists(pointer):
-            return None
+    def _manifest(self, layer: str, table: str) -> tuple[int, dict | None]:
+        """Number and content of the newest complete manifest; 0 and None where the table was never written."""
+        fs, folder = self._fs(self.folder(layer, table))
+        if not fs.exists(folder):
+            return 0, None
+        names = [status.getPath().getName() for status in fs.listStatus(folder)]
+        numbers = sorted((int(n.removeprefix(MANIFEST)) for n in names if n.startswith(MANIFEST)), reverse=True)
         jvm = self.spark._jvm
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(pointer)))
-        name, schema = reader.readLine(), reader.readLine()
-        reader.close()
-        return f"{self.folder(layer, table)}/{name}", T.StructType.fromJson(json.loads(schema))
+        for number in numbers:
+            stream = fs.open(jvm.org.apache.hadoop.fs.Path(f"{self.folder(layer, table)}/{MANIFEST}{number:012d}"))
+            lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+            text, end = lines.readLine(), lines.readLine()
+            lines.close()
+            if end == "complete":
+                return number, json.loads(text)
+        return 0, None
+
+    def _publish(self, layer: str, table: str, number: int, content: dict) -> None:
+        """The manifest is written beside its place and renamed; a number that is taken already is an error."""
+        fs, target = self._fs(f"{self.folder(layer, table)}/{MANIFEST}{number:012d}")
+        fresh = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder(layer, table)}/_next_{uuid.uuid4().hex}")
+        stream = fs.create(fresh, False)
+        stream.write(bytearray(f"{json.dumps(content)}\ncomplete\n", "utf-8"))
+        stream.close()
+        if fs.exists(target) or not fs.rename(fresh, target):
+            raise RuntimeError(f"{layer}.{table}: another writer published manifest {number}")
 
-    def version(self, layer: str, table: str) -> str | None:
-        """Folder of the current version."""
-        found = self._pointer(layer, table)
-        return None if found is None else found[0]
+    def paths(self, layer: str, table: str) -> list[str]:
+        """Part folders of the current table."""
+        content = self._manifest(layer, table)[1]
+        return [] if content is None else [f"{self.folder(layer, table)}/{part['name']}" for part in content["parts"]]
 
     def exists(self, layer: str, table: str) -> bool:
-        return self._pointer(layer, table) is not None
+        return self._manifest(layer, table)[1] is not None
 
     def read(self, layer: str, table: str) -> DataFrame:
         df = self.read_or_none(layer, table)
@@ -118,56 +138,74 @@ class Warehouse:
         return df
 
     def read_or_none(self, layer: str, table: str) -> DataFrame | None:
-        """The schema comes from the pointer: nothing is inferred, and an empty table has one too."""
-        found = self._pointer(layer, table)
-        if found is None:
-            return None
-        path, schema = found
-        return self.spark.read.schema(schema).parquet(path).select(*schema.names)
+        """The schema comes from the manifest: nothing is inferred, and an empty table has one too.
 
-    def _publish(self, layer: str, table: str, name: str, schema: T.StructType) -> None:
-        fs, pointer = self._fs(f"{self.folder(layer, table)}/CURRENT")
-        jvm = self.spark._jvm
-        fresh = jvm.org.apache.hadoop.fs.Path(f"{self.folder(layer, table)}/NEXT_{name}")
-        stream = fs.create(fresh, True)
-        stream.write(bytearray(f"{name}\n{schema.json()}\n", "utf-8"))
-        stream.close()
-        if fs.exists(pointer):
-            fs.delete(pointer, False)
-        fs.rename(fresh, pointer)
-
-    def overwrite(self, layer: str, table: str, df: DataFrame) -> None:
-        """Write a new version and point at it."""
-        name = f"v_{uuid.uuid4().hex}"
+        Parts of which a later write replaced partitions are read without those, by a filter on the
+        partition column that prunes their folders.
+        """
+        content = self._manifest(layer, table)[1]
+        if content is None:
+            return None
+        schema = T.StructType.fromJson(content["schema"])
+        column = content["partition"]
+        frames, plain = [], []
+        for part in content["parts"]:
+            path = f"{self.folder(layer, table)}/{part['name']}"
+            if column is None:
+                plain.append(path)
+                continue
+            rows = self.spark.read.schema(schema).parquet(path)
+            if part["gone"]:
+                kind = schema[column].dataType
+                gone = [F.lit(v).cast(kind) for v in part["gone"] if v is not None]
+                listed = F.col(column).isin(gone) if gone else F.lit(False)
+                rows = rows.where(~F.coalesce(listed, F.lit(None in part["gone"])))
+            frames.append(rows)
+        if plain:
+            frames.append(self.spark.read.schema(schema).parquet(*plain))
+        return reduce(lambda x, y: x.unionByName(y), frames).select(*schema.names)
+
+    def _write(self, layer: str, table: str, df: DataFrame, column: str | None) -> dict:
+        name = f"part_{uuid.uuid4().hex}"
         writer = df.write.mode("error")
-        column = PARTITIONED.get(table)
-        if column and column in df.columns:
+        if column:
             writer = writer.partitionBy(column)
         writer.parquet(f"{self.folder(layer, table)}/{name}")
+        return {"name": name, "gone": []}
+
+    def overwrite(self, layer: str, table: str, df: DataFrame) -> None:
+        """The table is this frame from now on; the frame may read the table itself."""
+        number, _ = self._manifest(layer, table)
+        column = PARTITIONED.get(table)
+        column = column if column in df.columns else None
+        part = self._write(layer, table, df, column)
         loose = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema.fields])
-        self._publish(layer, table, name, loose)
+        self._publish(layer, table, number + 1, {"parts": [part], "schema": loose.jsonValue(), "partition": column})
 
     def append(self, layer: str, table: str, df: DataFrame) -> None:
-        """Add files to the current version; the first append makes one."""
-        found = self._pointer(layer, table)
-        if found is None:
+        """Add a part; readers see all of it or nothing. The first append makes the table."""
+        number, content = self._manifest(layer, table)
+        if content is None:
             self.overwrite(layer, table, df)
             return
-        path, schema = found
-        writer = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]).write.mode("append")
-        column = PARTITIONED.get(table)
-        if column and column in df.columns:
-            writer = writer.partitionBy(column)
-        writer.parquet(path)
+        schema = T.StructType.fromJson(content["schema"])
+        rows = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+        part = self._write(layer, table, rows, content["partition"])
+        self._publish(layer, table, number + 1, content | {"parts": [*content["parts"], part]})
 
     def overwrite_partitions(self, layer: str, table: str, df: DataFrame) -> None:
-        """Replace only the partitions the frame holds. The frame must not read the same version."""
-        path = self.version(layer, table)
-        if path is None:
+        """Replace only the partitions the frame holds; the others are not read or written."""
+        number, content = self._manifest(layer, table)
+        if content is None or content["partition"] is None:
             self.overwrite(layer, table, df)
             return
-        writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy(PARTITIONED[table]).parquet(path)
+        schema, column = T.StructType.fromJson(content["schema"]), content["partition"]
+        rows = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+        part = self._write(layer, table, rows, column)
+        written = self.spark.read.schema(schema).parquet(f"{self.folder(layer, table)}/{part['name']}")
+        values = [r[0] for r in written.select(F.col(column).cast("string")).distinct().collect()]
+        kept = [{"name": p["name"], "gone": [*p["gone"], *(v for v in values if v not in p["gone"])]} for p in content["parts"]]
+        self._publish(layer, table, number + 1, content | {"parts": [*kept, part]})
 
 
 def read_table(spark: SparkSession, layer: str, table: str, root: str) -> DataFrame:

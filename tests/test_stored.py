@@ -37,7 +37,42 @@ def test_versions_and_partitions(spark, tmp_path):
     assert {(r.date_key, r.n) for r in wh.read("gold", "agg_daily_sales").collect()} == {(20240101, 1), (20240102, 9)}
     assert truncate_layer(wh, "gold") == ["agg_daily_sales"]
     assert wh.read("gold", "agg_daily_sales").count() == 0
-    assert reports.stored_bytes(spark, wh.version("gold", "a")).first()["bytes"] > 0
+    assert reports.stored_bytes(spark, wh.paths("gold", "a")).first()["bytes"] > 0
+
+
+def test_a_write_that_stops_half_way(spark, tmp_path, monkeypatch):
+    wh = Warehouse(spark, str(tmp_path))
+    wh.overwrite("gold", "a", spark.range(5))
+    reader = wh.read("gold", "a")
+
+    def crash(*_):
+        raise RuntimeError("stopped")
+
+    for write in (wh.append, wh.overwrite):
+        with monkeypatch.context() as m:
+            m.setattr(wh, "_publish", crash)
+            with pytest.raises(RuntimeError):
+                write("gold", "a", spark.range(100, 103))
+        assert wh.read("gold", "a").count() == 5
+    half = tmp_path / "gold" / "a" / "MANIFEST_000000000009"
+    half.write_text('{"parts": []')
+    wh.append("gold", "a", spark.range(1))
+    assert wh.read("gold", "a").count() == 6 and reader.count() == 5
+    with pytest.raises(RuntimeError):
+        wh._publish("gold", "a", 2, wh._manifest("gold", "a")[1])
+
+
+def test_replaced_partitions_keep_the_rest(spark, tmp_path):
+    wh = Warehouse(spark, str(tmp_path))
+    day = lambda rows: spark.createDataFrame(rows, "date_key int, n int")
+    wh.overwrite("gold", "agg_daily_sales", day([(1, 1), (2, 2), (None, 3)]))
+    wh.append("gold", "agg_daily_sales", day([(2, 4), (3, 5)]))
+    wh.overwrite_partitions("gold", "agg_daily_sales", day([(2, 6)]))
+    read = wh.read("gold", "agg_daily_sales")
+    assert {(r.date_key, r.n) for r in read.collect()} == {(1, 1), (2, 6), (3, 5), (None, 3)}
+    wh.overwrite_partitions("gold", "agg_daily_sales", day([(None, 7)]))
+    assert {(r.date_key, r.n) for r in wh.read("gold", "agg_daily_sales").collect()} == {(1, 1), (2, 6), (3, 5), (None, 7)}
+    assert "PartitionFilters: [isnotnull(date_key" in read.where("date_key = 3")._jdf.queryExecution().executedPlan().toString()
 
 
 def test_lookup_reaches_the_scan(spark, t):
