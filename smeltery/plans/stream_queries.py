@@ -60,29 +60,50 @@ def _fact(t):
     return jobs.read_batches(t.spark, f"{base}/out")
 
 
-_DELTAS = """SELECT queryid, snapshot_id, delta_calls, delta_shared_blks_hit FROM (
-    SELECT queryid, snapshot_id, GREATEST(0, calls - COALESCE(LAG(calls) OVER w, 0)) AS delta_calls, GREATEST(0, shared_blks_hit - COALESCE(LAG(shared_blks_hit) OVER w, 0)) AS delta_shared_blks_hit
-    FROM counter_snapshots WINDOW w AS (PARTITION BY queryid ORDER BY seen_at, snapshot_id)) WHERE delta_calls > 0"""
+_DOUBLES = {"total_exec_time_ms", "blk_read_time_ms", "blk_write_time_ms"}
 
 
-@query("stream_counter_deltas", _DELTAS)
+def _deltas_sql(source: str) -> str:
+    grown = ", ".join(f"GREATEST(0, {c} - COALESCE(LAG({c}) OVER w, 0)) AS delta_{c}" for c in workload.COUNTERS)
+    shown = ", ".join(f"delta_{c}::DOUBLE AS delta_{c}" for c in workload.COUNTERS)
+    return f"SELECT queryid, snapshot_id, seen_at, {shown} FROM (SELECT queryid, snapshot_id, seen_at, {grown} FROM {source} WINDOW w AS (PARTITION BY queryid ORDER BY seen_at, snapshot_id)) WHERE delta_calls > 0"
+
+
+def _as_doubles(df):
+    return df.select("queryid", "snapshot_id", "seen_at", *[F.col(f"delta_{c}").cast("double").alias(f"delta_{c}") for c in workload.COUNTERS])
+
+
+@query("stream_counter_deltas", _deltas_sql("counter_snapshots"))
 def _counters(t):
     base = _folder(t)
     stream = _derived(t, "counter_snapshots", "events")
     _finish(jobs.stream_counter_deltas(stream, f"{base}/check", base, workload.counter_deltas))
-    out = jobs.read_batches(t.spark, f"{base}/deltas")
-    return out.select("queryid", "snapshot_id", "delta_calls", "delta_shared_blks_hit")
+    return _as_doubles(jobs.read_batches(t.spark, f"{base}/deltas"))
 
 
-@query("stream_keyed_counter_deltas", _DELTAS)
+@query("stream_keyed_counter_deltas", _deltas_sql("counter_snapshots"))
 def _keyed(t):
     base = _folder(t)
     stream = jobs.keyed_counter_deltas(_derived(t, "counter_snapshots", "events"))
     _finish(jobs.append_files(stream, f"{base}/check", f"{base}/out"))
-    out = t.spark.read.parquet(f"{base}/out")
-    return out.select(
-        "queryid", "snapshot_id", F.col("delta_calls").cast("long").alias("delta_calls"), F.col("delta_shared_blks_hit").cast("long").alias("delta_shared_blks_hit")
-    )
+    return _as_doubles(t.spark.read.parquet(f"{base}/out"))
+
+
+# Snapshots come in three slices by time; every 97th is held back and comes last, so most of those are late.
+_SLICES = ("seen_at < TIMESTAMP_NTZ'2024-01-11'", "seen_at >= TIMESTAMP_NTZ'2024-01-11' AND seen_at < TIMESTAMP_NTZ'2024-01-21'", "seen_at >= TIMESTAMP_NTZ'2024-01-21'")
+_IN_TIME = """(SELECT * FROM counter_snapshots c WHERE snapshot_id % 97 <> 0 OR NOT EXISTS (SELECT 1 FROM counter_snapshots d WHERE d.queryid = c.queryid AND d.snapshot_id % 97 <> 0
+    AND (d.seen_at > c.seen_at OR (d.seen_at = c.seen_at AND d.snapshot_id > c.snapshot_id))))"""
+
+
+@query("stream_counter_deltas_batches", _deltas_sql(_IN_TIME))
+def _counter_batches(t):
+    base = _folder(t)
+    rows = t("counter_snapshots")
+    for part in (*[f"snapshot_id % 97 <> 0 AND {s}" for s in _SLICES], "snapshot_id % 97 = 0"):
+        rows.where(part).write.mode("append").parquet(f"{base}/in")
+        stream = jobs.file_stream(t.spark, f"{base}/in", rows.schema)
+        _finish(jobs.stream_counter_deltas(stream, f"{base}/check", base, workload.counter_deltas))
+    return _as_doubles(jobs.read_batches(t.spark, f"{base}/deltas"))
 
 
 # A window is written once the watermark, an hour behind the newest event, has passed its end.
@@ -137,7 +158,35 @@ def _sustained(t):
 )
 def _incidents(t):
     base = _folder(t)
-    stream = _source(t, "events").select(
+    _finish(jobs.stream_incidents(_alert_rows(_source(t, "events")), f"{base}/check", f"{base}/out", _no_incidents(t), "2024-01-31 00:05:00"))
+    out = jobs.latest_incidents(t.spark, f"{base}/out")
+    return out.select("incident_id", "alert_type", "severity", "status", "started_at", "alert_count")
+
+
+@query(
+    "stream_incidents_batches",
+    """SELECT 'inc_' || event_type AS incident_id, event_type AS alert_type, 'high' AS severity, CASE WHEN COUNT(*) FILTER (WHERE live) > 0 THEN 'open' ELSE 'resolved' END AS status,
+       COUNT(*) FILTER (WHERE live) AS alert_count
+       FROM (SELECT *, NOT (event_type = 'error' OR event_id % 2 = 0) AS live FROM events) GROUP BY event_type""",
+)
+def _incident_batches(t):
+    """One slice per event type, each a batch of its own; then errors and all even ids are resolved."""
+    base = _folder(t)
+    events = t("events")
+    kinds = sorted(r[0] for r in events.select("event_type").distinct().collect())
+    for part in (*[F.col("event_type") == k for k in kinds], None):
+        over = (F.col("event_type") == "error") | (F.col("event_id") % 2 == 0)
+        rows = _alert_rows(events.where(over if part is None else part))
+        if part is None:
+            rows = rows.withColumn("status", F.lit("resolved"))
+        rows.write.mode("append").parquet(f"{base}/in")
+        stream = jobs.file_stream(t.spark, f"{base}/in", rows.schema)
+        _finish(jobs.stream_incidents(stream, f"{base}/check", f"{base}/out", _no_incidents(t), "2024-01-31 00:05:00"))
+    return jobs.latest_incidents(t.spark, f"{base}/out").select("incident_id", "alert_type", "severity", "status", "alert_count")
+
+
+def _alert_rows(events):
+    return events.select(
         F.concat(F.lit("a_"), F.col("event_id").cast("string")).alias("alert_id"),
         F.col("event_type").alias("type"),
         F.lit("high").alias("severity"),
@@ -148,11 +197,11 @@ def _incidents(t):
         F.col("ts").alias("occurred_at"),
         F.lit("active").alias("status"),
     )
-    none = t.spark.createDataFrame(
+
+
+def _no_incidents(t):
+    return t.spark.createDataFrame(
         [],
         "incident_id string, alert_type string, title string, description string, severity string, status string, started_at timestamp_ntz, "
         "resolved_at timestamp_ntz, alert_count long, affected_tables string, updated_at timestamp_ntz",
     )
-    _finish(jobs.stream_incidents(stream, f"{base}/check", f"{base}/out", none, "2024-01-31 00:05:00"))
-    out = jobs.latest_incidents(t.spark, f"{base}/out")
-    return out.select("incident_id", "alert_type", "severity", "status", "started_at", "alert_count")

@@ -90,19 +90,24 @@ def stream_counter_deltas(
 ) -> StreamingQuery:
     """Counter growth across batches.
 
-    State is the last snapshot per statement, kept as files per batch. Each batch puts the
-    state in front of its rows and runs the batch operator over both, so a busy statement
-    is cut by day there as well.
+    State is the last snapshot per statement, kept as files per batch; it never moves back. Each
+    batch puts the state in front of its rows and runs the batch operator over both, so a busy
+    statement is cut by day there as well. Snapshots not after the state of their statement are
+    late: what grew until then is in a later delta already, so they go to ``late`` and nowhere else.
     """
-    states, out = f"{root}/state", f"{root}/deltas"
+    states, out, late = f"{root}/state", f"{root}/deltas", f"{root}/late"
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         last = _last_state(spark, states, number)
-        rows = batch.withColumn("_new", F.lit(True))
+        rows = batch
         if last is not None:
-            rows = rows.unionByName(last.withColumn("_new", F.lit(False)))
-        grown = deltas(rows.drop("_new"))
+            mark = last.select("queryid", F.struct("seen_at", "snapshot_id").alias("_mark"))
+            placed = batch.join(mark, "queryid", "left")
+            behind = F.coalesce(F.struct("seen_at", "snapshot_id") <= F.col("_mark"), F.lit(False))
+            placed.where(behind).select(batch.columns).write.mode("overwrite").parquet(_batch_folder(late, number))
+            rows = placed.where(~behind).select(batch.columns).unionByName(last)
+        grown = deltas(rows)
         if last is not None:
             grown = grown.join(last.select("queryid", "snapshot_id"), ["queryid", "snapshot_id"], "left_anti")
         grown.write.mode("overwrite").parquet(_batch_folder(out, number))
@@ -121,19 +126,27 @@ def _last_state(spark: SparkSession, root: str, before: int) -> DataFrame | None
 
 
 def keyed_counter_deltas(stream: DataFrame) -> DataFrame:
-    """The same deltas with keyed state held by the engine, for statements of even load."""
-    fields = ", ".join(f"{c} double" for c in COUNTERS)
+    """The same deltas with keyed state held by the engine, for statements of even load.
+
+    The rows of one statement in one batch have to fit a task. Late snapshots are left out, as above.
+    """
+    fields = "seen double, snapshot long, " + ", ".join(f"{c} double" for c in COUNTERS)
     output = "queryid long, snapshot_id long, seen_at timestamp_ntz, " + ", ".join(f"delta_{c} double" for c in COUNTERS)
 
     def step(key, chunks, state):
         import pandas as pd
 
-        last = list(state.get) if state.exists else [0.0] * len(COUNTERS)
+        seen, snapshot, *last = list(state.get) if state.exists else [float("-inf"), 0, *[0.0] * len(COUNTERS)]
         rows = pd.concat(list(chunks)).sort_values(["seen_at", "snapshot_id"])
+        at = rows["seen_at"].to_numpy().astype("datetime64[us]").astype("int64").astype(float)
+        fresh = (at > seen) | ((at == seen) & (rows["snapshot_id"].to_numpy() > snapshot))
+        rows, at = rows[fresh], at[fresh]
+        if not len(rows):
+            return
         values = rows[list(COUNTERS)].astype(float).to_numpy()
         before = pd.DataFrame([last, *values[:-1]]).to_numpy()
         grown = (values - before).clip(min=0.0)
-        state.update(tuple(float(v) for v in values[-1]))
+        state.update((float(at[-1]), int(rows["snapshot_id"].iloc[-1]), *(float(v) for v in values[-1])))
         result = pd.DataFrame(grown, columns=[f"delta_{c}" for c in COUNTERS])
         result.insert(0, "seen_at", rows["seen_at"].to_numpy())
         result.insert(0, "snapshot_id", rows["snapshot_id"].to_numpy())
@@ -200,12 +213,21 @@ def append_files(df: DataFrame, checkpoint: str, path: str, once: bool = True) -
 
 
 def stream_incidents(alerts: DataFrame, checkpoint: str, root: str, existing: DataFrame, run_ts, once: bool = True) -> StreamingQuery:
-    """Incidents after each batch of active alerts, one version of the table per batch."""
+    """Incidents after each batch of alert changes, one version of the table per batch.
+
+    A batch says what changed, not what is all: the newest row of every alert is kept as state, an alert
+    is over with a row of status ``resolved``, and only then can its incident be.
+    """
+    states = f"{root}/alerts"
 
     def each(batch: DataFrame, number: int) -> None:
-        last = _last_state(batch.sparkSession, root, number)
-        held = existing if last is None else last
-        incidents_sync(held, batch, run_ts).write.mode("overwrite").parquet(_batch_folder(root, number))
+        spark = batch.sparkSession
+        last, before = _last_state(spark, root, number), _last_state(spark, states, number)
+        rows = batch if before is None else before.unionByName(batch)
+        newest = F.max_by(F.struct(*batch.columns), F.struct("occurred_at", F.col("status") == "resolved")).alias("r")
+        rows.groupBy("alert_id").agg(newest).select("r.*").write.mode("overwrite").parquet(_batch_folder(states, number))
+        active = spark.read.schema(batch.schema).parquet(_batch_folder(states, number)).where("status <> 'resolved'")
+        incidents_sync(existing if last is None else last, active, run_ts).write.mode("overwrite").parquet(_batch_folder(root, number))
 
     return _start(alerts, checkpoint, each, once)
 
