@@ -16,7 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 RUN = 8
 SHARES = ("symbol_share", "dup_line_share", "repeat_share", "word_length")
-FLOORS = {"symbol_share": 0.02, "dup_line_share": 0.10, "repeat_share": 0.10, "word_length": 2.0}
+FLOORS = {"symbol_share": 0.02, "dup_line_share": 0.35, "repeat_share": 0.30, "word_length": 2.0}
 """Smallest distance of a threshold from the upper quartile, so that groups without spread keep their rows."""
 
 
@@ -84,9 +84,8 @@ def thresholds(rows: DataFrame, lang: str, source: str, spread: float, least_row
 
     l, s = limits(by_lang, "l"), limits(group, "s")
     joined = s.join(l, F.col("s_g_lang").eqNullSafe(F.col("l_g_lang")), "left")
-    total = limits(every, "e").withColumn("e_limits", F.col("e_limits")).withColumn("one", F.lit(1))
-    joined = joined.withColumn("one", F.lit(1)).join(F.broadcast(total), "one", "left")
-    return joined.select(F.col("s_g_lang").alias("g_lang"), F.col("s_g_source").alias("g_source"), F.coalesce("s_limits", "l_limits", "e_limits").alias("limits"))
+    total = limits(every, "e").select("e_limits").scalar()
+    return joined.select(F.col("s_g_lang").alias("g_lang"), F.col("s_g_source").alias("g_source"), F.coalesce("s_limits", "l_limits", total).alias("limits"))
 
 
 def judge_quality(docs: DataFrame, spread: float = 3.0, least_rows: int = 50, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
