@@ -417,8 +417,8 @@ def product_of_url(url: Column) -> Column:
     return F.nullif(F.regexp_extract(F.coalesce(url, F.lit("")), r"/product/([0-9]+)", 1), F.lit("")).try_cast("long")
 
 
-def real_time_dashboard(events: DataFrame) -> DataFrame:
-    """Per day and hour: orders, revenue, users, rates and the most valuable product page.
+def real_time_dashboard(events: DataFrame, product: DataFrame) -> DataFrame:
+    """Per day and hour: orders, revenue, users, rates, the most valuable product page and category.
 
     A purchase event is an order worth its value; rates are over the hour's visitors and carts.
     """
@@ -437,7 +437,10 @@ def real_time_dashboard(events: DataFrame) -> DataFrame:
     viewed = events.select(hour.alias("_h"), product_of_url(F.col("page_url")).alias("p"), "value").where("p IS NOT NULL")
     per_product = viewed.groupBy("_h", "p").agg(F.sum("value").alias("v"))
     best = per_product.groupBy("_h").agg(F.max(F.struct("v", "p")).alias("b"))
-    joined = sums.join(best, "_h", "left")
+    kinds = product.select(F.col("product_id").cast("long").alias("p"), "category_name")
+    per_category = per_product.join(kinds, "p").groupBy("_h", "category_name").agg(F.sum("v").alias("v"))
+    category = per_category.groupBy("_h").agg(F.max(F.struct("v", "category_name")).alias("k"))
+    joined = sums.join(best, "_h", "left").join(category, "_h", "left")
     return joined.select(
         F.to_date("_h").alias("metric_date"),
         F.hour("_h").alias("metric_hour"),
@@ -447,6 +450,8 @@ def real_time_dashboard(events: DataFrame) -> DataFrame:
         (F.when(F.col("_carts") > 0, 1.0).otherwise(0.0) - _capped(F.col("_buyers"), F.col("_carts"))).alias("cart_abandonment_rate"),
         F.col("b.p").alias("top_product_id"),
         F.col("b.v").alias("top_product_value"),
+        F.col("k.category_name").alias("top_category"),
+        F.col("k.v").alias("top_category_revenue"),
         money_ratio(F.col("revenue_today"), F.col("orders_today")).alias("average_order_value"),
         _capped(F.col("_buyers"), F.col("active_users")).alias("conversion_rate"),
         "page_views",

@@ -343,14 +343,17 @@ def fit_isolation_forest(features: DataFrame, trees: int = TREES, sample: int =
     """Node table of the forest: at most ``trees`` times twice ``sample`` rows.
 
     The sample is the rows with the lowest hashes, so it is the same in every run; trees
-    grow in parallel, one group of ``sample`` rows each.
+    grow in parallel, one group of ``sample`` rows each. Hashes are even, so a cut from the
+    row count leaves little more than the sample before anything is sorted.
     """
     need = trees * sample
     total = features.agg(F.count("*").alias("n")).first()["n"]
     copies = max(1, math.ceil(need / max(1, total)))
     spread = features.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     hashed = spread.withColumn("_hash", F.xxhash64(F.lit(SEED), "_copy", "log_id"))
-    chosen = hashed.orderBy("_hash").limit(need)
+    share = min(1.0, (need + 8 * math.sqrt(need)) / max(1, total * copies))
+    cut = min((1 << 63) - 1, int(-(1 << 63) + share * (1 << 64)))
+    chosen = hashed.where(F.col("_hash") <= cut).orderBy("_hash").limit(need)
     place = F.row_number().over(W.orderBy("_hash")) - 1
     grouped = chosen.withColumn("tree", F.floor(place / sample).cast("int")).groupBy("tree")
     return grouped.applyInPandas(_grow, _NODES).toPandas()

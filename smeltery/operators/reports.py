@@ -211,6 +211,11 @@ def export_daily_sales(daily: DataFrame) -> DataFrame:
     )
 
 
+def write_csv(report: DataFrame, path: str) -> None:
+    """A report as CSV with a header, one file: reports of this kind have a row a day."""
+    report.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
 def _recent_sales(sales: DataFrame, dim_date: DataFrame, as_of, days: int) -> DataFrame:
     recent = dim_date.where(F.col("full_date") >= _back(as_of, days)).select(
         F.col("date_key").alias("order_date_key"), "full_date"

@@ -159,15 +159,17 @@ sql_table(
           COUNT(*) FILTER (WHERE event_type = 'page_view') AS pv, COUNT(DISTINCT CASE WHEN event_type = 'page_view' THEN user_id END) AS uv, COUNT(DISTINCT CASE WHEN event_type = 'purchase' THEN user_id END) AS b, COUNT(DISTINCT CASE WHEN event_type = 'add_to_cart' THEN user_id END) AS c
           FROM clickstream GROUP BY 1),
         p AS (SELECT h, pid, v FROM (SELECT DATE_TRUNC('hour', event_timestamp) AS h, TRY_CAST(NULLIF(regexp_extract(page_url, '/product/([0-9]+)', 1), '') AS BIGINT) AS pid, SUM(value) AS v FROM clickstream GROUP BY ALL) WHERE pid IS NOT NULL
-              QUALIFY ROW_NUMBER() OVER (PARTITION BY h ORDER BY v DESC, pid DESC) = 1)
-        SELECT h::DATE AS metric_date, HOUR(h)::INTEGER AS metric_hour, o AS orders_today, rev::DOUBLE AS revenue_today, au AS active_users, CASE WHEN c > 0 THEN 1.0::DOUBLE ELSE 0 END - {_rate('b', 'c')} AS cart_abandonment_rate, pid AS top_product_id, v::DOUBLE AS top_product_value,
-          CASE WHEN o > 0 THEN {half_up('(rev * 100)::HUGEINT', 'o')} END::DOUBLE AS average_order_value, {_rate('b', 'au')} AS conversion_rate, pv AS page_views, uv AS unique_visitors FROM s LEFT JOIN p USING (h)""",
+              QUALIFY ROW_NUMBER() OVER (PARTITION BY h ORDER BY v DESC, pid DESC) = 1),
+        k AS (SELECT h, category_name, SUM(value) AS kv FROM (SELECT DATE_TRUNC('hour', event_timestamp) AS h, TRY_CAST(NULLIF(regexp_extract(page_url, '/product/([0-9]+)', 1), '') AS BIGINT) AS product_id, value FROM clickstream) JOIN silver_product USING (product_id)
+              GROUP BY 1, 2 QUALIFY ROW_NUMBER() OVER (PARTITION BY h ORDER BY kv DESC, category_name DESC) = 1)
+        SELECT h::DATE AS metric_date, HOUR(h)::INTEGER AS metric_hour, o AS orders_today, rev::DOUBLE AS revenue_today, au AS active_users, CASE WHEN c > 0 THEN 1.0::DOUBLE ELSE 0 END - {_rate('b', 'c')} AS cart_abandonment_rate, pid AS top_product_id, v::DOUBLE AS top_product_value, category_name AS top_category, kv::DOUBLE AS top_category_revenue,
+          CASE WHEN o > 0 THEN {half_up('(rev * 100)::HUGEINT', 'o')} END::DOUBLE AS average_order_value, {_rate('b', 'au')} AS conversion_rate, pv AS page_views, uv AS unique_visitors FROM s LEFT JOIN p USING (h) LEFT JOIN k USING (h)""",
 )
 
 
 @query("real_time_dashboard", "SELECT * FROM dashboard")
 def _dashboard(t):
-    return marts.real_time_dashboard(t("clickstream"))
+    return marts.real_time_dashboard(t("clickstream"), t("silver_product"))
 
 
 _RUN = "TIMESTAMP '2001-08-02 00:00:00'"
