@@ -24,7 +24,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 from smeltery.llm.folders import stored
 from smeltery.llm.graph import components
 from smeltery.llm.substrings import squeezed
-from smeltery.llm.text import NOT_SPACE, UPPER, Spans, chunks, mix, shingle_sets, table_of, word_hashes, word_spans
+from smeltery.llm.text import CHUNK_BYTES, NOT_SPACE, UPPER, Spans, chunks, mix, shingle_sets, table_of, word_hashes, word_spans
 
 BLOCK = 256
 
@@ -125,7 +124,7 @@ def sketches(docs: DataFrame, plan: Plan) -> DataFrame:
     kind = dict(docs.dtypes)["k"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in chunks(batches, "t"):
+        for batch, data, offsets in chunks(batches, "t", 2 * CHUNK_BYTES):
             values, border = _sets(data, offsets, plan.shingle)
             s1 = Spans(values).hashes(border[:-1], border[1:]).view(np.int64)
             sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(values ^ np.uint64(0x1D8E4E27C47D124F)))))
@@ -251,15 +250,18 @@ def _rest(met: DataFrame, active: DataFrame, joined: DataFrame, plan: Plan) -> D
     kind = dict(rows.dtypes)["g"]
     percent, shingle = plan.percent, plan.shingle
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    def run(group: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor()
-        values, border = _sets_of([unpack.decompress(z) for z in group["z"]], shingle)
-        size, g, ask = np.diff(border), group["g"].to_numpy(), group["ask"].to_numpy()
+        values, border = _sets_of([unpack.decompress(z) for z in group.column("z").to_pylist()], shingle)
+        size, names = np.diff(border), group.column("g").to_pylist()
+        codes = {name: i for i, name in enumerate(dict.fromkeys(names))}
+        g, ask = np.array([codes[name] for name in names]), np.array(group.column("ask").to_pylist())
         left, right = np.flatnonzero(ask), np.flatnonzero(~ask)
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": group["g"].iloc[:0], "b": group["g"].iloc[:0]})
-        hit = _close(intersections(values, border, left, right), size[left][:, None], size[right][None, :], percent) & (g[left][:, None] != g[right][None, :])
-        x, y = np.nonzero(hit)
-        return pd.DataFrame({"a": g[left[x]], "b": g[right[y]]}).drop_duplicates()
-
-    return asks.unionByName(gives).groupBy("bucket", "i", "j").applyInPandas(run, f"a {kind}, b {kind}")
+        pairs: set[tuple] = set()
+        if len(left) and len(right):
+            hit = _close(intersections(values, border, left, right), size[left][:, None], size[right][None, :], percent) & (g[left][:, None] != g[right][None, :])
+            pairs = {(names[left[x]], names[right[y]]) for x, y in zip(*np.nonzero(hit))}
+        one = group.schema.field("g").type
+        return pa.table({"a": pa.array([x for x, _ in pairs], one), "b": pa.array([y for _, y in pairs], one)})
+
+    return asks.unionByName(gives).groupBy("bucket", "i", "j").applyInArrow(run, f"a {kind}, b {kind}")
