@@ -95,9 +95,11 @@ def squeezed(docs: DataFrame, column: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            small = pa.array([None if t is None else pack.compress(t.encode("utf-8")) for t in batch.column(column).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([small if n == column else batch.column(n) for n in names], names=names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                small = pa.array([None if t is None else pack.compress(t.encode("utf-8")) for t in batch.column(column).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([small if n == column else batch.column(n) for n in names], names=names)
 
     return docs.mapInArrow(run, schema)
 
@@ -175,9 +177,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, key:
     """
     docs = docs.drop("n_words", "n_removed", "kept")
     names = docs.columns
-    keyed = docs.withColumns({"_k": F.col(f"`{key}`"), "_h": F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))})
-    plain = keyed.select(F.col("_k").alias("k"), F.col("_h").alias("h"), F.col(f"`{text}`").alias("t"))
-    ranges = repeats(plain, length, seed).groupBy("k", "h").agg(F.collect_set(F.struct("lo", "hi")).alias("_ranges"))
+    keyed = docs.withColumns({"__k": F.col(f"`{key}`"), "__h": F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))})
+    plain = keyed.select(F.col("__k").alias("k"), F.col("__h").alias("h"), F.col(f"`{text}`").alias("t"))
+    ranges = repeats(plain, length, seed).groupBy(F.col("k").alias("__rk"), F.col("h").alias("__rh")).agg(F.collect_set(F.struct("lo", "hi")).alias("__ranges"))
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +187,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, key:
             starts, ends, first = word_spans(data, offsets, NOT_SPACE)
             raw = data.tobytes()
             removed, kept = [], []
-            for i, ranges_of in enumerate(batch.column("_ranges").to_pylist()):
+            for i, ranges_of in enumerate(batch.column("__ranges").to_pylist()):
                 a, b = first[i], first[i + 1]
                 depth = np.zeros(b - a + 1, dtype=np.int64)
                 for r in ranges_of or ():
@@ -197,5 +199,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, key:
             given = [batch.column(n).cast(pa.string()) if n == text else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays([*given, pa.array(np.diff(first)), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=schema.fieldNames())
 
-    joined = squeezed(keyed, text).join(ranges, F.col("_k").eqNullSafe(F.col("k")) & (F.col("_h") == F.col("h")), "left")
-    return joined.select(*[F.col(f"`{n}`") for n in names], "_ranges").mapInArrow(run, schema)
+    joined = squeezed(keyed, text).join(ranges, F.col("__k").eqNullSafe(F.col("__rk")) & (F.col("__h") == F.col("__rh")), "left")
+    return joined.select(*[F.col(f"`{n}`") for n in names], "__ranges").mapInArrow(run, schema)

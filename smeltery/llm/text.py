@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 _BASE = np.uint64(0x9E6C63D0876A9A63)
 _BASE_INV = np.uint64(pow(0x9E6C63D0876A9A63, -1, 1 << 64))
