@@ -38,11 +38,16 @@ def train(docs: DataFrame, may_learn: Column, texts_per_language: int = 400, dic
     """Dictionaries from at most ``texts_per_language`` whole texts a language, the smallest by a hash.
 
     Only rows with ``may_learn`` true and text and language not null are used. The sample is bounded by the
-    two parameters and the number of languages; each chosen text gives an equal share of the dictionary.
+    two parameters and the number of languages (the ranking sees about four times as many hashes); each
+    chosen text gives an equal share of the dictionary.
     """
     usable = docs.where(may_learn & F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("l"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
     sizes = {r["l"]: r["n"] for r in usable.groupBy("l").agg(F.count("*").alias("n")).collect()}
-    chosen = usable.select("l", "h").distinct().withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= texts_per_language)
+    kinds = usable.select("l", "h").distinct()
+    counts = kinds.groupBy("l").agg(F.count("*").alias("n"))
+    drawn = kinds.withColumn("d", F.pmod(F.xxhash64("h"), F.lit(1 << 30))).join(F.broadcast(counts), "l")
+    few = drawn.where(F.col("d") * F.col("n") <= F.lit(float(4 * texts_per_language << 30)))
+    chosen = few.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("d", "h"))).where(F.col("r") <= texts_per_language)
     sample = usable.join(F.broadcast(chosen.select("l", "h")), ["l", "h"]).groupBy("l", "h").agg(F.min("t").alias("t"))
     parts: dict[str, list[tuple[int, str]]] = {}
     for row in sample.toLocalIterator():
