@@ -2,7 +2,8 @@
 
 Four shares of every document go into quantile sketches per language and source. Sketches merge, so a
 hot source is summed up before it is shuffled, and a group too small for its own quantiles takes those of
-its language or, failing that, of all documents.
+its language or, failing that, of all documents. Two of the shares are 0 almost everywhere; their rows above 0
+have sketches of their own, of which a high quantile is the least threshold.
 """
 
 from __future__ import annotations
@@ -16,8 +17,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 RUN = 8
 SHARES = ("symbol_share", "dup_line_share", "repeat_share", "word_length")
-FLOORS = {"symbol_share": 0.02, "dup_line_share": 0.35, "repeat_share": 0.30, "word_length": 2.0}
+FLOORS = {"symbol_share": 0.02, "dup_line_share": 0.02, "repeat_share": 0.02, "word_length": 2.0}
 """Smallest distance of a threshold from the upper quartile, so that groups without spread keep their rows."""
+TAILS = {"dup_line_share": 0.25, "repeat_share": 0.20}
+"""Shares that are 0 in most rows, where quartiles say nothing: a threshold is at least the ``TAIL`` quantile of the
+language's rows above 0 (failing that, of all rows above 0; the figure here where those are too few as well)."""
+TAIL, TAIL_SIZE = 0.98, 1000
 
 
 def _repeated(words: Column) -> Column:
@@ -68,9 +73,14 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def thresholds(rows: DataFrame, lang: str, source: str, spread: float, least_rows: int) -> DataFrame:
     """g_lang, g_source and the highest share that each rule lets pass."""
-    sketched = rows.groupBy(F.col(lang).alias("g_lang"), F.col(source).alias("g_source")).agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(s).alias(s) for s in SHARES])
+    positive = {f"{s}_tail": F.when(F.col(s) > 0, F.col(s)) for s in TAILS}
+    sketched = rows.groupBy(F.col(lang).alias("g_lang"), F.col(source).alias("g_source")).agg(
+        F.count("*").alias("n"),
+        *[F.kll_sketch_agg_double(s).alias(s) for s in SHARES],
+        *[F.kll_sketch_agg_double(c, TAIL_SIZE).alias(name) for name, c in positive.items()],
+    )
     group = stored(sketched, "quality-sketches")
-    merged = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(s).alias(s) for s in SHARES]]
+    merged = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(s).alias(s) for s in SHARES], *[F.kll_merge_agg_double(name, TAIL_SIZE).alias(name) for name in positive]]
     by_lang = group.groupBy("g_lang").agg(*merged)
     every = group.agg(*merged)
 
@@ -79,13 +89,31 @@ def thresholds(rows: DataFrame, lang: str, source: str, spread: float, least_row
             low, high = (F.kll_sketch_get_quantile_double(F.col(s), F.lit(q)) for q in (0.25, 0.75))
             return high + F.greatest(F.lit(FLOORS[s]), F.lit(spread) * (high - low))
 
+        def tail(s: str) -> Column:
+            sketch = F.col(f"{s}_tail")
+            enough = F.kll_sketch_get_n_double(sketch) >= F.greatest(F.lit(least_rows), F.lit(1))
+            return F.when(enough, F.kll_sketch_get_quantile_double(sketch, F.lit(TAIL)))
+
         keys = [c for c in ("g_lang", "g_source") if c in df.columns]
-        return df.select(*[F.col(k).alias(f"{prefix}_{k}") for k in keys], F.when(F.col("n") >= least_rows, F.struct(*[limit(s).alias(s) for s in SHARES])).alias(f"{prefix}_limits"))
+        return df.select(
+            *[F.col(k).alias(f"{prefix}_{k}") for k in keys],
+            F.when(F.col("n") >= least_rows, F.struct(*[limit(s).alias(s) for s in SHARES])).alias(f"{prefix}_limits"),
+            F.struct(*[tail(s).alias(s) for s in TAILS]).alias(f"{prefix}_tails"),
+        )
 
-    l, s = limits(by_lang, "l"), limits(group, "s")
+    l, s = limits(by_lang, "l"), limits(group, "s").drop("s_tails")
     joined = s.join(l, F.col("s_g_lang").eqNullSafe(F.col("l_g_lang")), "left")
-    total = limits(every, "e").select("e_limits").scalar()
-    return joined.select(F.col("s_g_lang").alias("g_lang"), F.col("s_g_source").alias("g_source"), F.coalesce("s_limits", "l_limits", total).alias("limits"))
+    total = limits(every, "e").select(F.struct("e_limits", "e_tails").alias("e")).scalar()
+    found = joined.select(F.col("s_g_lang").alias("g_lang"), F.col("s_g_source").alias("g_source"), "s_limits", "l_limits", "l_tails", total.alias("e"))
+    found = found.withColumn("quartiles", F.coalesce("s_limits", "l_limits", "e.e_limits"))
+
+    def least(s: str) -> Column:
+        by_quartiles = F.col(f"quartiles.{s}")
+        if s not in TAILS:
+            return by_quartiles
+        return F.when(by_quartiles.isNotNull(), F.greatest(by_quartiles, F.coalesce(f"l_tails.{s}", f"e.e_tails.{s}", F.lit(TAILS[s]))))
+
+    return found.select("g_lang", "g_source", F.struct(*[least(s).alias(s) for s in SHARES]).alias("limits"))
 
 
 def judge_quality(docs: DataFrame, spread: float = 3.0, least_rows: int = 50, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -93,7 +121,8 @@ def judge_quality(docs: DataFrame, spread: float = 3.0, least_rows: int = 50, te
 
     ``base_failed``: under 20 words, or more than 30 in 100 words repeated. ``kept`` is false there, and where
     a share lies over the upper quartile of its language and source by more than ``spread`` quartile distances
-    (and by more than its floor). Only rows that pass the base rules count for the quartiles. Groups under
+    (and by more than its floor). Shares of ``TAILS`` also have to lie over a high quantile of the language's
+    rows above 0. Only rows that pass the base rules count for the quartiles. Groups under
     ``least_rows`` rows use their language's, then all rows' quartiles; if those are too few as well, the
     base rules alone decide. Null languages and sources are groups of their own.
     """

@@ -108,5 +108,23 @@ def test_thresholds_follow_the_group(spark):
     assert not judged[300] and not judged[302]
 
 
+def shaped(i, repeated=8, same_lines=1, words="wort", marks=""):
+    """Two hundred words with one passage twice, then ten short lines of which some are the same."""
+    run = [f"{words}{i}r{k}" for k in range(repeated)]
+    body = [*run, *[f"{words}{i}x{k}" for k in range(200 - 2 * repeated)], *run]
+    lines = [f"z{i} same" if k % 2 == 0 and k <= 2 * same_lines else f"z{i} l{k}" for k in range(10)]
+    return " ".join(body) + marks + "\n" + "\n".join(lines)
+
+
+@pytest.mark.parametrize("usual", [{}, {"repeated": 0, "same_lines": 0}])
+def test_each_rule_rejects_a_row(spark, usual):
+    """With repeats in every row, and with none but the one to reject (too few for a quantile of their own)."""
+    odd = {1000: {"repeated": 28}, 1001: {"same_lines": 4}, 1002: {"marks": "#" * 150}, 1003: {"words": "wortwort"}}
+    rows = [(i, shaped(i, **usual), "en", "s") for i in range(80)] + [(i, shaped(i, **usual | o), "en", "s") for i, o in odd.items()]
+    judged = {r.doc_id: r for r in quality.judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(r.base_failed for r in judged.values())
+    assert sorted(i for i, r in judged.items() if not r.kept) == sorted(odd)
+
+
 def test_quality_without_rows(no_docs):
     assert quality.judge_quality(no_docs).collect() == []
