@@ -14,7 +14,6 @@ from pyspark.sql.streaming import StreamingQuery
 from smeltery.functions.keyed import latest_per_key
 from smeltery.functions.exprs import money
 from smeltery.operators.alerts import incidents_sync
-from smeltery.operators.workload import COUNTERS
 from smeltery.sources.tables import insert_ignore
 
 WATERMARK = "1 hour"
@@ -125,38 +124,6 @@ def _last_state(spark: SparkSession, root: str, before: int) -> DataFrame | None
     return None
 
 
-def keyed_counter_deltas(stream: DataFrame) -> DataFrame:
-    """The same deltas with keyed state held by the engine, for statements of even load.
-
-    The rows of one statement in one batch have to fit a task. Late snapshots are left out, as above.
-    """
-    fields = "seen double, snapshot long, " + ", ".join(f"{c} double" for c in COUNTERS)
-    output = "queryid long, snapshot_id long, seen_at timestamp_ntz, " + ", ".join(f"delta_{c} double" for c in COUNTERS)
-
-    def step(key, chunks, state):
-        import pandas as pd
-
-        seen, snapshot, *last = list(state.get) if state.exists else [float("-inf"), 0, *[0.0] * len(COUNTERS)]
-        rows = pd.concat(list(chunks)).sort_values(["seen_at", "snapshot_id"])
-        at = rows["seen_at"].to_numpy().astype("datetime64[us]").astype("int64").astype(float)
-        fresh = (at > seen) | ((at == seen) & (rows["snapshot_id"].to_numpy() > snapshot))
-        rows, at = rows[fresh], at[fresh]
-        if not len(rows):
-            return
-        values = rows[list(COUNTERS)].astype(float).to_numpy()
-        before = pd.DataFrame([last, *values[:-1]]).to_numpy()
-        grown = (values - before).clip(min=0.0)
-        state.update((float(at[-1]), int(rows["snapshot_id"].iloc[-1]), *(float(v) for v in values[-1])))
-        result = pd.DataFrame(grown, columns=[f"delta_{c}" for c in COUNTERS])
-        result.insert(0, "seen_at", rows["seen_at"].to_numpy())
-        result.insert(0, "snapshot_id", rows["snapshot_id"].to_numpy())
-        result.insert(0, "queryid", key[0])
-        yield result[result["delta_calls"] > 0]
-
-    typed = stream.select("queryid", "snapshot_id", "seen_at", *[F.col(c).cast("double").alias(c) for c in COUNTERS])
-    return typed.groupBy("queryid").applyInPandasWithState(step, output, fields, "append", "NoTimeout")
-
-
 def hourly_dashboard(events: DataFrame) -> DataFrame:
     """Hourly figures with late rows up to the watermark; users are counted approximately."""
     kind = F.col("event_type")

@@ -2,11 +2,14 @@
 
 import datetime as dt
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from smeltery.operators import ml, workload
 from smeltery.operators.silver import BRONZE
+from smeltery.plans import catalog, stream_queries
 from smeltery.plans.dashboard import analytics_dashboard, home_dashboard, monitoring_dashboard
 from smeltery.plans.pipeline import Load
 from smeltery.sources.adapter import TestTables
@@ -151,6 +154,25 @@ def test_counter_state_carries_over(spark, t, tmp_path):
     assert got.select(want.columns).exceptAll(want).count() == 0 and want.count() == got.count()
 
 
+def test_keyed_counters_of_one_hot_statement(spark, tmp_path, monkeypatch):
+    """All rows under one statement: no keyed state of the engine, which would hold them in one task."""
+    events = pq.read_table(f"{SF_DIR}/events.parquet")
+    at = events.schema.get_field_index("user_id")
+    events = events.set_column(at, events.schema.field(at), pa.array([7] * len(events), events.schema.field(at).type))
+    pq.write_table(events, tmp_path / "events.parquet")
+    progress, finish = [], stream_queries._finish
+    monkeypatch.setattr(stream_queries, "_finish", lambda running: (finish(running), progress.extend(running.recentProgress)))
+    got = catalog.all_queries()["stream_keyed_counter_deltas"](spark, str(tmp_path))
+    assert progress and not any(p["stateOperators"] for p in progress)
+    plain = TestTables(spark, str(tmp_path))("counter_snapshots").select("queryid", "snapshot_id", "seen_at", *workload.COUNTERS)
+    rows, want = sorted(plain.collect(), key=lambda r: (r.seen_at, r.snapshot_id)), []
+    for before, row in zip([None, *rows], rows):
+        grown = [max(0.0, float(row[c]) - float(before[c] if before else 0)) for c in workload.COUNTERS]
+        if grown[workload.COUNTERS.index("calls")] > 0:
+            want.append((row.queryid, row.snapshot_id, row.seen_at, *grown))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_log_file(spark, tmp_path):
     path = tmp_path / "log.txt"
     path.write_text('{"timestamp": "1", "event_type": "system"}\nnope\n{"timestamp": "2", "event_type": "click"}\n')
