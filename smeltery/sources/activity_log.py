@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from smeltery.functions.exprs import trimmed
 
@@ -11,11 +11,17 @@ PAYLOAD = (
     "summary string, details map<string,string>"
 )
 TABBED_FIELDS = 7
-PREVIEW = 400
 
 
-def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
-    """One row per line that is neither blank nor a comment, with a flag for unreadable ones."""
+def parse_lines(lines: DataFrame, column: str = "value", summary_chars: int | None = None, preview_chars: int | None = None) -> DataFrame:
+    """One row per line that is neither blank nor a comment, with a flag for unreadable ones.
+
+    Summaries and previews of unreadable lines are whole texts; a page can ask for their first characters.
+    """
+
+    def shown(text: Column, chars: int | None) -> Column:
+        return text if chars is None else F.left(text, F.lit(chars))
+
     line = F.trim(F.col(column))
     fields = F.split(F.col("_line"), "\t", -1)
     text = F.when(F.col("_line").startswith("{"), F.col("_line")).when(
@@ -42,9 +48,9 @@ def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
         F.when(readable, kind).alias("event_type"),
         F.when(readable, F.coalesce(F.col("_p.source"), F.lit("dashboard"))).alias("source"),
         F.when(readable, F.col("_p.page")).alias("page"),
-        F.when(readable, F.coalesce(trimmed("_p.summary"), F.left(F.regexp_replace(spelled, r"\s+", " "), F.lit(500)))).alias("summary"),
+        F.when(readable, F.coalesce(trimmed("_p.summary"), shown(F.regexp_replace(spelled, r"\s+", " "), summary_chars))).alias("summary"),
         (~readable).alias("parse_error"),
-        F.when(~readable, F.left("_line", F.lit(PREVIEW))).alias("raw_preview"),
+        F.when(~readable, shown(F.col("_line"), preview_chars)).alias("raw_preview"),
     )
 
 

@@ -186,6 +186,15 @@ def test_log_lines(spark):
     assert got[0].event_id == "e1" and got[1].summary == "Navigation → /a with query q=1"
 
 
+def test_log_lines_keep_long_texts(spark):
+    message, broken = " ".join(f"w{i}" for i in range(400)), "{broken " + "x" * 900
+    lines = spark.createDataFrame([('{"event_type": "click", "message": "' + message + '"}',), (broken,)], "value string")
+    readable, other = parse_lines(lines).collect()
+    assert readable.summary == message and other.raw_preview == broken
+    readable, other = parse_lines(lines, summary_chars=500, preview_chars=400).collect()
+    assert readable.summary == message[:500] and other.raw_preview == broken[:400]
+
+
 def test_growth_line_never_below_zero(spark):
     trends = spark.createDataFrame([("bronze", 10, 100, 5.0, 0.0)], "layer string, current_size long, total_operations long, daily_growth double, growth_rate_percent double")
     points = {r.day: r.projected_size for r in storage.growth_points(trends, "2024-01-05", 4).collect()}
