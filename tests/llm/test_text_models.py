@@ -110,6 +110,31 @@ def test_narrow_margins_are_rejected(spark):
     assert out == {1: ("aa", True), 2: ("aa", False)}
 
 
+def test_license_families_and_notices():
+    """Each known text alone, and each name in a notice with a lead-in, written out here."""
+    rules = licenses.SentenceRules()
+    found = lambda text: rules.licenses([n for n, _, _ in rules.sentences(text)])
+    texts = {"gpl2-program": "GPL-2.0-or-later", "lgpl21-library": "LGPL-2.1-or-later", "lgpl3-program": "LGPL-3.0-or-later", "agpl3-program": "AGPL-3.0-or-later", "mpl2-subject": "MPL-2.0", "isc-grant": "ISC", "cc0-dedicated": "CC0-1.0"}
+    for sentence, want in texts.items():
+        assert found("Some words.\n" + licenses.SENTENCES[sentence].replace(" the ", "\n  the ") + " More.") == [want]
+    notices = {
+        "This project is licensed under the MIT License.": ["MIT"],
+        "The code is released under the GNU Lesser General Public License, version 3 or later, see below": ["LGPL-3.0-or-later"],
+        "It is distributed under the terms of the GNU Affero General Public License v3.0.": ["AGPL-3.0-only"],
+        "Our data is available under CC BY-SA 4.0; our code is licensed under GPLv2 or later.": ["CC-BY-SA-4.0", "GPL-2.0-or-later"],
+        "This file is licensed under the Mozilla Public License 2.0, docs are published under CC0.": ["MPL-2.0", "CC0-1.0"],
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": ["CC-BY-SA-4.0"],
+        "This project is licensed under the ISC license": ["ISC"],
+        "It is not licensed under the MIT License.": [],
+        "A book published under MIT Press rules": [],
+        "It is licensed under the MITRE license, or under the moon.": [],
+    }
+    for text, want in notices.items():
+        assert found(text) == want, text
+    text = "Ours.  This is licensed  under the MIT\tLicense, see there"
+    assert [text[a:b] for _, a, b in rules.sentences(text)] == ["licensed  under the MIT\tLicense"]
+
+
 def test_license_sentences(spark, hard_docs, no_docs, hard_rows):
     rules = licenses.SentenceRules()
     mit = "MIT License\n\n" + licenses.SENTENCES["mit-grant"].replace(" of this software", "\nof this   software") + "\n\n" + licenses.SENTENCES["mit-notice"].upper()
