@@ -25,13 +25,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, a similarity of 0.8 or more.
 
-    The smallest id stays. A row that repeats an id with the same words goes with its group's others; one
-    of several rows with the id that stays is kept.
+    The smallest id stays. Rows are told apart by id and text: several rows of one id with other texts are
+    documents of their own, and of rows that repeat id and text one is kept. Rows without an id stay.
     """
-    groups = near_dups.near_groups(docs, percent=80, shingle=5)
-    kept = groups.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    rows = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
-    return rows.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    text_bits = F.shiftrightunsigned(F.xxhash64("text"), 4).cast("decimal(19,0)")
+    keyed = docs.withColumn("_key", F.col("doc_id").cast("decimal(19,0)") * F.lit(1 << 60).cast("decimal(19,0)") + text_bits)
+    groups = near_dups.near_groups(keyed.select("_key", "text"), percent=80, shingle=5, key="_key")
+    kept = groups.where("kept AND _key IS NOT NULL").select("_key").distinct()
+    rows = keyed.where("_key IS NOT NULL").join(kept, "_key", "left_semi").dropDuplicates(["_key"])
+    return rows.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,6 +37,17 @@ def test_stages_against_plain_python(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "substring_dedup", "decontamination", "packing"]
 
 
+def test_one_id_with_several_texts(spark):
+    """Only copies go: each text of an id is judged by itself, and rows that repeat id and text are one."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    top = 2**63 - 1
+    rows = [(1, a), (1, b), (1, a), (2, a + " end"), (0, b + " end"), (5, c), (5, d), (5, None), (-7, c + " end"), (top, a + " last"), (top, "alone here"), (-top, "of its own"), (None, a)]
+    docs = spark.createDataFrame([(i, t, None if t is None else len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    out = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, FOLDER)
+    want = [(1, a), (0, b + " end"), (5, d), (5, None), (-7, c + " end"), (top, "alone here"), (-top, "of its own"), (None, a)]
+    assert out.columns == docs.columns and sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(want, key=str)
+
+
 def test_hard_rows_go_through(spark, hard_docs, no_docs):
     for docs in (hard_docs, no_docs):
         for name, stage in corpus_pipeline.STAGES:
