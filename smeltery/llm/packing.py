@@ -8,24 +8,20 @@ open bins and one chunk of text, and a task that runs again gives the same rows.
 
 from __future__ import annotations
 
-import os
 import re
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from smeltery.llm.text import NOT_SPACE, UPPER, byte_class, chunks, word_hashes, word_spans
+from smeltery.llm.text import chunks
+from smeltery.llm.wordwise import WordwiseTokens
 
 OPEN_BINS = 512
-CACHE_WORDS = 500_000
-
 LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-LETTERS = byte_class((0x41, 0x5A), (0x61, 0x7A))
-SIGNS = byte_class((0x21, 0x26), (0x28, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
 _PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_SIGNS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 """Byte-level BPE writes bytes without a printable sign as signs from 256 on."""
@@ -73,24 +69,12 @@ class OpenBins:
         return number, self.capacity - free
 
 
-class WordTokens:
-    """Ids of whole texts from ids of their words.
-
-    Correct for byte-level BPE that lower-cases, drops white space and splits letters from other
-    signs: words are parted at white space and between an ASCII letter and an ASCII sign (never beside
-    an apostrophe, which may belong to a contraction), and each distinct one is encoded once. A bounded
-    cache keeps words between chunks. Plain Latin words go to the BPE model itself, all others through
-    the whole tokenizer.
-    """
+class WordTokens(WordwiseTokens):
+    """Plain Latin words go to the BPE model itself, all others through the whole tokenizer."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        super().__init__(path)
         self.model = self.tokenizer.model
-        self.cache: dict[int, bytes] = {}
 
     def word(self, raw: bytes) -> bytes:
         if raw.isalpha():
@@ -101,35 +85,10 @@ class WordTokens:
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the chunk, ``end_id`` after each text, and the border of each text."""
-        data = UPPER[data]
-        letter, sign = LETTERS[data], SIGNS[data]
-        cuts = np.flatnonzero((letter[:-1] & sign[1:]) | (sign[:-1] & letter[1:])) + 1
-        starts, ends, first = word_spans(data, offsets, NOT_SPACE, cuts)
-        known, example, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        keys = known.tolist()
-        cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        raw = data.tobytes()
-        for key, a, b in zip(keys, starts[example].tolist(), ends[example].tolist()):
-            if key not in cache:
-                cache[key] = self.word(raw[a:b])
-        lists = [cache[key] for key in keys]
-        lists.append(struct.pack("<I", end_id))
-        flat = np.frombuffer(b"".join(lists), dtype="<u4")
-        sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists)) // 4
-        begin = np.cumsum(sizes) - sizes
-        which = np.insert(which.reshape(-1), first[1:], len(keys))
-        lengths = sizes[which]
-        total = np.concatenate(([0], np.cumsum(lengths)))
-        ids = flat[np.repeat(begin[which] - total[:-1], lengths) + np.arange(total[-1])]
-        return ids, np.concatenate(([0], total[first[1:] + np.arange(1, len(first))]))
-
-
-def word_tokens(path: str) -> WordTokens:
-    """The tokenizer of this Python worker, kept from task to task."""
+
+def word_tokens(name: str) -> WordTokens:
+    """The tokenizer of this Python worker, kept from task to task; its file came with the job."""
+    path = SparkFiles.get(name)
     if path not in _TOKENS:
         _TOKENS.clear()
         _TOKENS[path] = WordTokens(path)
@@ -146,10 +105,12 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, o
     """
     kind = dict(docs.dtypes)[key]
     schema = f"{key} {kind}, piece int, start bigint, length bigint, ids binary, sequence_id bigint, offset bigint"
+    docs.sparkSession.sparkContext.addFile(tokenizer_path)
+    file = tokenizer_path.rsplit("/", 1)[-1]
     names = [key, "piece", "start", "length", "ids", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, bins = word_tokens(tokenizer_path), OpenBins(capacity, open_bins)
+        tokens, bins = word_tokens(file), OpenBins(capacity, open_bins)
         high = TaskContext.get().partitionId() << 32
         for batch, data, offsets in chunks(batches, text):
             ids, border = tokens.encode(data, offsets, end_id)

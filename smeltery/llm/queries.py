@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from smeltery.llm import decontamination, language, licenses, near_dups, packing, quality, substrings, toxicity, urls, warc
+from smeltery.llm import bpe, decontamination, divergence, language, licenses, near_dups, packing, quality, substrings, toxicity, urls, warc, whitening
 from smeltery.llm.folders import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +167,46 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.size("sentences").cast("long").alias("n_sentences"), F.array_join(F.array_sort("licenses"), ",").alias("licenses"))
+
+
+@query("op11_bpe")
+def bpe_ids_and_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+    decoded = bpe.decode_ids(encoded, tokenizer_path())
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op12_whitening")
+def whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query(
+    "op13_source_divergence",
+    r"""
+    WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                      regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    o AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+    l AS (SELECT lang, term, count(*) AS n FROM o GROUP BY lang, term HAVING count(DISTINCT id) >= 10),
+    lv AS (SELECT lang, count(*) AS v, sum(n) AS total FROM l GROUP BY lang),
+    c AS (SELECT o.lang, o.source, o.term, count(*) AS n FROM o JOIN l ON l.lang = o.lang AND l.term = o.term GROUP BY ALL),
+    t AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source),
+    f AS (SELECT g.lang, g.source, l.term, coalesce(c.n, 0) AS n,
+                 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (coalesce(t.total, 0) + 2 * lv.v) AS p
+          FROM g JOIN l ON l.lang = g.lang JOIN lv ON lv.lang = g.lang
+          LEFT JOIN t ON t.lang = g.lang AND t.source = g.source LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = l.term),
+    s AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+          FROM f a JOIN f b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL),
+    pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+              FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+    q AS (SELECT l.lang, l.term, 1 + (1000000000::HUGEINT * (l.n + 2)) // (lv.total + 2 * lv.v) AS q FROM l JOIN lv ON lv.lang = l.lang),
+    terms AS (SELECT f.lang, f.source, 'term' AS part, f.term AS item, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) AS value
+              FROM f JOIN q ON q.lang = f.lang AND q.term = f.term WHERE f.n > 0 AND p > q),
+    ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank
+               FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+    SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+    """,
+)
+def source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents").select("text", "lang", "source"))

@@ -41,7 +41,6 @@ def test_bins_refuse_what_cannot_fit():
 
 def test_whole_texts_round_trip(hard_docs, hard_rows):
     tokenizer = Tokenizer.from_file(tokenizer_path())
-    tokenizer.encode_special_tokens = True
     rows = pack_documents(hard_docs.withColumnRenamed("n_chars", "piece"), tokenizer_path(), capacity=64, open_bins=4).collect()
     want = sorted((str(i), tuple(tokenizer.encode(t or "", add_special_tokens=False).ids) + (0,)) for i, t, *_ in hard_rows)
     by_place = {}
