@@ -10,8 +10,9 @@ from smeltery.session import shared_dir
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The application's own folder in the shared folder of the session."""
-    return f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
+    """The application's own folder in the shared folder of the session, with the scheme Spark resolves it to."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -63,7 +63,8 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "warc")
     archives = warc.archive_pages(table(spark, sf_dir, "pages"), folder)
-    return warc.read_records(archives, f"{folder}/archives/warc").withColumnRenamed("record_id", "page_id")
+    records = warc.page_records(archives, f"{folder}/archives/warc")
+    return records.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 @query("op4_toxicity")
