@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F, types as T, Window
 
 from smeltery.llm.text import table_of
 
 PIECE = 4096
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass
@@ -35,32 +35,47 @@ class LanguageDictionaries:
 
 
 def train(docs: DataFrame, may_learn: Column, texts_per_language: int = 400, dictionary_bytes: int = 1 << 17, level: int = 6, text: str = "text", lang: str = "lang") -> LanguageDictionaries:
-    """Dictionaries from at most ``texts_per_language`` whole texts a language, the smallest by a hash.
+    """Dictionaries from at most ``texts_per_language`` texts a language, the smallest by a hash.
 
     Only rows with ``may_learn`` true and text and language not null are used. The sample is bounded by the
-    two parameters and the number of languages (the ranking sees about four times as many hashes); each
-    chosen text gives an equal share of the dictionary.
+    two parameters and the number of languages (the ranking sees about four times as many hashes). Every
+    chosen text gives one piece from a hashed place anywhere in it, cut before it leaves its task; texts
+    shorter than an equal share give all they have, and what they leave free goes to the longer ones.
     """
     usable = docs.where(may_learn & F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("l"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
     sizes = {r["l"]: r["n"] for r in usable.groupBy("l").agg(F.count("*").alias("n")).collect()}
-    kinds = usable.select("l", "h").distinct()
+    kinds = usable.select("l", "h", F.octet_length("t").alias("size")).groupBy("l", "h").agg(F.min("size").alias("size"))
     counts = kinds.groupBy("l").agg(F.count("*").alias("n"))
     drawn = kinds.withColumn("d", F.pmod(F.xxhash64("h"), F.lit(1 << 30))).join(F.broadcast(counts), "l")
     few = drawn.where(F.col("d") * F.col("n") <= F.lit(float(4 * texts_per_language << 30)))
-    chosen = few.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("d", "h"))).where(F.col("r") <= texts_per_language)
-    sample = usable.join(F.broadcast(chosen.select("l", "h")), ["l", "h"]).groupBy("l", "h").agg(F.min("t").alias("t"))
+    ranked = few.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("d", "h"))).where(F.col("r") <= texts_per_language)
+    chosen = [tuple(r) for r in ranked.select("l", "h", "size").collect()]
+    if not chosen:
+        return LanguageDictionaries([], [], level)
+    shares = {name: _share([s for l, _, s in chosen if l == name], dictionary_bytes) for name in sizes}
+    kind = T.StructType([T.StructField("l", T.StringType()), T.StructField("h", T.LongType()), T.StructField("share", T.IntegerType())])
+    wanted = docs.sparkSession.createDataFrame([(l, h, shares[l]) for l, h, _ in chosen], kind)
+    chars = F.greatest(F.lit(1), F.floor(F.col("share") * F.length("t") / F.octet_length("t"))).cast("int")
+    place = F.pmod(F.xxhash64("h", "l"), (F.greatest(F.lit(0), F.length("t") - chars) + 1).cast("long")).cast("int") + 1
+    cut = usable.join(F.broadcast(wanted), ["l", "h"]).select("l", "h", F.substring("t", place, chars).alias("piece"))
     parts: dict[str, list[tuple[int, str]]] = {}
-    for row in sample.toLocalIterator():
-        parts.setdefault(row["l"], []).append((row["h"], row["t"]))
+    for row in cut.groupBy("l", "h").agg(F.min("piece").alias("piece")).collect():  # dictionary_bytes a language
+        parts.setdefault(row["l"], []).append((row["h"], row["piece"]))
     names = sorted(parts, key=lambda n: (-sizes[n], n))
-    contents = []
-    for name in names:
-        texts = [t.encode("utf-8") for _, t in sorted(parts[name])]
-        share = max(256, dictionary_bytes // len(texts))
-        contents.append(b"\n".join(t[:share] for t in texts)[-dictionary_bytes:])
+    contents = [b"\n".join(t.encode("utf-8") for _, t in sorted(parts[name]))[-dictionary_bytes:] for name in names]
     return LanguageDictionaries(names, contents, level)
 
 
+def _share(lengths: list[int], total: int) -> int:
+    """The most that every text may give so that all together give at most ``total``."""
+    left, many = total, len(lengths)
+    for length in sorted(lengths):
+        if length * many > left:
+            return max(1, left // many)
+        left, many = left - length, many - 1
+    return max(lengths, default=0)
+
+
 def _pieces(raw: bytes) -> list[bytes]:
     return [raw[i : i + PIECE] for i in range(0, len(raw), PIECE)]
 
