@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from smeltery.llm.folders import stored
 from smeltery.llm.text import UPPER, Spans, byte_class, chunks, mix, table_of, word_spans
 
 LETTER_BYTES = byte_class((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
@@ -63,45 +64,31 @@ class FactorizationMachine:
         return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
-def choose_terms(place: np.ndarray, owner: np.ndarray, label: np.ndarray, terms: int, size: int, least: int) -> np.ndarray:
-    """Of ``terms`` numbered terms, those in at least ``least`` texts whose presence tells most about the label (G statistic)."""
-    both = np.bincount(place, minlength=terms).astype(np.float64)
-    hits = np.bincount(place[label[owner] == 1], minlength=terms).astype(np.float64)
-    n, pos = float(len(label)), float(label.sum())
-    gain = np.zeros(terms)
-    for cell, expected in (
+def choose_terms(counts: DataFrame, rows: int, toxic: int, size: int, least: int) -> np.ndarray:
+    """Of the terms in ``counts`` (term, both, hits), those in at least ``least`` texts whose presence tells most about the label (G statistic)."""
+    n, pos, both, hits = F.lit(float(rows)), F.lit(float(toxic)), F.col("both"), F.col("hits")
+    cells = (
         (hits, both * pos / n),
         (both - hits, both * (n - pos) / n),
         (pos - hits, (n - both) * pos / n),
         (n - both - pos + hits, (n - both) * (n - pos) / n),
-    ):
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain += np.where(cell > 0, cell * np.log(cell / expected), 0.0)
-    gain[both < least] = -1.0
-    best = np.argsort(-gain, kind="stable")[:size]
-    return np.sort(best[gain[best] > 0])
+    )
+    gain = sum((F.when(cell > 0, cell * F.log(cell / expected)).otherwise(0.0) for cell, expected in cells), F.lit(0.0))
+    best = counts.where(both >= least).select("term", gain.alias("gain")).where("gain > 0").orderBy(F.desc("gain"), "term").limit(size)
+    return np.sort(np.array([r.term for r in best.collect()], dtype=np.int64))
 
 
-def fit(term: np.ndarray, owner: np.ndarray, label: np.ndarray, size: int = 1024, least: int = 3, rank: int = 4, epochs: int = 12, rate: float = 0.3, decay: float = 1e-5, seed: int = 7) -> FactorizationMachine:
+def fit(where: np.ndarray, owner: np.ndarray, label: np.ndarray, vocabulary: np.ndarray, rank: int = 4, epochs: int = 12, rate: float = 0.3, decay: float = 1e-5, seed: int = 7) -> FactorizationMachine:
     """Adagrad on the logistic loss over small batches; both classes weigh the same in sum.
 
-    Without rows, or with one class only, the machine gives the share of that class.
+    ``where`` are places in the vocabulary, ``owner`` the rows they are in, in rising order. Without rows, or
+    with one class only, the machine gives the share of that class.
     """
     rng = np.random.default_rng(seed)
     n, pos = len(label), int(label.sum())
     if not n or not pos or pos == n:
         share = (pos + 1) / (n + 2)
         return FactorizationMachine(np.zeros(0, np.int64), float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, rank)))
-    known = np.unique(term)
-    where = np.searchsorted(known, term).astype(np.int32)
-    chosen = choose_terms(where, owner, label, len(known), size, least)
-    place = np.full(len(known), -1, dtype=np.int32)
-    place[chosen] = np.arange(len(chosen))
-    vocabulary, where = known[chosen], place[where]
-    keep = where >= 0
-    where, owner = where[keep], owner[keep]
-    order = np.argsort(owner, kind="stable")
-    where, owner = where[order], owner[order]
     border = np.searchsorted(owner, np.arange(n + 1))
     cost = np.where(label == 1, 0.5 * n / pos, 0.5 * n / (n - pos))
     bias, w = 0.0, np.zeros(len(vocabulary))
@@ -132,11 +119,12 @@ def fit(term: np.ndarray, owner: np.ndarray, label: np.ndarray, size: int = 1024
     return FactorizationMachine(vocabulary, float(bias), w, v)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, key: str = "doc_id", text: str = "text", label: str = "toxic", **settings) -> FactorizationMachine:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, size: int = 1024, least: int = 3, key: str = "doc_id", text: str = "text", label: str = "toxic", **settings) -> FactorizationMachine:
     """Fit on at most ``max_rows`` labelled rows, the smallest by a hash of the key; whole texts are read.
 
     ``labels`` holds the rows that may be learned from. Null labels and keys are left out, a key labelled
-    twice has the larger label. Only hashed terms of the sample reach the driver.
+    twice has the larger label. Terms are counted by label in Spark; the driver gets the ``size`` terms chosen
+    and their places in the sample, ``max_rows`` x ``size`` numbers at most.
     """
     sample = (
         labels.where(F.col(label).isNotNull() & F.col(key).isNotNull())
@@ -146,21 +134,37 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, key: str =
         .limit(max_rows)
     )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in chunks(batches, "t"):
             term, owner = distinct_terms(*terms(data, offsets))
             border = np.searchsorted(owner, np.arange(batch.num_rows + 1))
             raw = term.astype("<i4")
             lists = pa.array([raw[a:b].tobytes() for a, b in zip(border[:-1], border[1:])], pa.binary())
-            yield table_of(batch, ["y"], lists, more_names=("terms",))
-
-    picked = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(sample), "k").select("y", "t")
-    rows = picked.mapInArrow(run, "y int, terms binary").toArrow()
-    y = np.array(rows.column("y").to_pylist(), dtype=np.int64)
-    lists = [np.frombuffer(x, dtype="<i4") for x in rows.column("terms").to_pylist()]
+            yield table_of(batch, ["h", "y"], lists, more_names=("terms",))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [np.frombuffer(x, dtype="<i4") for x in batch.column("terms").to_pylist()]
+            toxic = np.repeat(batch.column("y").to_numpy() > 0, [len(x) for x in lists])
+            known, which = np.unique(np.concatenate(lists) if lists else np.zeros(0, np.int32), return_inverse=True)
+            both, hits = (np.bincount(w, minlength=len(known)) for w in (which, which[toxic]))
+            yield pa.RecordBatch.from_arrays([pa.array(known.astype(np.int32)), pa.array(both), pa.array(hits)], names=["term", "both", "hits"])
+
+    picked = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(sample), "k").select(F.xxhash64("k", "t").alias("h"), F.when(F.col("y") > 0, 1).otherwise(0).alias("y"), "t")
+    rows = stored(picked.mapInArrow(listed, "h bigint, y int, terms binary"), "toxicity-sample")
+    n, pos = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    counts = rows.mapInArrow(counted, "term int, both bigint, hits bigint").groupBy("term").agg(F.sum("both").alias("both"), F.sum("hits").alias("hits"))
+    vocabulary = choose_terms(counts, n, pos, size, least) if 0 < pos < n else np.zeros(0, np.int64)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.flatnonzero(np.isin(vocabulary, np.frombuffer(x, dtype="<i4"))).astype("<i2").tobytes() for x in batch.column("terms").to_pylist()]
+            yield table_of(batch, ["h", "y"], pa.array(found, pa.binary()), more_names=("places",))
+
+    known = rows.mapInArrow(placed, "h bigint, y int, places binary").toArrow().sort_by("h")
+    lists = [np.frombuffer(x, dtype="<i2") for x in known.column("places").to_pylist()]
     owner = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
-    del rows
-    return fit(np.concatenate(lists) if lists else np.zeros(0, np.int32), owner, (y > 0).astype(np.int64), **settings)
+    return fit(np.concatenate(lists) if lists else np.zeros(0, np.int16), owner, known.column("y").to_numpy().astype(np.int64), vocabulary, **settings)
 
 
 def score(docs: DataFrame, machine: FactorizationMachine, text: str = "text", output: str = "score") -> DataFrame:

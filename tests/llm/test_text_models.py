@@ -1,8 +1,12 @@
+import math
 import random
+import re
 
 import numpy as np
+import zstandard
 
 from smeltery.llm import language, licenses, toxicity, urls
+from smeltery.llm.text import Spans, mix
 from pyspark.sql import functions as F
 
 
@@ -66,6 +70,31 @@ def test_pairs_of_terms_are_learned(spark):
     assert right > 0.97
 
 
+def test_scores_equal_the_plain_sum_over_pairs(spark, hard_docs, hard_rows):
+    """Every hashed term of a text, one by one in plain Python, and the products of all its pairs."""
+    rows = toxic_rows(400, 3)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    machine = toxicity.train(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"), size=40, epochs=5)
+    assert 0 < len(machine.vocabulary) <= 40 and list(machine.vocabulary) == sorted(machine.vocabulary)
+
+    def hashed(word, size):
+        data = np.frombuffer(word, dtype=np.uint8)
+        h = Spans(data).hashes(np.array([0]), np.array([size or len(word)]))
+        return int((mix(h + np.uint64(size)) if size else h)[0] >> np.uint64(64 - toxicity.DOMAIN_BITS))
+
+    def plain(text):
+        words = re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower())
+        terms = {hashed(w, n) for w in words for n in (0, *(s for s in toxicity.LEADING if len(w) > s))}
+        at = [i for i, t in enumerate(machine.vocabulary.tolist()) if t in terms]
+        z = machine.bias + sum(machine.weights[i] for i in at)
+        z += sum(float(machine.factors[i] @ machine.factors[j]) for n, i in enumerate(at) for j in at[:n])
+        return 1 / (1 + math.exp(-z))
+
+    for table, texts in ((docs, [r[:2] for r in rows]), (hard_docs.where("doc_id IS NOT NULL AND doc_id <> 5"), [r[:2] for r in hard_rows if r[0] not in (None, 5)])):
+        want = sorted((i, round(plain(t), 9)) for i, t in texts)
+        assert sorted((r.doc_id, round(r.score, 9)) for r in toxicity.score(table, machine).collect()) == want
+
+
 def test_toxicity_hard_rows(spark, hard_docs, no_docs, hard_rows):
     labels = spark.createDataFrame([(1, 0), (1, 1), (5, 0), (13, 1), (None, 1), (11, None), (99, 1)], "doc_id long, toxic int")
     machine = toxicity.train(hard_docs, labels)
@@ -103,6 +132,44 @@ def test_language(spark, hard_docs, no_docs, hard_rows):
     assert language.identify(no_docs, known).collect() == []
 
 
+def test_predictions_equal_compressing_text_by_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    known = language.train(docs, ~toxicity.held_out(), dictionary_bytes=4000)
+    assert all(len(c) <= 4000 for c in known.contents)
+    for r in language.identify(docs, known).collect():
+        if r.lang_pred == "und":
+            continue
+        raw = r.text.encode()
+        sizes = []
+        for content in known.contents:
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            c = zstandard.ZstdCompressor(dict_data=d, level=6, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append(sum(len(c.compress(raw[i : i + language.PIECE])) for i in range(0, len(raw), language.PIECE)))
+        assert r.lang_pred == known.names[sizes.index(min(sizes))]
+        low, high = sorted(sizes)[:2]
+        assert abs(r.score - (0.5 + 0.5 * math.tanh(8 * (high - low) / high))) < 1e-9
+
+
+def test_language_learns_from_whole_texts(spark):
+    """One header of 600 bytes on every text; what tells the languages apart comes behind it."""
+    rng = random.Random(2)
+    words = {n: [f"{n}{''.join(rng.choice('aeiourst') for _ in range(6))}" for _ in range(40)] for n in ("qa", "zx")}
+    header = " ".join(f"header{i}" for i in range(70))
+    rows = [(i, header + " " + " ".join(rng.choice(words[n]) for _ in range(300)), n) for i in range(300) for n in words]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = language.train(docs, F.lit(True), texts_per_language=50, dictionary_bytes=4000)
+    assert all(c.count(b"header") < 0.4 * len(c) / 9 for c in known.contents)
+    out = language.identify(docs, known)
+    assert out.where("lang = lang_pred").count() == len(rows)
+    assert {r.lang_pred for r in language.identify(spark.createDataFrame([(1, "½ ² ① 12 ⅷ"), (2, "١٢ __ !")], "doc_id long, text string"), known).collect()} == {"und"}
+
+
+def test_short_texts_leave_their_share_to_long_ones():
+    assert language._share([10, 1000, 1000], 1010) == 500
+    assert language._share([10, 20], 1000) == 20 and language._share([], 5) == 0
+    assert language._share([100] * 10, 50) == 5
+
+
 def test_narrow_margins_are_rejected(spark):
     known = language.LanguageDictionaries(["aa", "bb"], [b"alpha beta gamma delta " * 20, b"eins zwei drei vier " * 20], 6)
     rows = [(1, "alpha beta gamma delta alpha beta gamma delta"), (2, "qqqq wwww")]
