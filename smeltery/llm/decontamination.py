@@ -99,21 +99,27 @@ def remove_benchmark(docs: DataFrame, benchmark: DataFrame, mode: str = "documen
     """The rows of ``docs`` with all their columns, benchmark passages taken out.
 
     ``mode`` "document" drops contaminated documents; "span" keeps them, with the words hit cut from the text
-    and the words left joined by one space (other signs are lost where something is cut).
+    and the words left joined by one space (other signs are lost where something is cut). Documents are told
+    apart by key and text, so repeated rows go or stay together and rows without a key are judged by their
+    text; null and empty texts stay. An empty benchmark changes nothing, an empty table gives no rows; no
+    column name of the input meets one of the operator's.
     """
     if mode not in ("document", "span"):
         raise ValueError(f"unknown mode {mode}")
     found = find_benchmark(docs, benchmark, size, key, text, **names).where(F.size("spans") > 0)
-    bad = found.select(F.col(key).alias("_k"), F.col("text_hash").alias("_t"), "spans").dropDuplicates(["_k", "_t"])
-    same = docs[key].eqNullSafe(F.col("_k")) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col("_t"))
+    bad = found.select(F.col(f"`{key}`").alias("bad_k"), F.col("text_hash").alias("bad_t"), "spans").dropDuplicates(["bad_k", "bad_t"])
+    whole = F.col(f"`{text}`")
+    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{key}`").alias("k"), F.xxhash64(F.coalesce(whole, F.lit(""))).alias("t"))
+    same = F.col("k").eqNullSafe(F.col("bad_k")) & (F.col("t") == F.col("bad_t"))
     if mode == "document":
-        return docs.join(bad, same, "left_anti")
-    joined = docs.join(bad, same, "left")
+        return rows.join(bad, same, "left_anti").select("row.*")
+    joined = rows.join(bad, same, "left")
 
     def cut(words: Column) -> Column:
         places = F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["lo"], x["hi"] - 1))))
         keep = F.array_except(starts(F.size(words), 1), places)
         return F.array_join(F.transform(keep, lambda i: F.get(words, i)), " ")
 
-    cleaned = F.when(F.col("spans").isNull(), docs[text]).otherwise(let(F.regexp_extract_all(docs[text], F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0)), cut))
-    return joined.select(*[cleaned.alias(c) if c == text else docs[c] for c in docs.columns])
+    whole = F.col("row").getField(text)
+    cleaned = F.when(F.col("spans").isNull(), whole).otherwise(let(F.regexp_extract_all(whole, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0)), cut))
+    return joined.select(*[(cleaned if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns])

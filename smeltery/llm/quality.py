@@ -19,9 +19,10 @@ RUN = 8
 SHARES = ("symbol_share", "dup_line_share", "repeat_share", "word_length")
 FLOORS = {"symbol_share": 0.02, "dup_line_share": 0.02, "repeat_share": 0.02, "word_length": 2.0}
 """Smallest distance of a threshold from the upper quartile, so that groups without spread keep their rows."""
-TAILS = {"dup_line_share": 0.25, "repeat_share": 0.20}
+TAILS = ("dup_line_share", "repeat_share")
 """Shares that are 0 in most rows, where quartiles say nothing: a threshold is at least the ``TAIL`` quantile of the
-language's rows above 0 (failing that, of all rows above 0; the figure here where those are too few as well)."""
+language's rows above 0; failing that, of all rows above 0; failing that, ``fallback_tails``."""
+FALLBACK_TAILS = {"dup_line_share": 0.25, "repeat_share": 0.20}
 TAIL, TAIL_SIZE = 0.98, 1000
 
 
@@ -41,40 +42,49 @@ def _repeated(words: Column) -> Column:
     return let(hashes, walk)
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All rows with n_words, word_chars, n_symbols, n_dup_lines, n_lines and n_repeat_words (long) added.
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words")
 
-    Columns of these names are replaced. Null and empty texts have 0 everywhere. Lines without a word are
-    not counted as lines.
-    """
-    added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words")
-    docs = docs.drop(*added)
+
+def _with_measures(docs: DataFrame, text: str, **more: Column) -> DataFrame:
+    """row (all columns of the input in one struct, so that no name meets ours), ``more`` and the measures."""
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     line_counts = let(lines, lambda a: F.struct(F.size(a).alias("n"), (F.size(a) - F.size(F.array_distinct(a))).alias("dup")))
     word_counts = let(F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), lambda w: F.struct(F.size(w).alias("n"), _repeated(w).alias("rep")))
     out = docs.select(
-        "*",
-        word_counts.alias("_words"),
-        line_counts.alias("_lines"),
+        F.struct("*").alias("row"),
+        *[c.alias(n) for n, c in more.items()],
+        word_counts.alias("words"),
+        line_counts.alias("lines"),
         F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
     )
     return out.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        F.col("_words.n").cast("long").alias("n_words"),
+        "row",
+        *more,
+        F.col("words.n").cast("long").alias("n_words"),
         "word_chars",
         "n_symbols",
-        F.col("_lines.dup").cast("long").alias("n_dup_lines"),
-        F.col("_lines.n").cast("long").alias("n_lines"),
-        F.col("_words.rep").cast("long").alias("n_repeat_words"),
+        F.col("lines.dup").cast("long").alias("n_dup_lines"),
+        F.col("lines.n").cast("long").alias("n_lines"),
+        F.col("words.rep").cast("long").alias("n_repeat_words"),
     )
 
 
-def thresholds(rows: DataFrame, lang: str, source: str, spread: float, least_rows: int) -> DataFrame:
-    """g_lang, g_source and the highest share that each rule lets pass."""
+def measured(docs: DataFrame, text: str = "text") -> DataFrame:
+    """All rows with n_words, word_chars, n_symbols, n_dup_lines, n_lines and n_repeat_words (long) added.
+
+    Columns of these names are replaced, all others stay as they are. Null and empty texts have 0
+    everywhere. Lines without a word are not counted as lines.
+    """
+    return _with_measures(docs.drop(*MEASURES), text).select("row.*", *MEASURES)
+
+
+def thresholds(rows: DataFrame, spread: float, least_rows: int, fallback_tails: dict[str, float] | None = None) -> DataFrame:
+    """g_lang, g_source and the highest share that each rule lets pass; rows have the columns lang, source and the shares."""
+    fallback_tails = fallback_tails or {}
     positive = {f"{s}_tail": F.when(F.col(s) > 0, F.col(s)) for s in TAILS}
-    sketched = rows.groupBy(F.col(lang).alias("g_lang"), F.col(source).alias("g_source")).agg(
+    sketched = rows.groupBy(F.col("lang").alias("g_lang"), F.col("source").alias("g_source")).agg(
         F.count("*").alias("n"),
         *[F.kll_sketch_agg_double(s).alias(s) for s in SHARES],
         *[F.kll_sketch_agg_double(c, TAIL_SIZE).alias(name) for name, c in positive.items()],
@@ -111,27 +121,32 @@ def thresholds(rows: DataFrame, lang: str, source: str, spread: float, least_row
         by_quartiles = F.col(f"quartiles.{s}")
         if s not in TAILS:
             return by_quartiles
-        return F.when(by_quartiles.isNotNull(), F.greatest(by_quartiles, F.coalesce(f"l_tails.{s}", f"e.e_tails.{s}", F.lit(TAILS[s]))))
+        # without a quantile of its own the rule has no threshold, unless one is given
+        known = F.coalesce(f"l_tails.{s}", f"e.e_tails.{s}", F.lit(fallback_tails.get(s)).cast("double"))
+        return F.when(by_quartiles.isNotNull() & known.isNotNull(), F.greatest(by_quartiles, known))
 
     return found.select("g_lang", "g_source", F.struct(*[least(s).alias(s) for s in SHARES]).alias("limits"))
 
 
-def judge_quality(docs: DataFrame, spread: float = 3.0, least_rows: int = 50, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """All rows with the measures, base_failed and kept added; columns of these names are replaced.
+def judge_quality(
+    docs: DataFrame, spread: float = 3.0, least_rows: int = 50, fallback_tails: dict[str, float] | None = FALLBACK_TAILS, text: str = "text", lang: str = "lang", source: str = "source"
+) -> DataFrame:
+    """All rows with the measures, base_failed and kept added; columns of these names are replaced, all others stay.
 
     ``base_failed``: under 20 words, or more than 30 in 100 words repeated. ``kept`` is false there, and where
     a share lies over the upper quartile of its language and source by more than ``spread`` quartile distances
     (and by more than its floor). Shares of ``TAILS`` also have to lie over a high quantile of the language's
-    rows above 0. Only rows that pass the base rules count for the quartiles. Groups under
-    ``least_rows`` rows use their language's, then all rows' quartiles; if those are too few as well, the
-    base rules alone decide. Null languages and sources are groups of their own.
+    rows above 0; where under ``least_rows`` such rows exist at all, over the share in ``fallback_tails``, and
+    with none given the rule is off there. Only rows that pass the base rules count for the quartiles. Groups
+    under ``least_rows`` rows use their language's, then all rows' quartiles; if those are too few as well,
+    the base rules alone decide. Null languages and sources are groups of their own; null and empty texts
+    fail the base rules; repeated rows are judged each; an empty table gives no rows.
     """
-    rows = measured(docs.drop("base_failed", "kept"), text)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    names = rows.columns
     chars, words, lines = (F.nullif(F.col(c), F.lit(0)) for c in ("word_chars", "n_words", "n_lines"))
+    given = docs.drop("base_failed", "kept", *MEASURES)
     rows = stored(
-        rows.select(
+        _with_measures(given, text, lang=F.col(f"`{lang}`"), source=F.col(f"`{source}`")).select(
             "*",
             failed.alias("base_failed"),
             (F.col("n_symbols") / chars).alias("symbol_share"),
@@ -141,9 +156,9 @@ def judge_quality(docs: DataFrame, spread: float = 3.0, least_rows: int = 50, te
         ),
         "quality-measures",
     )
-    limits = stored(thresholds(rows.where("NOT base_failed"), lang, source, spread, least_rows), "quality-limits")
-    judged = rows.join(limits, F.col(lang).eqNullSafe(F.col("g_lang")) & F.col(source).eqNullSafe(F.col("g_source")), "left")
+    limits = stored(thresholds(rows.where("NOT base_failed"), spread, least_rows, fallback_tails), "quality-limits")
+    judged = rows.join(limits, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
     over = F.lit(False)
     for s in SHARES:
         over = over | F.coalesce(F.col(s) > F.col(f"limits.{s}"), F.lit(False))
-    return judged.select(*[F.col(f"`{c}`") for c in names], "base_failed", (~F.col("base_failed") & ~over).alias("kept"))
+    return judged.select("row.*", *MEASURES, "base_failed", (~F.col("base_failed") & ~over).alias("kept"))

@@ -176,18 +176,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, key:
     ``length`` words lose nothing. The text of the longest document has to fit a task.
     """
     docs = docs.drop("n_words", "n_removed", "kept")
-    names = docs.columns
-    keyed = docs.withColumns({"__k": F.col(f"`{key}`"), "__h": F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))})
-    plain = keyed.select(F.col("__k").alias("k"), F.col("__h").alias("h"), F.col(f"`{text}`").alias("t"))
-    ranges = repeats(plain, length, seed).groupBy(F.col("k").alias("__rk"), F.col("h").alias("__rh")).agg(F.collect_set(F.struct("lo", "hi")).alias("__ranges"))
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
+    whole = F.col(f"`{text}`")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text] or [F.lit(0).alias("none")]).alias("row"), F.col(f"`{key}`").alias("k"), F.xxhash64(F.coalesce(whole, F.lit(""))).alias("h"), whole.alias("t"))
+    ranges = repeats(keyed.select("k", "h", "t"), length, seed).groupBy(F.col("k").alias("rk"), F.col("h").alias("rh")).agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+    added = ("n_words", "n_removed", "kept")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in chunks(unsqueezed(batches, text), text):
+        for batch, data, offsets in chunks(unsqueezed(batches, "t"), "t"):
             starts, ends, first = word_spans(data, offsets, NOT_SPACE)
             raw = data.tobytes()
             removed, kept = [], []
-            for i, ranges_of in enumerate(batch.column("__ranges").to_pylist()):
+            for i, ranges_of in enumerate(batch.column("ranges").to_pylist()):
                 a, b = first[i], first[i + 1]
                 depth = np.zeros(b - a + 1, dtype=np.int64)
                 for r in ranges_of or ():
@@ -196,8 +195,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, key:
                 stays = np.flatnonzero(np.cumsum(depth[:-1]) == 0) + a
                 removed.append(int(b - a - len(stays)))
                 kept.append(b" ".join([raw[x:y] for x, y in zip(starts[stays].tolist(), ends[stays].tolist())]).decode("utf-8"))
-            given = [batch.column(n).cast(pa.string()) if n == text else batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*given, pa.array(np.diff(first)), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=schema.fieldNames())
+            given = [batch.column("row"), batch.column("t").cast(pa.string())]
+            yield pa.RecordBatch.from_arrays([*given, pa.array(np.diff(first)), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["row", "t", *added])
 
-    joined = squeezed(keyed, text).join(ranges, F.col("__k").eqNullSafe(F.col("__rk")) & (F.col("__h") == F.col("__rh")), "left")
-    return joined.select(*[F.col(f"`{n}`") for n in names], "__ranges").mapInArrow(run, schema)
+    joined = squeezed(keyed, "t").join(ranges, F.col("k").eqNullSafe(F.col("rk")) & (F.col("h") == F.col("rh")), "left").select("row", "t", "ranges")
+    kinds = [joined.schema["row"], T.StructField("t", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
+    out = joined.mapInArrow(run, T.StructType(kinds))
+    return out.select(*[(F.col("t") if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns], *added)

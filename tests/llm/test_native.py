@@ -3,6 +3,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from smeltery.llm import decontamination, quality
 
@@ -128,3 +129,38 @@ def test_each_rule_rejects_a_row(spark, usual):
 
 def test_quality_without_rows(no_docs):
     assert quality.judge_quality(no_docs).collect() == []
+
+
+INTERNAL = ["row", "k", "t", "h", "l", "x", "c", "w", "lo", "hi", "words", "lines", "limits", "g_lang", "g_source", "symbol_share", "dup_line_share", "repeat_share", "word_length", "_words", "_lines", "spans", "items", "_k", "_t", "bad_k", "bad_t", "text_hash", "ranges", "rk", "rh", "__k", "__h", "__ranges", "_key", "n", "kept_old"]
+
+
+def test_no_column_name_meets_an_internal_one(spark):
+    """Every operator on rows that have columns of all internal names; they come out as they went in."""
+    from smeltery.llm import language, substrings, toxicity
+
+    texts = {i: " ".join(f"w{i}x{k}" for k in range(50)) for i in range(6)} | {6: " ".join(f"w5x{k}" for k in range(45)), 7: None, 8: ""}
+    rows = [(i, t, "en", "s", *(f"{n}{i}" for n in INTERNAL)) for i, t in texts.items()]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", *INTERNAL])
+    items = spark.createDataFrame([(1, texts[0][:60])], "item_id long, text string")
+    known = language.train(docs, F.lit(True))
+    machine = toxicity.train(docs, spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int"))
+    results = {
+        "quality": quality.judge_quality(docs),
+        "measures": quality.measured(docs),
+        "document": decontamination.remove_benchmark(docs, items),
+        "span": decontamination.remove_benchmark(docs, items, mode="span"),
+        "repeats": substrings.remove_repeats(docs),
+        "language": language.identify(docs, known),
+        "toxicity": toxicity.score(docs, machine),
+    }
+    for name, out in results.items():
+        got = {r.doc_id: [r[n] for n in INTERNAL] for r in out.collect()}
+        assert got == {i: [f"{n}{i}" for n in INTERNAL] for i in texts if name != "document" or i != 0}, name
+
+
+def test_rules_without_a_quantile_are_off_on_request(spark):
+    rows = [(i, shaped(i, repeated=0, same_lines=0), "en", "s") for i in range(80)] + [(1000, shaped(1000, repeated=28, same_lines=0), "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = lambda **more: {r.doc_id for r in quality.judge_quality(docs, **more).where("kept").collect()}
+    assert 1000 not in kept() and kept(fallback_tails=None) == {r[0] for r in rows}
+    assert 1000 in kept(fallback_tails={"repeat_share": 0.9, "dup_line_share": 0.9})
