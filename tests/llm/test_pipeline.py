@@ -48,6 +48,22 @@ def test_one_id_with_several_texts(spark):
     assert out.columns == docs.columns and sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(want, key=str)
 
 
+def test_columns_of_any_name_come_out_unchanged(spark):
+    """An input that has columns named like those of the operators and stages, the verdict of an earlier run among them."""
+    names = ["kept", "n_words", "n_removed", "_key", "key", "row", "score", "_toxicity", "spans", "_k", "_t", "k", "t", "h", "component_id", "n_shingles", "items", "ranges"]
+    texts = {i: " ".join(f"w{i}x{k}" for k in range(50)) for i in range(4)}
+    texts[4] = texts[3]  # a copy, and a passage to cut in the third stage
+    rows = [(i, t, len(t), *(f"{n}{i}" for n in names)) for i, t in texts.items()]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "n_chars", *names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, FOLDER)
+        assert out.columns == docs.columns
+        got = {r.doc_id: [r[n] for n in names] for r in out.collect()}
+        assert got == {i: [f"{n}{i}" for n in names] for i in texts if name != "near_dedup" or i != 4}, name
+    without = corpus_pipeline.cut_repeats(spark, docs.drop("n_chars"), FOLDER)
+    assert without.columns == [c for c in docs.columns if c != "n_chars"]
+
+
 def test_hard_rows_go_through(spark, hard_docs, no_docs):
     for docs in (hard_docs, no_docs):
         for name, stage in corpus_pipeline.STAGES:
