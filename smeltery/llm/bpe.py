@@ -2,13 +2,15 @@
 
 The leaves of the tree are the places of a word, each with the rank of the pair that starts there; every
 inner node holds the least (rank, place) below it, so the root is the leftmost pair of the lowest rank.
-A merge changes three leaves, each in logarithmic time, until the root holds no pair. Words are parted
-by the tokenizer's own normaliser and splitting pattern and each distinct one is encoded once a chunk
-at most (``wordwise``); texts never leave their task, so nothing is shuffled.
+A merge changes three leaves, each in logarithmic time, until the root holds no pair. The trees of many short
+words stand side by side in arrays and take each step together; long words have a tree of their own.
+Words are parted by the tokenizer's own normaliser and splitting pattern and each distinct one is encoded
+once a chunk at most (``wordwise``); texts never leave their task, so nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
@@ -21,65 +23,156 @@ from smeltery.llm.text import CHUNK_BYTES, chunks
 from smeltery.llm.wordwise import WordwiseTokens
 
 NO_PAIR = 1 << 62
+SIDE_BY_SIDE = 65
+"""Words of more symbols are merged one by one."""
+PLACE = 0xFFFFFFFF
+RANK = ~PLACE
+PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+"""Words of these letters are one part that no normal form changes: lower-casing is all."""
 _ENCODERS: dict[str, PairTreeTokens] = {}
 _DECODERS: dict[str, TokenTexts] = {}
 
 
-class PairTree:
-    """Merges one word. ``pairs`` maps (left << 32 | right) to (rank << 32 | merged id)."""
-
-    def __init__(self, symbols: list[int], pairs: dict[int, int]):
-        self.symbols, self.pairs, n = list(symbols), pairs, len(symbols)
-        self.after = list(range(1, n + 1))
-        self.before = list(range(-1, n - 1))
-        self.leaves = 1 << max(0, n - 2).bit_length()
-        self.tree = [NO_PAIR] * (2 * self.leaves)
-        for place in range(n - 1):
-            self.tree[self.leaves + place] = self._key(place)
-        for node in range(self.leaves - 1, 0, -1):
-            self.tree[node] = min(self.tree[2 * node], self.tree[2 * node + 1])
-
-    def _key(self, place: int) -> int:
-        """Rank of the pair that starts at the place, then the place: the least is the leftmost of the lowest rank."""
-        right = self.after[place]
-        if right >= len(self.symbols):
-            return NO_PAIR
-        found = self.pairs.get(self.symbols[place] << 32 | self.symbols[right])
-        return NO_PAIR if found is None else (found >> 32) << 32 | place
-
-    def _put(self, place: int, key: int) -> None:
-        tree, node = self.tree, self.leaves + place
-        tree[node] = key
-        node >>= 1
-        while node:
-            least = min(tree[2 * node], tree[2 * node + 1])
-            if tree[node] == least:
-                return
-            tree[node] = least
-            node >>= 1
+def merged(symbols: list[int], pairs: dict[int, int]) -> list[int]:
+    """The symbols of one word after all merges. ``pairs`` maps (left << 32 | right) to (rank << 32 | merged id).
 
-    def merged(self) -> list[int]:
-        symbols, n = self.symbols, len(self.symbols)
-        while (root := self.tree[1]) != NO_PAIR:
-            place = root & 0xFFFFFFFF
-            gone = self.after[place]
-            symbols[place] = self.pairs[symbols[place] << 32 | symbols[gone]] & 0xFFFFFFFF
-            beyond = self.after[place] = self.after[gone]
-            if beyond < n:
-                self.before[beyond] = place
-                self._put(gone, NO_PAIR)
-            self._put(place, self._key(place))
-            if (left := self.before[place]) >= 0:
-                self._put(left, self._key(left))
-        out, place = [], 0
-        while place < n:
-            out.append(symbols[place])
-            place = self.after[place]
-        return out
+    ``tree[leaves + place]`` is the rank of the pair that starts at the place, with the place in the low bits, so
+    the least key is the leftmost pair of the lowest rank.
+    """
+    n = len(symbols)
+    if n < 2:
+        return symbols
+    leaves = 1 << (n - 2).bit_length()
+    tree = [NO_PAIR] * (2 * leaves)
+    find = pairs.get
+    for place in range(n - 1):
+        found = find(symbols[place] << 32 | symbols[place + 1])
+        if found is not None:
+            tree[leaves + place] = found & RANK | place
+    for node in range(leaves - 1, 0, -1):
+        left, right = tree[2 * node], tree[2 * node + 1]
+        tree[node] = left if left < right else right
+    if tree[1] == NO_PAIR:
+        return symbols
+    symbols, after, before = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
+    while (root := tree[1]) != NO_PAIR:
+        place = root & PLACE
+        gone = after[place]
+        symbols[place] = pairs[symbols[place] << 32 | symbols[gone]] & PLACE
+        beyond = after[place] = after[gone]
+        key = NO_PAIR
+        if beyond < n:
+            before[beyond] = place
+            found = find(symbols[place] << 32 | symbols[beyond])
+            if found is not None:
+                key = found & RANK | place
+        changes = [(place, key)]
+        if gone < n - 1:
+            changes.append((gone, NO_PAIR))
+        previous = before[place]
+        if previous >= 0:
+            found = find(symbols[previous] << 32 | symbols[place])
+            changes.append((previous, NO_PAIR if found is None else found & RANK | previous))
+        for leaf, key in changes:
+            node = leaves + leaf
+            if tree[node] == key:
+                continue
+            tree[node] = key
+            node >>= 1
+            while node:
+                left, right = tree[2 * node], tree[2 * node + 1]
+                least = left if left < right else right
+                if tree[node] == least:
+                    break
+                tree[node] = least
+                node >>= 1
+    out, place = [], 0
+    while place < n:
+        out.append(symbols[place])
+        place = after[place]
+    return out
+
+
+class PairTable:
+    """The pairs as sorted arrays, to merge many words at once."""
+
+    def __init__(self, pairs: dict[int, int]):
+        self.pairs = pairs
+        self.keys = np.array(sorted(pairs), dtype=np.int64)
+        self.found = np.array([pairs[k] for k in self.keys.tolist()], dtype=np.int64)
+        self.keys, self.found = np.append(self.keys, NO_PAIR), np.append(self.found, NO_PAIR)
+
+    def look_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """rank << 32 | merged id of every pair, ``NO_PAIR`` where there is none; symbols under 0 are no symbols."""
+        wanted = left << 32 | right
+        at = np.searchsorted(self.keys, wanted)
+        return np.where((self.keys[at] == wanted) & (left >= 0) & (right >= 0), self.found[at], NO_PAIR)
+
+    def merged(self, words: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """All symbols after the merges, word after word, and how many each word has left."""
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        results: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        most = 0
+        for size in (1, 2, 3, 5, 9, 17, 33, SIDE_BY_SIDE):
+            rows = np.flatnonzero((lengths > most) & (lengths <= size))
+            most = size
+            if len(rows):
+                flat = np.fromiter((s for r in rows.tolist() for s in words[r]), dtype=np.int64, count=int(lengths[rows].sum()))
+                ids, left = self._together(flat, lengths[rows], size) if size > 1 else (flat, lengths[rows])
+                results.append((rows, ids, left))
+        for row in np.flatnonzero(lengths > most).tolist():
+            ids = np.array(merged(words[row], self.pairs), dtype=np.int64)
+            results.append((np.array([row]), ids, np.array([len(ids)])))
+        sizes = np.zeros(len(words), dtype=np.int64)
+        for rows, _, left in results:
+            sizes[rows] = left
+        begin = np.cumsum(sizes) - sizes
+        out = np.zeros(int(sizes.sum()), dtype=np.int64)
+        for rows, ids, left in results:
+            out[np.repeat(begin[rows] - (np.cumsum(left) - left), left) + np.arange(len(ids))] = ids
+        return out, sizes
+
+    def _together(self, flat: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The words of up to ``size`` symbols in rows: one tree each, every step taken by all rows that still have a pair."""
+        count, leaves = len(lengths), 1 << (size - 2).bit_length()
+        inside = np.arange(size) < lengths[:, None]
+        symbols = np.full((count, size), -1, dtype=np.int64)
+        symbols[inside] = flat
+        after = np.tile(np.arange(1, size + 1), (count, 1))
+        before = np.tile(np.arange(-1, size - 1), (count, 1))
+        tree = np.full((count, 2 * leaves), NO_PAIR, dtype=np.int64)
+        first = self.look_up(symbols[:, :-1], symbols[:, 1:])
+        tree[:, leaves : leaves + size - 1] = np.where(first == NO_PAIR, NO_PAIR, first & RANK | np.arange(size - 1))
+        for node in range(leaves - 1, 0, -1):
+            tree[:, node] = np.minimum(tree[:, 2 * node], tree[:, 2 * node + 1])
+        rows = np.flatnonzero(tree[:, 1] != NO_PAIR)
+        while len(rows):
+            place = tree[rows, 1] & PLACE
+            gone = after[rows, place]
+            fresh = self.look_up(symbols[rows, place], symbols[rows, gone]) & PLACE
+            beyond, previous = after[rows, gone], before[rows, place]
+            symbols[rows, place], symbols[rows, gone], after[rows, place] = fresh, -1, beyond
+            linked = beyond < lengths[rows]
+            before[rows[linked], beyond[linked]] = place[linked]
+            right = self.look_up(fresh, np.where(linked, symbols[rows, np.minimum(beyond, size - 1)], -1))
+            left = self.look_up(np.where(previous >= 0, symbols[rows, previous], -1), fresh)
+            changed = []
+            for leaf, found in ((gone, None), (place, right), (previous, left)):
+                held = np.flatnonzero((leaf >= 0) & (leaf < leaves))
+                key = NO_PAIR if found is None else np.where(found[held] == NO_PAIR, NO_PAIR, found[held] & RANK | leaf[held])
+                tree[rows[held], leaves + leaf[held]] = key
+                changed.append((rows[held], leaves + leaf[held]))
+            of, node = (np.concatenate(c) for c in zip(*changed))
+            while node[0] > 1:
+                node = node >> 1
+                tree[of, node] = np.minimum(tree[of, 2 * node], tree[of, 2 * node + 1])
+            rows = rows[tree[rows, 1] != NO_PAIR]
+        left_over = symbols >= 0
+        return symbols[left_over], left_over.sum(axis=1)
 
 
 class PairTreeTokens(WordwiseTokens):
-    """Encoder whose merges are done by ``PairTree``; the tokenizer file gives pattern, vocabulary and ranks."""
+    """Encoder whose merges are done by ``merged``; the tokenizer file gives pattern, vocabulary and ranks."""
 
     def __init__(self, path: str):
         super().__init__(path)
@@ -92,13 +185,44 @@ class PairTreeTokens(WordwiseTokens):
         for rank, (left, right) in enumerate(m if isinstance(m, list) else m.split(" ", 1) for m in model["merges"]):
             self.pairs[vocab[left] << 32 | vocab[right]] = rank << 32 | vocab[left + right]
 
-    def word(self, raw: bytes) -> bytes:
-        ids: list[int] = []
-        text = self.tokenizer.normalizer.normalize_str(raw.decode("utf-8"))
-        for part, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text):
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        odd = iter(range(256, 512))
+        signs = [chr(b) if b in plain else chr(next(odd)) for b in range(256)]  # how byte-level models write a byte
+        self.byte_ids = [vocab.get(s) for s in signs]
+        self.end_ids = [vocab.get(s + self.end) for s in signs]
+        self.all_bytes = None not in self.byte_ids and None not in self.end_ids
+
+        self.table = PairTable(self.pairs)
+
+    def _signs(self, raw: bytes) -> Iterator[list[int]]:
+        """Symbols of the parts of a word, before any merge."""
+        text = raw.decode("utf-8")
+        if self.all_bytes and PLAIN.fullmatch(text):
+            word = text.lower().encode("utf-8")
+            symbols = [self.byte_ids[b] for b in word]
+            symbols[-1] = self.end_ids[word[-1]]
+            yield symbols
+            return
+        for part, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text)):
             signs = [*part[:-1], part[-1] + self.end]
-            ids += PairTree([self.vocab[s] for s in signs if s in self.vocab], self.pairs).merged()
-        return struct.pack(f"<{len(ids)}I", *ids)
+            yield [self.vocab[s] for s in signs if s in self.vocab]
+
+    def words(self, raws: list[bytes]) -> list[bytes]:
+        parts, owner = [], []
+        for number, raw in enumerate(raws):
+            found = [[self.added[raw]]] if raw in self.added else self._signs(raw)
+            for symbols in found:
+                parts.append(symbols)
+                owner.append(number)
+        ids, sizes = self.table.merged(parts)
+        border = np.zeros(len(raws) + 1, dtype=np.int64)
+        np.add.at(border, np.array(owner, dtype=np.int64) + 1, sizes)
+        border = np.cumsum(border) * 4
+        flat = ids.astype("<u4").tobytes()
+        return [flat[a:b] for a, b in zip(border[:-1].tolist(), border[1:].tolist())]
+
+    def word(self, raw: bytes) -> bytes:
+        return self.words([raw])[0]
 
 
 class TokenTexts:

@@ -52,8 +52,8 @@ class WordwiseTokens:
     def word(self, raw: bytes) -> bytes:
         raise NotImplementedError
 
-    def ids_of(self, raw: bytes) -> bytes:
-        return struct.pack("<I", self.added[raw]) if raw in self.added else self.word(raw)
+    def words(self, raws: list[bytes]) -> list[bytes]:
+        return [struct.pack("<I", self.added[raw]) if raw in self.added else self.word(raw) for raw in raws]
 
     def _cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         letter, sign, digit = LETTERS[data], SIGNS[data], DIGITS[data]
@@ -83,9 +83,9 @@ class WordwiseTokens:
         if len(cache) > CACHE_WORDS:
             cache.clear()
         raw = data.tobytes()
-        for key, a, b in zip(keys, starts[example].tolist(), ends[example].tolist()):
-            if key not in cache:
-                cache[key] = self.ids_of(raw[a:b])
+        fresh = [(key, raw[a:b]) for key, a, b in zip(keys, starts[example].tolist(), ends[example].tolist()) if key not in cache]
+        if fresh:
+            cache.update(zip([key for key, _ in fresh], self.words([word for _, word in fresh])))
         lists = [cache[key] for key in keys]
         which = which.reshape(-1)
         if end_id is not None:

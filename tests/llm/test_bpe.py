@@ -4,7 +4,7 @@ import numpy as np
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from smeltery.llm.bpe import PairTree, PairTreeTokens, _parts, decode_ids, encode_documents
+from smeltery.llm.bpe import PairTreeTokens, _parts, decode_ids, encode_documents, merged
 from smeltery.llm.packing import WordTokens
 from smeltery.llm.queries import tokenizer_path
 from smeltery.llm.text import CHUNK_BYTES
@@ -37,7 +37,7 @@ def test_tree_equals_search_for_the_leftmost_lowest_pair(symbols, order, known):
             break
         pair, i = min(found)
         want[i : i + 2] = [pair & 0xFFFFFFFF]
-    assert PairTree(symbols, pairs).merged() == want
+    assert merged(symbols, pairs) == want
 
 
 def test_long_texts_part_at_spaces():
