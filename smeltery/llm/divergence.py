@@ -21,6 +21,8 @@ from smeltery.llm.folders import stored
 UNIT = 1_000_000_000
 GROUP_BLOCK, TERM_BLOCK = 32, 8192
 HELD_TERMS = 200_000
+BROADCAST_ROWS = 200_000
+"""Rows of languages or of groups, each of a few short columns."""
 
 WORD_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 """Byte table: A-Z lower-cased, a-z and everything beyond ASCII as it is, all else a space."""
@@ -81,6 +83,14 @@ def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     return picked.mapInArrow(run, schema).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """A stored table as the small side of a join: sent to all executors where it has at most ``BROADCAST_ROWS`` rows.
+
+    Otherwise the join shuffles. So a language or source with much of the data is not one task's.
+    """
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _probability(count: str, total: str, terms: str) -> str:
     return f"CAST(1 + (CAST({UNIT} AS DECIMAL(12,0)) * ({count} + 2)) DIV (CAST({total} AS DECIMAL(26,0)) + 2 * {terms}) AS BIGINT)"
 
@@ -93,8 +103,9 @@ class Audit:
         of_lang = all_counts.where("term IS NOT NULL").groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("lang_docs"))
         kept = of_lang.where(F.col("lang_docs") >= least_docs).select("lang", "term", "lang_n")
         per_lang = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total"))
-        blocks = per_lang.select("*", F.ceil(F.col("v") / term_block).cast("int").alias("term_blocks"))
-        kept = kept.join(blocks, "lang").withColumn("tb", F.expr("CAST(pmod(xxhash64(term), term_blocks) AS INT)"))
+        blocks = stored(per_lang.select("*", F.ceil(F.col("v") / term_block).cast("int").alias("term_blocks")), "divergence-languages")
+        kept = kept.join(_few(blocks), "lang").withColumn("tb", F.expr("CAST(pmod(xxhash64(term), term_blocks) AS INT)"))
+        kept = kept.repartition("lang", "tb")  # one block of terms a task, never a language
         place = F.row_number().over(Window.partitionBy("lang", "tb").orderBy("term")) - 1
         self.terms = stored(kept.select("lang", "term", "lang_n", "v", "lang_total", "tb", place.alias("at")), "divergence-terms")
         self.counts = stored(all_counts.where("n > 0").drop("docs").join(self.terms, ["lang", "term"]), "divergence-kept")
@@ -118,7 +129,7 @@ class Audit:
         """lang, tb, gb, last_gb, terms, groups [(g, source, p_none)] and entries [(g, at, p)]: all counts of a group block in a term block."""
         sizes = self.terms.groupBy("lang", "tb").agg(F.count("*").alias("terms"))
         p = F.expr(_probability("n", "total", "v"))
-        rows = self.counts.select("lang", "source", "tb", "at", "n").join(self.groups, ["lang", "source"]).select("lang", "tb", "gb", F.struct("g", "at", p.alias("p")).alias("entry"))
+        rows = self.counts.select("lang", "source", "tb", "at", "n", "v").join(_few(self.groups.drop("v")), ["lang", "source"]).select("lang", "tb", "gb", F.struct("g", "at", p.alias("p")).alias("entry"))
         packed = rows.groupBy("lang", "tb", "gb").agg(F.collect_list("entry").alias("entries"))
         frame = self.groups.groupBy("lang", "gb", "last_gb", "term_blocks").agg(F.collect_list(F.struct("g", "source", "p_none")).alias("groups"))
         frame = frame.select("*", F.explode(F.sequence(F.lit(0), F.col("term_blocks") - 1)).alias("tb")).drop("term_blocks")
@@ -140,7 +151,7 @@ class Audit:
     def leading_terms(self) -> DataFrame:
         """lang, source, item, value: each kept term that is more frequent in the group than in its language."""
         groups = self.groups.select("lang", "source", "total")
-        both = self.counts.join(groups, ["lang", "source"])
+        both = self.counts.join(_few(groups), ["lang", "source"])
         p, q = F.expr(_probability("n", "total", "v")).alias("p"), F.expr(_probability("lang_n", "lang_total", "v")).alias("q")
         found = both.select("lang", "source", F.col("term").alias("item"), p, q).where("p > q")
         return found.select("lang", "source", "item", F.expr("((p - q) * (p - q)) DIV (p + q)").alias("value"))
