@@ -1,4 +1,4 @@
-"""Removal of passages that also stand elsewhere: winnowed anchors as seeds, extended both ways.
+"""Removal of passages that also stand elsewhere: winnowed anchors as seeds, compared on both sides.
 
 A window is ``length`` consecutive words of one document. Its anchor is the ``seed``-word sequence in it
 with the smallest hash (the rightmost of equal ones), so windows with the same words have the same
@@ -6,12 +6,17 @@ anchor at the same place, and neighbouring windows mostly share one. One row sta
 anchor: the seed, and a hash of the whole stretch those windows cover. Seeds are joined on their anchor:
 
 1. Anchors that occur once end here; most do.
-2. Where all occurrences have the same stretch, every window of it is repeated.
-3. Elsewhere stretches differ somewhere. One document of each different stretch is read again, its seed
-   extended to both sides word by word, and windows are compared one by one.
-
-Runs of repeated windows then join to maximal repeats. Everything is counted per key before it is joined,
-and joins read stored tables, so a seed that a third of all rows share is split by adaptive joins.
+2. Where all occurrences have the same stretch, the match is known to reach over all of it, and every window
+   of it is repeated.
+3. Elsewhere stretches differ somewhere. Which of many occurrences match how far to the left and how far to the
+   right of the seed cannot be told from one pivot, and pair by pair it would be quadratic in the copies. So one
+   document of each different stretch is read again, and every split of a window into words left and right of the
+   seed is compared at once, by a hash of the window's words. This takes the place of extending word by word and
+   gives the same windows.
+
+Ranges of neighbouring repeated windows lie over each other and form the maximal repeats. Everything is counted
+per key before it is joined, and joins read stored tables, so a seed that a third of all rows share is split by
+adaptive joins.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ from hypothesis import given, settings, strategies as st
 
 from smeltery.llm import near_dups
 from smeltery.llm.graph import components
-from smeltery.llm.near_dups import Plan, intersections, likely_jaccard, near_groups, set_sketch
+from smeltery.llm.near_dups import Plan, likely_jaccard, near_groups, set_sketch
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -89,12 +89,45 @@ def test_likelihood_meets_the_similarity():
         assert abs(estimate - j) < 5 * (j * (1 - j) / plan.registers) ** 0.5
 
 
-def test_intersections():
-    rng = np.random.default_rng(5)
-    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40)).astype(np.uint64)) for _ in range(12)]
-    border = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
-    found = intersections(np.concatenate(sets), border, np.arange(5), np.arange(5, 12))
-    assert found.tolist() == [[len(np.intersect1d(sets[i], sets[j])) for j in range(5, 12)] for i in range(5)]
+def _members(spark, texts, plan):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "k long, t string").repartition(3)
+    drawn = near_dups.sketches(docs, plan).select(F.col("k").alias("c"), F.col("k").alias("g"), "n", "registers")
+    return drawn.join(near_dups.squeezed(docs, "t").select(F.col("k").alias("c"), F.col("t").alias("z")), "c").cache()
+
+
+def test_prefixes_lose_no_pair(spark):
+    """Any two sets over the threshold share one of their rarest shingles, whatever is known of common ones."""
+    rng = random.Random(8)
+    texts = []
+    for i in range(120):
+        words = texts[rng.randrange(i)].split() if i and rng.random() < 0.7 else [f"w{rng.randrange(60)}" for _ in range(rng.randrange(1, 60))]
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(len(words))] = f"w{rng.randrange(60)}"
+        texts.append(" ".join(words))
+    for percent, size in ((85, 3), (80, 5)):
+        plan = Plan(percent=percent, shingle=size)
+        members = _members(spark, texts, plan)
+        sets = [shingles(t, size) for t in texts]
+        for common in (near_dups.common_shingles(members, size), np.zeros(0, np.uint64)):
+            held = {}
+            for r in near_dups.prefixes(members, common, plan).collect():
+                held.setdefault(r.c, set()).add(r.e)
+            close = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 100 * len(a & b) >= percent * len(a | b)]
+            assert len(close) > 20 and all(held[i] & held[j] for i, j in close)
+
+
+def test_pages_of_one_template_do_not_meet(spark):
+    head = " ".join(f"menu{i}" for i in range(100))
+    texts = [head + " " + " ".join(f"own{i}x{j}" for j in range(25)) for i in range(300)]
+    plan = Plan(percent=85, shingle=3)
+    members = _members(spark, texts, plan)
+    rare = near_dups.prefixes(members, near_dups.common_shingles(members, 3), plan)
+    assert rare.groupBy("e").count().where("count > 1").count() == 0 and rare.select("c").distinct().count() == 300
+    rows = [*enumerate(texts), (300, texts[7].replace("own7x3", "other")), (301, texts[7].replace("own7x20", "other"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(near_groups(docs, percent=85, shingle=3)) == brute(rows, 85, 3)
 
 
 @given(st.lists(st.tuples(st.integers(0, 25), st.integers(0, 25)), max_size=25))
