@@ -92,9 +92,9 @@ def _bin_floor(unit: Column) -> Column:
 
 
 def order_statistics(
-    df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, Column], scale: int = 3
+    df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, Column], scale: int = 3, weight: str | None = None
 ) -> DataFrame:
-    """Exact k-th smallest values per key.
+    """Exact k-th smallest values per key; with ``weight`` a row stands for so many equal values.
 
     ``ranks`` names an output and gives its 0-based rank as an expression over ``n``, the
     number of non-NULL values of the key. ``value`` must be non-negative with at most
@@ -105,9 +105,9 @@ def order_statistics(
     unit = F.round(F.col(value).cast(f"decimal(28,{scale})") * (10**scale), 0).cast("long")
     counted = (
         df.where(F.col(value).isNotNull())
-        .select(*keys, unit.alias("_u"))
+        .select(*keys, unit.alias("_u"), (F.lit(1) if weight is None else F.col(weight)).cast("long").alias("_w"))
         .groupBy(*keys, "_u")
-        .agg(F.count("*").alias("_c"))
+        .agg(F.sum("_w").alias("_c"))
         .withColumn("_bin", _bin_floor(F.col("_u")))
     )
     bins = counted.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_c"))
@@ -147,7 +147,7 @@ def order_statistics(
 
 
 def percentiles_cont(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], scale: int = 3
+    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], scale: int = 3, weight: str | None = None
 ) -> DataFrame:
     """Interpolated percentiles per key, exact, from the two neighbouring order statistics."""
     n = F.col("n")
@@ -156,7 +156,7 @@ def percentiles_cont(
         spot = (n - 1) * F.lit(float(p))
         ranks[f"{name}__lo"] = F.floor(spot)
         ranks[f"{name}__hi"] = F.ceil(spot)
-    stats = order_statistics(df, keys, value, ranks, scale)
+    stats = order_statistics(df, keys, value, ranks, scale, weight)
     out = []
     for name, p in probs.items():
         spot = (n - 1) * F.lit(float(p))

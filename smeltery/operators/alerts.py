@@ -200,28 +200,43 @@ def alerts_by_severity(alerts: DataFrame) -> DataFrame:
     return alerts.groupBy("severity").agg(F.count("*").alias("alerts"))
 
 
-def _grouped(alerts: DataFrame) -> DataFrame:
-    """One row per alert type: severity, start, count, the first five tables by alert id."""
+def alert_sums(alerts: DataFrame, keys: Sequence[str] = ("type",)) -> DataFrame:
+    """Per keys: highest severity level, whether one is active, start, count, the first five tables by alert id."""
     level = F.when(F.col("severity").isin("critical", "high"), 3).when(F.col("severity") == "medium", 2).otherwise(1)
-    sums = alerts.groupBy(F.col("type").alias("alert_type")).agg(
+    sums = alerts.groupBy(*keys).agg(
         F.max(level).alias("_level"),
         F.max(F.col("status") == "active").alias("_open"),
         F.min("occurred_at").alias("started_at"),
         F.count("*").alias("alert_count"),
     )
-    # Rank-limited before it is collected: five rows per type, whatever the type holds.
-    first = W.partitionBy("type").orderBy("alert_id")
+    # Rank-limited before it is collected: five rows per group, whatever the group holds.
+    first = W.partitionBy(*keys).orderBy("alert_id")
     five = (
         alerts.withColumn("_rn", F.row_number().over(first))
         .where(F.col("_rn") <= 5)
-        .groupBy(F.col("type").alias("alert_type"))
-        .agg(F.array_sort(F.collect_list(F.struct("_rn", F.coalesce("table_name", "title").alias("t")))).alias("_five"))
-        .select("alert_type", F.array_join(F.transform("_five", lambda s: s["t"]), ", ").alias("affected_tables"))
+        .groupBy(*keys)
+        .agg(F.array_sort(F.collect_list(F.struct("alert_id", F.coalesce("table_name", "title").alias("t")))).alias("_five"))
     )
-    words = F.replace(F.col("alert_type"), F.lit("_"), F.lit(" "))
-    return sums.join(five, "alert_type").select(
-        F.concat(F.lit("inc_"), F.col("alert_type")).alias("incident_id"),
-        "alert_type",
+    return sums.join(five, list(keys))
+
+
+def merged_sums(parts: DataFrame) -> DataFrame:
+    """Sums per type from the sums of parts of the alerts; at most five names a part are brought together."""
+    return parts.where("type IS NOT NULL").groupBy("type").agg(
+        F.max("_level").alias("_level"),
+        F.max("_open").alias("_open"),
+        F.min("started_at").alias("started_at"),
+        F.sum("alert_count").alias("alert_count"),
+        F.slice(F.array_sort(F.flatten(F.collect_list("_five"))), 1, 5).alias("_five"),
+    )
+
+
+def incident_rows(sums: DataFrame) -> DataFrame:
+    """One incident per alert type."""
+    words = F.replace(F.col("type"), F.lit("_"), F.lit(" "))
+    return sums.where("type IS NOT NULL").select(
+        F.concat(F.lit("inc_"), F.col("type")).alias("incident_id"),
+        F.col("type").alias("alert_type"),
         F.concat(F.initcap(words), F.lit(" — grouped alerts")).alias("title"),
         F.concat(F.col("alert_count").cast("string"), F.lit(' active signal(s) of type "'), words, F.lit('".')).alias(
             "description"
@@ -230,14 +245,18 @@ def _grouped(alerts: DataFrame) -> DataFrame:
         F.when(F.col("_open"), "open").otherwise("resolved").alias("status"),
         "started_at",
         "alert_count",
-        "affected_tables",
+        F.array_join(F.transform("_five", lambda s: s["t"]), ", ").alias("affected_tables"),
     )
 
 
 def incidents_sync(existing: DataFrame, alerts: DataFrame, run_ts) -> DataFrame:
     """Incidents after the current alerts: known ones updated, new ones opened, vanished types resolved."""
+    return sync_incidents(existing, incident_rows(alert_sums(alerts)), run_ts)
+
+
+def sync_incidents(existing: DataFrame, current: DataFrame, run_ts) -> DataFrame:
     now = at(run_ts)
-    old, new = existing.alias("o"), _grouped(alerts).alias("n")
+    old, new = existing.alias("o"), current.alias("n")
     joined = old.join(new, F.col("o.incident_id") == F.col("n.incident_id"), "full_outer")
     seen = F.col("n.incident_id").isNotNull()
     closing = ~seen & (F.col("o.status") == "open")

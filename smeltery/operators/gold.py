@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from smeltery.functions.exprs import blank_to, date_key, ladder, money, money_ratio, trimmed
 from smeltery.functions.keyed import not_yet_in, only_in
+from smeltery.functions.ordered import position_in_key
 
 Tables = Mapping[str, DataFrame]
 DASH = "—"
@@ -342,6 +343,11 @@ def fact_sales(
     lines = orders.drop("is_valid").alias("o").join(
         items.drop("is_valid").alias("i"), F.col("o.order_key") == F.col("i.order_key")
     )
+    if mode == "append" and existing is not None:
+        # lines that are there already leave before they meet a dimension
+        loaded = existing.select("order_id", "order_item_id").alias("e")
+        same = (F.col("o.order_id") == F.col("e.order_id")) & (F.col("i.order_item_id") == F.col("e.order_item_id"))
+        lines = lines.join(loaded, same, "left_anti")
     places = (
         silver["customer"]
         .select("customer_key", "person_key")
@@ -355,7 +361,7 @@ def fact_sales(
     joined = lines.join(places, F.col("o.customer_key") == F.col("_customer"), "left").join(
         promotions, blank_to("o.promotion_code", "") == F.col("_code"), "left"
     )
-    rows = joined.select(
+    return joined.select(
         date_key("o.order_date").alias("order_date_key"),
         "o.customer_key",
         "i.product_key",
@@ -375,9 +381,6 @@ def fact_sales(
         blank_to("o.order_status", "UNKNOWN").alias("order_status"),
         blank_to("o.order_status_category", "UNKNOWN").alias("order_status_category"),
     )
-    if mode == "append":
-        rows = not_yet_in(rows, existing, ["order_id", "order_item_id"])
-    return rows
 
 
 def fact_orders(
@@ -388,10 +391,11 @@ def fact_orders(
     if mode == "append":
         orders = _high_watermark(orders, existing) if watermark else not_yet_in(orders, existing, ["order_id"])
     orders = only_in(orders, gold["dim_customer"], ["customer_key"])
+    items = silver["order_item"].where("is_valid")
+    if mode == "append":
+        items = only_in(items, orders, ["order_key"])
     lines = (
-        silver["order_item"]
-        .where("is_valid")
-        .groupBy("order_key")
+        items.groupBy("order_key")
         .agg(
             F.sum("quantity").alias("total_quantity"),
             F.count("order_item_id").alias("total_items"),
@@ -673,14 +677,9 @@ def agg_sales_rep_performance(
     rates = employee.select("employee_key", "commission_percent")
     paid = monthly.join(rates, "employee_key", "left")
     share = F.col("net_sales") * F.col("commission_percent") * F.lit(Decimal("0.01"))
-    rank = F.row_number().over(
-        W.partitionBy("year_number", "month_number").orderBy(F.col("net_sales").desc_nulls_first(), "employee_key")
-    )
-    rows = paid.select(
-        *monthly.columns,
-        money(F.round(F.coalesce(share, F.lit(0)), 2), 18).alias("total_commission"),
-        rank.alias("sales_rank"),
-    )
+    rows = paid.select(*monthly.columns, money(F.round(F.coalesce(share, F.lit(0)), 2), 18).alias("total_commission"))
+    order = [F.col("net_sales").desc_nulls_first(), "employee_key"]
+    rows = position_in_key(rows, ["year_number", "month_number"], order, "sales_rank")
     return not_yet_in(rows, existing, ["employee_key", "year_number", "month_number"])
 
 

@@ -328,10 +328,13 @@ def product_reviews(raw: DataFrame) -> DataFrame:
     )
 
 
-def product_performance(orders: DataFrame, items: DataFrame, product: DataFrame, reviews: DataFrame, stock: DataFrame, as_of) -> DataFrame:
-    """Sales, ratings and turnover of every product, ranked by revenue in its category.
+def product_performance(
+    orders: DataFrame, items: DataFrame, product: DataFrame, reviews: DataFrame, stock: DataFrame, returns: DataFrame, as_of
+) -> DataFrame:
+    """Sales, ratings, returns and turnover of every product, ranked by revenue in its category.
 
-    Turnover is units sold over units on hand.
+    Turnover is units sold over units on hand, the return rate units of ``returns`` (product_key, quantity) over
+    units sold; both are null without what they are divided by.
     """
     dated = items.join(orders.select("order_key", "order_date"), "order_key")
     sums = dated.groupBy("product_key").agg(
@@ -350,6 +353,7 @@ def product_performance(orders: DataFrame, items: DataFrame, product: DataFrame,
         .join(sums, "product_key", "left")
         .join(rated, "product_key", "left")
         .join(on_hand, "product_key", "left")
+        .join(returns.groupBy("product_key").agg(F.sum("quantity").alias("returned")), "product_key", "left")
     )
     revenue = money(F.coalesce("revenue", F.lit(0)), 18)
     order = [F.col("total_revenue").desc(), F.col("product_key")]
@@ -364,6 +368,7 @@ def product_performance(orders: DataFrame, items: DataFrame, product: DataFrame,
         "average_rating",
         F.coalesce("review_count", F.lit(0)).alias("review_count"),
         ratio(F.coalesce("units", F.lit(0)), F.col("on_hand")).alias("inventory_turnover"),
+        ratio(F.coalesce("returned", F.lit(0)), F.col("units")).alias("return_rate"),
         F.datediff(F.to_date(F.lit(str(as_of))), F.col("last_sale")).alias("days_since_last_sale"),
         "category_rank",
         *[F.coalesce(n, F.lit(0)).alias(n) for n in stars],
@@ -440,8 +445,12 @@ def real_time_dashboard(events: DataFrame, product: DataFrame) -> DataFrame:
     kinds = product.select(F.col("product_id").cast("long").alias("p"), "category_name")
     per_category = per_product.join(kinds, "p").groupBy("_h", "category_name").agg(F.sum("v").alias("v"))
     category = per_category.groupBy("_h").agg(F.max(F.struct("v", "category_name")).alias("k"))
-    joined = sums.join(best, "_h", "left").join(category, "_h", "left")
-    return joined.select(
+    return dashboard_figures(sums.join(best, "_h", "left").join(category, "_h", "left"))
+
+
+def dashboard_figures(hours: DataFrame) -> DataFrame:
+    """The shown figures of rows with the hour, its counts, and the best product ``b`` and category ``k``."""
+    return hours.select(
         F.to_date("_h").alias("metric_date"),
         F.hour("_h").alias("metric_hour"),
         "orders_today",
@@ -488,3 +497,30 @@ def scd2_merge(current: DataFrame, incoming: DataFrame, key: str, tracked: Seque
     )
     columns = [key, *tracked, "valid_from", "valid_to", "is_current"]
     return current.where("NOT is_current").select(*columns).unionByName(kept).unionByName(opened)
+
+
+BUCKET_DAYS = 32
+
+
+def version_at(facts: DataFrame, versions: DataFrame, key: str, day: str, columns: Sequence[str]) -> DataFrame:
+    """The facts with ``columns`` of the version of their key that was valid on ``day``, null where there is none.
+
+    ``versions`` has key, valid_from, valid_to (null: still open) and the columns; spans of a key do not overlap, and a
+    key's first version also counts for days before it. A span is cut into stretches of ``BUCKET_DAYS`` days within the
+    days of the facts, so the lookup is an equi-join on key and stretch, never a comparison of all versions of a key.
+    """
+    on = F.col(day).cast("date")
+    days = facts.agg(F.min(on).alias("low"), F.max(on).alias("high"))
+    low, high = days.select("low").scalar(), days.select("high").scalar()
+    stretch = lambda d: F.floor(F.datediff(d, F.lit("1970-01-01").cast("date")) / BUCKET_DAYS).cast("int")
+    first = versions.groupBy(key).agg(F.min("valid_from").alias("_first"))
+    spans = versions.join(first, key).select(
+        F.col(key).alias("_key"),
+        F.when(F.col("valid_from") == F.col("_first"), low).otherwise(F.greatest(low, F.to_date("valid_from"))).alias("_from"),
+        F.least(F.date_add(high, 1), F.to_date("valid_to")).alias("_to"),
+        *[F.col(c).alias(f"_v_{c}") for c in columns],
+    )
+    cut = spans.where(F.col("_from") < F.col("_to")).select("*", F.explode(F.sequence(stretch(F.col("_from")), stretch(F.date_sub("_to", 1)))).alias("_at"))
+    placed = facts.withColumns({"_day": on, "_stretch": stretch(on)})
+    match = (F.col(key) == F.col("_key")) & (F.col("_stretch") == F.col("_at")) & (F.col("_day") >= F.col("_from")) & (F.col("_day") < F.col("_to"))
+    return placed.join(cut, match, "left").select(*facts.columns, *[F.col(f"_v_{c}").alias(c) for c in columns])

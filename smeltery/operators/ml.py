@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from smeltery.functions.exprs import ratio, stable_id
 from smeltery.functions.ordered import order_statistics
 from smeltery.operators.workload import cache_heuristic, read_features
+from smeltery.session import durable
 
 # Feature names and model settings.
 TIME_FEATURES = (
@@ -92,12 +93,12 @@ def split_by_key(df: DataFrame, key: str = "log_id", test_share: float = 0.2) ->
 
 
 def spread(features: DataFrame, key: str = "log_id") -> DataFrame:
-    """Feature rows spread over the executors and kept for the passes of a fit.
+    """Feature rows spread over the executors and stored for the passes of a fit.
 
     Features are narrow; one shuffle of them is paid once, the scan and the parsing behind
-    them are not repeated per pass.
+    them are not repeated per pass. The checkpoint goes when the frame is no longer referred to.
     """
-    return features.repartition(F.col(key)).persist(StorageLevel.MEMORY_AND_DISK)
+    return durable(features.repartition(F.col(key)))
 
 
 def _scaled(inputs: Sequence[str], *, center: bool = False) -> list:
@@ -360,30 +361,39 @@ def fit_isolation_forest(features: DataFrame, trees: int = TREES, sample: int =
 
 
 def score_isolation_forest(forest: pd.DataFrame, features: DataFrame, sample: int = TREE_SAMPLE) -> DataFrame:
-    """Score per row, lower is stranger: minus two to the power of minus mean depth over expected depth."""
+    """Score per row, lower is stranger: minus two to the power of minus mean depth over expected depth.
+
+    Trees are arrays of their nodes and every row walks them level by level in column expressions: no Python worker
+    sees a row. The forest, bounded by its fit, reaches the plan as one scalar.
+    """
     forest = forest.sort_values(["tree", "node"])
-    shipped = features.sparkSession.sparkContext.broadcast(
-        [g[["feature", "threshold", "left", "right", "size", "depth"]].to_numpy(dtype=float) for _, g in forest.groupby("tree")]
-    )
+    trees = [
+        (
+            g["feature"].astype(int).tolist(),
+            g["threshold"].astype(float).tolist(),
+            g["left"].astype(int).tolist(),
+            g["right"].astype(int).tolist(),
+            (g["depth"].to_numpy(dtype=float) + _average_path(g["size"].to_numpy())).tolist(),
+        )
+        for _, g in forest.groupby("tree")
+    ]
+    node_lists = "array<struct<feature:array<int>,threshold:array<double>,lo:array<int>,hi:array<int>,path:array<double>>>"
+    shipped = features.sparkSession.createDataFrame([(trees,)], f"trees {node_lists}").scalar()
     norm = float(_average_path(np.array([sample]))[0])
+    values = F.array(*_X)
+    levels = F.array(*[F.lit(i) for i in range(int(forest["depth"].max()))]) if len(forest) else F.array().cast("array<int>")
+
+    def leaf(tree: Column) -> Column:
+        def step(at: Column, _level: Column) -> Column:
+            feature = F.get(tree["feature"], at)
+            goes_left = F.get(values, feature) < F.get(tree["threshold"], at)
+            return F.when(feature < 0, at).when(goes_left, F.get(tree["lo"], at)).otherwise(F.get(tree["hi"], at))
+
+        return F.aggregate(levels, F.lit(0), step)
 
-    @F.pandas_udf("double")
-    def score(*columns: pd.Series) -> pd.Series:
-        values = np.column_stack([c.to_numpy(dtype=float) for c in columns])
-        depth = np.zeros(len(values))
-        for nodes in shipped.value:
-            at = np.zeros(len(values), dtype=int)
-            moving = nodes[at, 0] >= 0
-            while moving.any():
-                rows = np.flatnonzero(moving)
-                here = nodes[at[rows]]
-                goes_left = values[rows, here[:, 0].astype(int)] < here[:, 1]
-                at[rows] = np.where(goes_left, here[:, 2], here[:, 3]).astype(int)
-                moving[rows] = nodes[at[rows], 0] >= 0
-            depth += nodes[at, 5] + _average_path(nodes[at, 4])
-        return pd.Series(-np.power(2.0, -(depth / len(shipped.value)) / norm))
-
-    return features.withColumn("anomaly_score", score(*_X)).select("log_id", "anomaly_score")
+    depth = F.aggregate(shipped, F.lit(0.0), lambda total, tree: total + F.get(tree["path"], leaf(tree)))
+    score = -F.pow(F.lit(2.0), -(depth / F.lit(float(len(trees)))) / F.lit(norm))
+    return features.select("log_id", score.alias("anomaly_score"))
 
 
 def flag_anomalies(scores: DataFrame, contamination: float = CONTAMINATION) -> DataFrame:
@@ -515,13 +525,15 @@ def cache_candidates(
 
 
 def top_cache_candidates(
-    features: DataFrame, threshold: float = CACHE_THRESHOLD, limit: int | None = None, **labels: float
+    features: DataFrame, threshold: float = CACHE_THRESHOLD, limit: int | None = None, or_heuristic: bool = False, **labels: float
 ) -> DataFrame:
-    """Ranked by the classifier where one can be fitted, by the rule of thumb where not."""
+    """Ranked by the classifier. Where none can be fitted (few statements, one class) there are no rows, or with
+    ``or_heuristic`` the rule of thumb ranks; ``source`` says which it was."""
     training = spread(cache_training(features, **labels), "query_text")
     model = fit_cache_classifier(training)
     if model is None:
-        return cache_heuristic(features, threshold, limit).withColumn("source", F.lit("heuristic"))
+        ranked = cache_heuristic(features, threshold, limit).withColumn("source", F.lit("heuristic"))
+        return ranked if or_heuristic else ranked.limit(0)
     return cache_candidates(model, training, threshold, limit).withColumn("source", F.lit("random_forest"))
 
 

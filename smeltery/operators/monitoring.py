@@ -297,10 +297,20 @@ def etl_kpis(history: DataFrame, fresh: DataFrame) -> DataFrame:
     ).select("*", met.alias("sla_met"), total.alias("sla_total"))
 
 
-def run_row(spark, run_id: str, step: str, layer: str, table: str, status: str, records: int, started, completed, error=None):
-    """One finished step as a frame for the run log."""
+def run_row(
+    spark, run_id: str, step: str, layer: str, table: str, status: str, records: int, started, completed=None, error=None, progress: int = 0
+):
+    """One event of a step (started, finished, failed) as a frame for the run log."""
     schema = (
         "run_id string, job_id string, layer string, table_name string, status string, records_processed long, "
-        "started_at timestamp, completed_at timestamp, error_message string"
+        "started_at timestamp, completed_at timestamp, error_message string, progress int"
     )
-    return spark.createDataFrame([(run_id, step, layer, table, status, records, started, completed, error)], schema)
+    return spark.createDataFrame([(run_id, step, layer, table, status, records, started, completed, error, progress)], schema)
+
+
+def run_states(events: DataFrame) -> DataFrame:
+    """The newest event of every step of every run: a step without an end is still ``running``, or its driver was lost."""
+    step = ["run_id", "layer", "table_name", "started_at"]
+    rest = [c for c in events.columns if c not in step]
+    newest = F.max_by(F.struct(*rest), F.struct(F.col("completed_at").isNotNull(), "completed_at")).alias("e")
+    return events.groupBy(*step).agg(newest).select(*step, "e.*").select(*events.columns)

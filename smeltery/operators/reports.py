@@ -45,16 +45,22 @@ def layer_row_count(tables: Mapping[str, DataFrame]) -> DataFrame:
     return _union(counts).agg(F.sum("rows").alias("total_rows"))
 
 
-def warehouse_summary(layers: Mapping[str, Mapping[str, DataFrame]]) -> DataFrame:
-    """Per layer the number of tables and their exact rows."""
+def warehouse_summary(layers: Mapping[str, Mapping[str, DataFrame]], sizes: DataFrame) -> DataFrame:
+    """Per layer the number of tables, their exact rows and the stored bytes of ``sizes`` (layer, bytes)."""
     parts = [
         df.agg(F.count("*").alias("rows")).select(F.lit(layer).alias("layer"), F.lit(name).alias("name"), "rows")
         for layer, tables in layers.items()
         for name, df in tables.items()
     ]
-    return _union(parts).groupBy("layer").agg(
-        F.count("name").alias("table_count"), F.sum("rows").alias("total_rows")
-    )
+    counts = _union(parts).groupBy("layer").agg(F.count("name").alias("table_count"), F.sum("rows").alias("total_rows"))
+    stored = sizes.groupBy("layer").agg(F.sum("bytes").alias("total_bytes"))
+    return counts.join(stored, "layer", "left").select("layer", "table_count", "total_rows", F.coalesce("total_bytes", F.lit(0)).alias("total_bytes"))
+
+
+def layer_bytes(spark: SparkSession, paths: Mapping[str, Sequence[str]]) -> DataFrame:
+    """layer, bytes: what lies in the folders of each layer's stored tables, from the listing alone."""
+    frames = [stored_bytes(spark, folders).select(F.lit(layer).alias("layer"), "bytes") for layer, folders in paths.items() if folders]
+    return _union(frames) if frames else spark.createDataFrame([], "layer string, bytes long")
 
 
 def stored_bytes(spark: SparkSession, paths: Sequence[str]) -> DataFrame:

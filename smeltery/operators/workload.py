@@ -201,7 +201,10 @@ def _latency(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.coalesce(F.sum("shared_blks_read"), F.lit(0)).alias("_read"),
         F.max_by("log_id", F.struct("collected_at", "log_id")).alias("sample_log_id"),
     )
-    ranks = percentiles_cont(rows, keys, "_per_call", PROBS, scale=6)
+    return _measured(sums, percentiles_cont(rows, keys, "_per_call", PROBS, scale=6), keys)
+
+
+def _measured(sums: DataFrame, ranks: DataFrame, keys: Sequence[str]) -> DataFrame:
     joined = sums.join(ranks, list(keys), "left")
     mean = ratio(F.col("_sum"), F.col("execution_count"))
     return joined.select(
@@ -216,6 +219,22 @@ def _latency(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def day_counts(logs: DataFrame) -> DataFrame:
+    """One row per day, statement and time per call: how many log rows, their sums, and the newest of them.
+
+    All windows of whole days, percentiles included, follow from these rows, so one scan of the log serves
+    every window and view; counts of several days or folders add up.
+    """
+    return with_row_total(logs).groupBy(F.to_date("collected_at").alias("day"), "query_hash", "_per_call").agg(
+        F.count("*").alias("n"),
+        F.sum("_calls").alias("calls"),
+        F.sum("_total").alias("total"),
+        F.coalesce(F.sum("shared_blks_hit"), F.lit(0)).alias("hit"),
+        F.coalesce(F.sum("shared_blks_read"), F.lit(0)).alias("read"),
+        F.max(F.struct("collected_at", "log_id")).alias("newest"),
+    )
+
+
 def reconciled_mean(mean: Column, total: Column, calls: Column) -> Column:
     """The mean implied by the totals where it is a hundred times the stated one or more."""
     implied = F.when(calls > 0, total / calls)
@@ -250,29 +269,40 @@ def window_bounds(as_of, long_days: int) -> dict[str, str]:
     return {"1d": str(day - timedelta(days=1)), "7d": str(day - timedelta(days=7)), "long": str(day - timedelta(days=long_days))}
 
 
-def query_performance_windows(logs: DataFrame, as_of, long_days: int = 30, limit: int | None = None) -> DataFrame:
-    """The three windows side by side for every statement, from one scan; ``limit`` keeps those that rank in one."""
+def window_day_counts(logs: DataFrame, as_of, long_days: int = 30) -> DataFrame:
+    """``day_counts`` of the longest window, kept for all that is derived from it."""
     day = date.fromisoformat(str(as_of))
-    end = at(str(day + timedelta(days=1)))
-    starts = window_bounds(as_of, long_days)
     ts = F.col("collected_at")
-    rows = with_row_total(logs.where((ts >= at(starts["long"])) & (ts < end)))
-    member = F.filter(
-        F.array(*[F.struct(F.lit(n).alias("name"), at(s).alias("since")) for n, s in starts.items()]),
-        lambda w: ts >= w["since"],
-    )
-    spread = rows.select(
-        F.explode(F.transform(member, lambda w: w["name"])).alias("window"),
-        "query_hash",
-        "log_id",
-        "_calls",
-        "_total",
-        "_per_call",
-        "collected_at",
-        "shared_blks_hit",
-        "shared_blks_read",
-    )
-    measured = _latency(spread, ["window", "query_hash"])
+    start = window_bounds(as_of, max(7, long_days))["long"]
+    return durable(day_counts(logs.where((ts >= at(start)) & (ts < at(str(day + timedelta(days=1)))))))
+
+
+def query_performance_windows(
+    logs: DataFrame, as_of, long_days: int = 30, limit: int | None = None, counts: DataFrame | None = None
+) -> DataFrame:
+    """The three windows side by side for every statement; ``limit`` keeps those that rank in one.
+
+    They are made of ``counts`` (``window_day_counts``), one scan of the log: rows are shuffled once per day, statement
+    and value, and laid into windows only when they are counts per statement and value.
+    """
+    counts = window_day_counts(logs, as_of, long_days) if counts is None else counts
+    inside = {name: F.col("day") >= F.to_date(F.lit(start)) for name, start in window_bounds(as_of, long_days).items()}
+
+    def stacked(rows: DataFrame, fields: dict[str, Column], keys: Sequence[str]) -> DataFrame:
+        """Per keys one row a window: aggregates of the days inside it, windows without a row left out."""
+        windows = [F.struct(F.lit(name).alias("window"), *[f(days).alias(c) for c, f in fields.items()]).alias(f"_{name}") for name, days in inside.items()]
+        wide = rows.groupBy(*keys).agg(*windows)
+        return wide.select(*keys, F.inline(F.array(*[f"_{name}" for name in inside]))).where("n > 0")
+
+    total = lambda c: lambda days: F.sum(F.when(days, F.col(c)))
+    values = stacked(counts.where("_per_call IS NOT NULL"), {"n": total("n")}, ["query_hash", "_per_call"])
+    newest = lambda days: F.max(F.when(days, F.col("newest")))
+    fields = {"n": total("n"), "execution_count": total("calls"), "_sum": total("total"), "_hit": total("hit"), "_read": total("read"), "_newest": newest}
+    sums = stacked(counts, fields, ["query_hash"]).withColumns(
+        {"last_executed": F.col("_newest.collected_at"), "sample_log_id": F.col("_newest.log_id")}
+    )
+    keys = ["window", "query_hash"]
+    measured = _measured(sums, percentiles_cont(values, keys, "_per_call", PROBS, 6, weight="n"), keys)
     if limit is None:
         return measured
     order = W.partitionBy("window").orderBy(F.col("total_execution_time_ms").desc_nulls_last(), "query_hash")
@@ -297,25 +327,25 @@ def hourly_calls(logs: DataFrame, start: str, end: str) -> DataFrame:
     )
 
 
-def window_rollups(logs: DataFrame, as_of) -> DataFrame:
-    """Rows and calls of the day and week windows, in one pass."""
+def window_rollups(logs: DataFrame, as_of, counts: DataFrame | None = None) -> DataFrame:
+    """Rows and calls of the day and week windows, in one pass over the log or over ``counts`` of its days."""
     day = date.fromisoformat(str(as_of))
     starts = window_bounds(as_of, 30)
-    end = at(str(day + timedelta(days=1)))
-    ts, calls = F.col("collected_at"), F.coalesce("calls", F.lit(0))
-    held = logs.where((ts >= at(starts["7d"])) & (ts < end))
-    one = ts >= at(starts["1d"])
+    if counts is None:
+        ts = F.col("collected_at")
+        held = logs.where((ts >= at(starts["7d"])) & (ts < at(str(day + timedelta(days=1)))))
+        held = held.select(F.to_date(ts).alias("day"), F.lit(1).cast("long").alias("n"), F.coalesce("calls", F.lit(0)).alias("calls"))
+    else:
+        held = counts.where(F.col("day") >= F.to_date(F.lit(starts["7d"])))
+    one = F.col("day") >= F.to_date(F.lit(starts["1d"]))
     sums = held.agg(
-        F.count_if(one).alias("n1"),
-        F.sum(F.when(one, calls)).alias("c1"),
-        F.count("*").alias("n7"),
-        F.sum(calls).alias("c7"),
-    )
-    pair = F.array(
-        F.struct(F.lit("1d").alias("window"), F.col("n1").alias("sample_rows"), F.coalesce("c1", F.lit(0)).cast("double").alias("total_calls")),
-        F.struct(F.lit("7d").alias("window"), F.col("n7").alias("sample_rows"), F.coalesce("c7", F.lit(0)).cast("double").alias("total_calls")),
+        F.sum(F.when(one, F.col("n"))).alias("n1"),
+        F.sum(F.when(one, F.col("calls"))).alias("c1"),
+        F.sum("n").alias("n7"),
+        F.sum("calls").alias("c7"),
     )
-    return sums.select(F.inline(pair))
+    shown = lambda name, n, c: F.struct(F.lit(name).alias("window"), F.coalesce(n, F.lit(0)).alias("sample_rows"), F.coalesce(c, F.lit(0)).cast("double").alias("total_calls"))
+    return sums.select(F.inline(F.array(shown("1d", "n1", "c1"), shown("7d", "n7", "c7"))))
 
 
 def peak_hour(logs: DataFrame, start: str, end: str) -> DataFrame:

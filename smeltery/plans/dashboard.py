@@ -10,12 +10,12 @@ from smeltery.operators import alerts, monitoring, reports, workload
 
 
 def home_dashboard(
-    layers: Mapping[str, Mapping[str, DataFrame]], active_alerts: DataFrame, as_of, days: int = 60
+    layers: Mapping[str, Mapping[str, DataFrame]], active_alerts: DataFrame, sizes: DataFrame, as_of, days: int = 60
 ) -> dict[str, DataFrame]:
-    """Warehouse summary, sales, top products, customers and alerts."""
+    """Warehouse summary with the stored bytes of ``sizes`` (layer, bytes), sales, top products, customers and alerts."""
     gold = layers["gold"]
     return {
-        "warehouse_summary": reports.warehouse_summary(layers),
+        "warehouse_summary": reports.warehouse_summary(layers, sizes),
         "sales_totals": reports.sales_totals(gold["fact_sales"]),
         "sales_daily": reports.sales_daily(gold["fact_sales"], as_of, days),
         "top_products": reports.top_products(gold["fact_sales"], gold["dim_product"]),
@@ -43,13 +43,14 @@ def monitoring_dashboard(runs: DataFrame, jobs: DataFrame, stats: DataFrame, now
 
 def analytics_dashboard(logs: DataFrame, as_of, long_days: int = 30, limit: int = 100) -> dict[str, DataFrame]:
     """Latency windows, hotspots, rollups and key figures of the query log."""
-    windows = workload.query_performance_windows(logs, as_of, long_days, limit)
+    counts = workload.window_day_counts(logs, as_of, long_days)
+    windows = workload.query_performance_windows(logs, as_of, long_days, limit, counts)
     week = workload.window_bounds(as_of, long_days)["7d"]
     hourly = workload.hourly_calls(logs, week, str(as_of))
     return {
         "windows": windows,
         "hotspots": workload.hotspots(windows),
-        "rollups": workload.window_rollups(logs, as_of),
+        "rollups": workload.window_rollups(logs, as_of, counts),
         "hourly": hourly,
         "buckets": workload.bucket_rollup(hourly, 6),
         "kpis": workload.workload_kpis(windows.where("window = '7d'")),

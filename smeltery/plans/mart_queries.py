@@ -128,15 +128,19 @@ _COUNTS = ", ".join(f"COUNT(*) FILTER (WHERE rating = {k}) AS s{k}" for k in ran
     "product_performance",
     f"""WITH s AS (SELECT product_key, SUM(quantity) AS u, SUM(net_amount) AS r, MAX(order_date) AS ld FROM silver_order_item JOIN silver_orders USING (order_key) GROUP BY 1),
         v AS (SELECT product_key, COUNT(*) AS k, SUM(rating)::DOUBLE / COUNT(*) AS a, SUM(ROUND(sentiment_score, 6)::DECIMAL(18,6))::DOUBLE / COUNT(*) AS se, {_COUNTS} FROM clean_reviews GROUP BY 1),
-        h AS (SELECT product_key, SUM(quantity_on_hand)::BIGINT AS oh FROM silver_inventory GROUP BY 1)
+        h AS (SELECT product_key, SUM(quantity_on_hand)::BIGINT AS oh FROM silver_inventory GROUP BY 1),
+        q AS (SELECT (l_partkey + 1)::BIGINT AS product_key, SUM(l_quantity::DECIMAL(10,2)) AS rt FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
         SELECT p.product_key, p.product_id, p.product_name, p.category_name AS category, COALESCE(u, 0)::DOUBLE AS total_units_sold, COALESCE(r, 0)::DOUBLE AS total_revenue, v.a AS average_rating, COALESCE(v.k, 0) AS review_count,
-          CASE WHEN oh <> 0 THEN COALESCE(u, 0)::DOUBLE / oh::DOUBLE END AS inventory_turnover, ({_TODAY} - ld)::INTEGER AS days_since_last_sale,
+          CASE WHEN oh <> 0 THEN COALESCE(u, 0)::DOUBLE / oh::DOUBLE END AS inventory_turnover,
+          CASE WHEN u <> 0 THEN COALESCE(rt, 0)::DOUBLE / u::DOUBLE END AS return_rate, ({_TODAY} - ld)::INTEGER AS days_since_last_sale,
           (ROW_NUMBER() OVER (PARTITION BY p.category_name ORDER BY COALESCE(r, 0) DESC, p.product_key))::INTEGER AS category_rank, {_STARS}, se AS average_sentiment_score
-        FROM silver_product p LEFT JOIN s USING (product_key) LEFT JOIN v USING (product_key) LEFT JOIN h USING (product_key)""",
+        FROM silver_product p LEFT JOIN s USING (product_key) LEFT JOIN v USING (product_key) LEFT JOIN h USING (product_key) LEFT JOIN q USING (product_key)""",
 )
 def _performance(t):
+    returned = t("lineitem").where("l_returnflag = 'R'")
+    returns = returned.select((F.col("l_partkey") + 1).alias("product_key"), F.col("l_quantity").cast("decimal(10,2)").alias("quantity"))
     return marts.product_performance(
-        t("silver_orders"), t("silver_order_item"), t("silver_product"), marts.product_reviews(t("raw_reviews")), t("silver_inventory"), AS_OF
+        t("silver_orders"), t("silver_order_item"), t("silver_product"), marts.product_reviews(t("raw_reviews")), t("silver_inventory"), returns, AS_OF
     )
 
 
@@ -176,8 +180,8 @@ _RUN = "TIMESTAMP '2001-08-02 00:00:00'"
 _OLD = "TIMESTAMP '2000-01-01 00:00:00'"
 
 
-@query(
-    "scd2_merge",
+sql_table(
+    "customer_history",
     f"""WITH cur AS (SELECT customer_id, CASE WHEN customer_id % 5 = 0 THEN 'LOW' ELSE income_bracket END AS income_bracket, customer_type, {_OLD} AS valid_from, NULL::TIMESTAMP AS valid_to, TRUE AS is_current FROM silver_customer WHERE customer_since IS NOT NULL
           UNION ALL SELECT customer_id, 'NONE', customer_type, {_OLD} - INTERVAL 1 YEAR, {_OLD}, FALSE FROM silver_customer WHERE customer_since IS NOT NULL),
         inc AS (SELECT customer_id, income_bracket, customer_type FROM silver_customer WHERE is_valid),
@@ -185,6 +189,9 @@ _OLD = "TIMESTAMP '2000-01-01 00:00:00'"
         SELECT customer_id, income_bracket, customer_type, valid_from, CASE WHEN is_current AND customer_id IN (SELECT customer_id FROM ch) THEN {_RUN} ELSE valid_to END AS valid_to, is_current AND customer_id NOT IN (SELECT customer_id FROM ch) AS is_current FROM cur
         UNION ALL SELECT customer_id, income_bracket, customer_type, {_RUN}, NULL, TRUE FROM inc WHERE customer_id IN (SELECT customer_id FROM ch) OR customer_id NOT IN (SELECT customer_id FROM cur WHERE is_current)""",
 )
+
+
+@query("scd2_merge", "SELECT * FROM customer_history")
 def _scd2(t):
     c = t("silver_customer")
     held = c.where("customer_since IS NOT NULL")
@@ -204,3 +211,14 @@ def _scd2(t):
     )
     incoming = c.where("is_valid").select("customer_id", "income_bracket", "customer_type")
     return marts.scd2_merge(now.unionByName(before), incoming, "customer_id", ["income_bracket", "customer_type"], "2001-08-02 00:00:00")
+
+
+@query(
+    "customer_version_of_orders",
+    """WITH v AS (SELECT *, valid_from = MIN(valid_from) OVER (PARTITION BY customer_id) AS oldest FROM customer_history)
+       SELECT o.order_id, o.order_date, o.customer_key AS customer_id, v.income_bracket, v.valid_from FROM silver_orders o LEFT JOIN v ON v.customer_id = o.customer_key
+         AND (v.oldest OR o.order_date >= v.valid_from::DATE) AND (v.valid_to IS NULL OR o.order_date < v.valid_to::DATE) WHERE o.order_date IS NOT NULL""",
+)
+def _version_of_orders(t):
+    orders = t("silver_orders").where("order_date IS NOT NULL").select("order_id", "order_date", F.col("customer_key").alias("customer_id"))
+    return marts.version_at(orders, _scd2(t), "customer_id", "order_date", ["income_bracket", "valid_from"])

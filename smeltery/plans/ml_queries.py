@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from smeltery.operators import ml, workload
-from smeltery.plans.registry import query
+from smeltery.operators import density, ml, workload
+from smeltery.plans.registry import query, sql_table
 
 
 @query(
@@ -25,6 +25,33 @@ def _time_features(t):
     return ml.time_features(t("query_logs")).select("log_id", "table_count", "has_cte", "calls", "target")
 
 
+# One point per statement and day: calls by hundreds and rows of the log. Whole numbers, so distances are exact.
+sql_table(
+    "statement_days",
+    """SELECT query_hash || '|' || CAST(collected_at AS DATE)::VARCHAR AS id, (SUM(calls) // 10)::DOUBLE AS x, (COUNT(*) * 20)::DOUBLE AS y FROM query_logs GROUP BY query_hash, CAST(collected_at AS DATE)""",
+)
+
+
+@query(
+    "statement_day_clusters",
+    """WITH RECURSIVE n AS (SELECT a.id, b.id AS other, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM statement_days a JOIN statement_days b ON a.x BETWEEN b.x - 8 AND b.x + 8 AND a.y BETWEEN b.y - 8 AND b.y + 8),
+       c AS (SELECT id FROM n WHERE d2 <= 64 GROUP BY id HAVING COUNT(*) >= 6),
+       e AS (SELECT n.id AS a, n.other AS b FROM n WHERE d2 <= 64 AND n.id IN (SELECT id FROM c) AND n.other IN (SELECT id FROM c)),
+       r AS (SELECT id, id AS root FROM c UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id),
+       l AS (SELECT id, MIN(root) AS root FROM r GROUP BY id),
+       k AS (SELECT root, ROW_NUMBER() OVER (ORDER BY root) - 1 AS cluster FROM (SELECT DISTINCT root FROM l)),
+       b AS (SELECT n.id, ARG_MIN(l.root, (d2, l.root)) AS root FROM n JOIN l ON l.id = n.other WHERE d2 <= 64 AND n.id NOT IN (SELECT id FROM c) GROUP BY n.id)
+       SELECT s.id, COALESCE(k.cluster, -1)::INTEGER AS cluster, l.id IS NOT NULL AS is_core FROM statement_days s LEFT JOIN l ON l.id = s.id LEFT JOIN b ON b.id = s.id LEFT JOIN k ON k.root = COALESCE(l.root, b.root)""",
+)
+def _statement_days(t):
+    day = F.to_date("collected_at")
+    points = t("query_logs").groupBy("query_hash", day.alias("day")).agg(
+        F.expr("CAST(SUM(calls) DIV 10 AS DOUBLE)").alias("x"), (F.count("*") * 20).cast("double").alias("y")
+    )
+    points = points.select(F.concat_ws("|", "query_hash", F.col("day").cast("string")).alias("id"), "x", "y")
+    return density.dbscan(points, ["x", "y"], 8.0, 6)
+
+
 @query("query_time_scorecard")
 def _time(t):
     train, test = ml.split_by_key(ml.spread(ml.time_features(t("query_logs"))))
@@ -85,7 +112,7 @@ def _baseline(t):
 
 @query("cache_classifier_candidates")
 def _candidates(t):
-    return ml.top_cache_candidates(workload.cache_features(t("query_logs")))
+    return ml.top_cache_candidates(workload.cache_features(t("query_logs")), or_heuristic=True)
 
 
 @query("cache_classifier_scorecard")

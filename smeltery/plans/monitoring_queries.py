@@ -390,10 +390,10 @@ def _alerts_severity(t):
 
 @query(
     "slow_queries",
-    f"SELECT log_id, query_hash, mean_exec_time_ms::DOUBLE AS mean_exec_time_ms, collected_at FROM query_logs WHERE mean_exec_time_ms > 5000 AND collected_at >= {_NOW} - INTERVAL 1 DAY ORDER BY collected_at DESC NULLS LAST, log_id LIMIT 15",
+    f"SELECT log_id, query_hash, mean_exec_time_ms::DOUBLE AS mean_exec_time_ms, collected_at FROM query_logs WHERE mean_exec_time_ms > 5000 AND collected_at >= {_NOW} - INTERVAL 1 DAY",
 )
 def _slow(t):
-    slow = alerts.slow_queries(t("query_logs"), AS_OF_TS, 5000.0, 15)
+    slow = alerts.slow_queries(t("query_logs"), AS_OF_TS, 5000.0)
     return slow.select("log_id", "query_hash", "mean_exec_time_ms", "collected_at")
 
 

@@ -59,6 +59,8 @@ def with_inputs(text: str) -> str:
         return text
     ctes = ",\n".join(f"{name} AS MATERIALIZED ({_body(name)})" for name in order)
     inner = text.lstrip()
+    if inner.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{inner[15:]}"
     if inner.upper().startswith("WITH "):
         return f"WITH {ctes},\n{inner[5:]}"
     return f"WITH {ctes}\n{text}"

@@ -24,12 +24,12 @@ def _layers(t):
 
 @query(
     "warehouse_summary",
-    "SELECT layer, COUNT(*) AS table_count, SUM(n)::BIGINT AS total_rows FROM ("
+    "SELECT layer, table_count, total_rows, COALESCE(b, 0)::BIGINT AS total_bytes FROM (SELECT layer, COUNT(*) AS table_count, SUM(n)::BIGINT AS total_rows FROM ("
     + " UNION ALL ".join(f"SELECT '{l}' AS layer, COUNT(*) AS n FROM {n}" for l, ns in _LAYERS.items() for n in ns)
-    + ") GROUP BY layer",
+    + ") GROUP BY layer) LEFT JOIN (SELECT layer, SUM(bytes) AS b FROM table_stats GROUP BY 1) USING (layer)",
 )
 def _summary(t):
-    return reports.warehouse_summary(_layers(t))
+    return reports.warehouse_summary(_layers(t), t("table_stats").select("layer", "bytes"))
 
 
 @query(

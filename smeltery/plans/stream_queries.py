@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from smeltery.operators import workload
+from smeltery.operators import alerts, workload
+from smeltery.plans.monitoring_queries import _sustained_sql
 from smeltery.plans.registry import query
 from smeltery.session import shared_dir
 from smeltery.sources.adapter import PORTABLE
@@ -31,32 +33,71 @@ def _finish(running) -> None:
     running.awaitTermination()
 
 
-@query(
-    "stream_bronze_to_silver",
-    """SELECT (l_orderkey + 1) * 8 + l_linenumber AS order_item_id, l_partkey + 1 AS product_id, l_quantity AS quantity FROM lineitem
-       QUALIFY ROW_NUMBER() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey DESC, l_quantity DESC) = 1""",
-)
-def _bronze(t):
-    base = _folder(t)
-    stream = _source(t, "lineitem").select(
+_LINES = """SELECT (l_orderkey + 1) * 8 + l_linenumber AS order_item_id, l_partkey + 1 AS product_id, l_quantity AS quantity, o_orderdate::DATE AS order_date
+       FROM (SELECT * FROM lineitem QUALIFY ROW_NUMBER() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey DESC, l_quantity DESC) = 1) LEFT JOIN orders ON o_orderkey = l_orderkey"""
+
+
+def _bronze_lines(t, lines):
+    """Lines as they come, with the date of their order, which all versions of a line share."""
+    dates = t("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").cast("date").alias("order_date"))
+    return lines.join(dates, "l_orderkey", "left").select(
         ((F.col("l_orderkey") + 1) * 8 + F.col("l_linenumber")).alias("order_item_id"),
         (F.col("l_partkey") + 1).alias("product_id"),
         F.col("l_quantity").alias("quantity"),
+        "order_date",
         F.col("l_shipdate").alias("_load_timestamp"),
     )
+
+
+def _to_silver(t, stream, base):
     _finish(
         jobs.stream_bronze_to_silver(
-            stream, f"{base}/check", f"{base}/out", ["order_item_id"], lambda df: df.drop("_load_timestamp")
+            stream, f"{base}/check", f"{base}/out", ["order_item_id"], lambda df: df.drop("_load_timestamp"), F.trunc("order_date", "MM")
         )
     )
+
+
+@query("stream_bronze_to_silver", _LINES)
+def _bronze(t):
+    base = _folder(t)
+    _to_silver(t, _bronze_lines(t, _source(t, "lineitem")), base)
+    return jobs.read_batches(t.spark, f"{base}/out")
+
+
+@query("stream_bronze_to_silver_batches", _LINES)
+def _bronze_batches(t):
+    """Lines in three batches; the second and third bring changed versions of lines that are there already, newer and older."""
+    base, lines = _folder(t), t("lineitem")
+    again = lines.withColumn("l_quantity", F.col("l_quantity") + 1000)
+    newer, older = (again.withColumn("l_shipdate", F.col("l_shipdate") + F.make_dt_interval(days=F.lit(days))) for days in (9, -9))
+    part = F.col("l_orderkey") % 3
+    for rows in (lines.where(part == 0), lines.where(part == 1).unionByName(newer.where(part == 0)), lines.where(part == 2).unionByName(older.where(part < 2))):
+        rows.write.mode("append").parquet(f"{base}/in")
+        _to_silver(t, _bronze_lines(t, jobs.file_stream(t.spark, f"{base}/in", rows.schema)), base)
     return jobs.read_batches(t.spark, f"{base}/out")
 
 
-@query("stream_fact_incremental", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+_ORDERS = "SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate FROM orders"
+
+
+@query("stream_fact_incremental", _ORDERS)
 def _fact(t):
     base = _folder(t)
-    stream = _source(t, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    _finish(jobs.stream_fact_incremental(stream, f"{base}/check", f"{base}/out", ["o_orderkey"]))
+    stream = _source(t, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    _finish(jobs.stream_fact_incremental(stream, f"{base}/check", f"{base}/out", ["o_orderkey"], F.trunc("o_orderdate", "MM")))
+    return jobs.read_batches(t.spark, f"{base}/out")
+
+
+@query("stream_fact_incremental_batches", _ORDERS)
+def _fact_batches(t):
+    """Higher ids first, then late lower ids with some of the first again, then everything again."""
+    base = _folder(t)
+    rows = t("orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    high = F.col("o_orderkey") % 4 >= 2
+    for part in (high, (~high & (F.col("o_orderkey") % 4 == 1)) | (F.col("o_orderkey") % 8 == 2), F.lit(True)):
+        rows.where(part).write.mode("append").parquet(f"{base}/in")
+        stream = jobs.file_stream(t.spark, f"{base}/in", rows.schema)
+        _finish(jobs.stream_fact_incremental(stream, f"{base}/check", f"{base}/out", ["o_orderkey"], F.trunc("o_orderdate", "MM")))
     return jobs.read_batches(t.spark, f"{base}/out")
 
 
@@ -115,17 +156,12 @@ def _counter_batches(t):
 _CLOSED = "(SELECT MAX(ts) - INTERVAL 1 HOUR FROM events)"
 
 
-@query(
-    "stream_hourly_dashboard",
-    f"""SELECT h::DATE AS metric_date, HOUR(h)::INTEGER AS metric_hour, COUNT(*) FILTER (WHERE event_type = 'purchase') AS orders_today,
-        COALESCE(SUM(CASE WHEN event_type = 'purchase' THEN value::DECIMAL(12,2) END), 0)::DOUBLE AS revenue_today, COUNT(*) FILTER (WHERE event_type = 'view') AS page_views
-        FROM (SELECT DATE_TRUNC('hour', ts) AS h, * FROM events) GROUP BY h HAVING h + INTERVAL 1 HOUR <= {_CLOSED}""",
-)
+@query("stream_hourly_dashboard", f"SELECT * FROM dashboard WHERE metric_date + INTERVAL 1 HOUR * (metric_hour + 1) <= {_CLOSED}")
 def _dashboard(t):
     base = _folder(t)
     stream = _derived(t, "clickstream", "events").withColumn("event_timestamp", F.col("event_timestamp").cast("timestamp"))
-    _finish(jobs.append_files(jobs.hourly_dashboard(stream), f"{base}/check", f"{base}/out"))
-    return t.spark.read.parquet(f"{base}/out").drop("active_users")
+    _finish(jobs.append_files(jobs.hourly_dashboard(stream, t("silver_product")), f"{base}/check", f"{base}/out"))
+    return t.spark.read.parquet(f"{base}/out")
 
 
 @query(
@@ -143,18 +179,24 @@ def _sessions(t):
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start_time", "end_time")})
 
 
-@query(
-    "stream_sustained_alerts",
-    f"""SELECT host, w AS window_start, w + INTERVAL 5 MINUTE AS window_end, COUNT(*) AS samples
-        FROM (SELECT host, value, UNNEST(list_transform(range(5), lambda i: DATE_TRUNC('minute', observed_at) - INTERVAL 1 MINUTE * i)) AS w FROM system_metrics WHERE metric = 'cpu_percent')
-        GROUP BY host, w HAVING MIN(value) > 80 AND w + INTERVAL 5 MINUTE <= (SELECT MAX(observed_at) - INTERVAL 1 HOUR FROM system_metrics WHERE metric = 'cpu_percent')""",
-)
+def _closed_sustained_sql() -> str:
+    """Windows that the watermark has passed: an hour behind the newest sample of the metrics that share their length."""
+    parts = []
+    for length in sorted({r[4] for r in alerts.SUSTAINED_RULES}):
+        names = [r[0] for r in alerts.SUSTAINED_RULES if r[4] == length]
+        metrics = sorted({r[1] for r in alerts.SUSTAINED_RULES if r[4] == length})
+        newest = f"(SELECT MAX(observed_at) - INTERVAL 1 HOUR FROM system_metrics WHERE metric IN ({', '.join(map(repr, metrics))}))"
+        parts.append(f"SELECT * FROM held WHERE rule IN ({', '.join(map(repr, names))}) AND window_end <= {newest}")
+    return f"WITH held AS ({_sustained_sql()}) " + " UNION ALL ".join(parts)
+
+
+@query("stream_sustained_alerts", _closed_sustained_sql())
 def _sustained(t):
     base = _folder(t)
     stream = _derived(t, "system_metrics", "events").withColumn("observed_at", F.col("observed_at").cast("timestamp"))
-    alerts = jobs.sustained(stream, "cpu_percent", lambda low, high: low > 80, 5)
-    _finish(jobs.append_files(alerts, f"{base}/check", f"{base}/out"))
-    return t.spark.read.parquet(f"{base}/out")
+    _finish(jobs.stream_sustained(stream, f"{base}/check", f"{base}/out"))
+    lengths = sorted({r[4] for r in alerts.SUSTAINED_RULES})
+    return reduce(DataFrame.unionByName, [t.spark.read.parquet(f"{base}/out/minutes={n}") for n in lengths])
 
 
 @query(

@@ -1,24 +1,23 @@
-"""Stored layers: one folder per table, written as parts and read through numbered manifests.
-
-Without a table format a table cannot be read and overwritten in one plan. Every write puts
-its files into a new part folder and then publishes a manifest, a small file that lists the
-parts of the table; the complete manifest with the highest number counts. Nothing is ever
-deleted or changed in place, so a write that stops half way leaves the table as it was,
-readers keep the parts they started with, and of two writers that publish the same number
-one fails. Old parts stay until they are removed on purpose.
+"""Stored layers: Parquet folders written and read by Spark, partitioned by day where a table grows by the day.
+
+Every full rewrite of a table is a new version folder beside the last, which counts once Spark's success
+mark and the schema are in it; so a frame may read the table it replaces, and a rewrite that stops half way
+leaves the table as it was. Appends and refreshed days go into the current version by Spark's own writer
+(append, dynamic partition overwrite), which moves files into place when the whole job is done. One load
+writes a table at a time.
 """
 
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Mapping, Sequence
-from functools import reduce
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 LAYERS = ("bronze", "silver", "gold", "monitoring")
-MANIFEST = "MANIFEST_"
+VERSION = "v="
 # Children before parents.
 EMPTYING_ORDER = {
     "gold": (
@@ -27,8 +26,10 @@ EMPTYING_ORDER = {
         "agg_customer_lifetime",
         "agg_daily_sales",
         "fact_inventory_snapshot",
+        "fact_customer_version",
         "fact_orders",
         "fact_sales",
+        "dim_customer_history",
         "dim_promotion",
         "dim_warehouse",
         "dim_location",
@@ -74,12 +75,44 @@ EMPTYING_ORDER = {
         "country",
     ),
 }
-PARTITIONED = {
-    "user_events": "event_date",
-    "inventory_snapshots": "snapshot_date",
-    "fact_inventory_snapshot": "snapshot_date_key",
-    "agg_daily_sales": "date_key",
-}
+
+
+@dataclass(frozen=True)
+class Days:
+    """Partition column of a table. Where ``source`` is given the column is made of it on the way in and is no
+    column of the table; filters on it go through ``Warehouse.read(days=...)``."""
+
+    column: str
+    source: Column | None = None
+    hidden: bool = False
+
+    def added(self, df: DataFrame) -> DataFrame:
+        return df if self.source is None or self.column in df.columns else df.withColumn(self.column, self.source)
+
+
+def _day_of(column: str, timestamp: str) -> Days:
+    return Days(column, F.to_date(F.col(timestamp)), True)
+
+
+def partitioned() -> dict[str, Days]:
+    """Tables that are stored by day."""
+    return {
+        "bronze.orders": _day_of("_load_date", "_load_timestamp"),
+        "bronze.order_item": _day_of("_load_date", "_load_timestamp"),
+        "bronze.clickstream": _day_of("event_date", "event_timestamp"),
+        "monitoring.query_logs": _day_of("log_date", "collected_at"),
+        "silver.orders": Days("order_date"),
+        "silver.order_item": Days("order_date", hidden=True),
+        "silver.user_events": Days("event_date"),
+        "silver.inventory_snapshots": Days("snapshot_date"),
+        "gold.user_events": Days("event_date"),
+        "gold.inventory_snapshots": Days("snapshot_date"),
+        "gold.fact_sales": Days("order_date_key"),
+        "gold.fact_orders": Days("order_date_key"),
+        "gold.fact_customer_version": Days("order_date_key"),
+        "gold.fact_inventory_snapshot": Days("snapshot_date_key"),
+        "gold.agg_daily_sales": Days("date_key"),
+    }
 
 
 class Warehouse:
@@ -87,125 +120,114 @@ class Warehouse:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.days = partitioned()
 
     def folder(self, layer: str, table: str) -> str:
         return f"{self.root}/{layer}/{table}"
 
-    def _fs(self, path: str):
-        jvm = self.spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
+    def _at(self, path: str):
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
 
-    def _manifest(self, layer: str, table: str) -> tuple[int, dict | None]:
-        """Number and content of the newest complete manifest; 0 and None where the table was never written."""
-        fs, folder = self._fs(self.folder(layer, table))
-        if not fs.exists(folder):
-            return 0, None
-        names = [status.getPath().getName() for status in fs.listStatus(folder)]
-        numbers = sorted((int(n.removeprefix(MANIFEST)) for n in names if n.startswith(MANIFEST)), reverse=True)
-        jvm = self.spark._jvm
-        for number in numbers:
-            stream = fs.open(jvm.org.apache.hadoop.fs.Path(f"{self.folder(layer, table)}/{MANIFEST}{number:012d}"))
-            lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-            text, end = lines.readLine(), lines.readLine()
-            lines.close()
-            if end == "complete":
-                return number, json.loads(text)
-        return 0, None
-
-    def _publish(self, layer: str, table: str, number: int, content: dict) -> None:
-        """The manifest is written beside its place and renamed; a number that is taken already is an error."""
-        fs, target = self._fs(f"{self.folder(layer, table)}/{MANIFEST}{number:012d}")
-        fresh = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder(layer, table)}/_next_{uuid.uuid4().hex}")
-        stream = fs.create(fresh, False)
-        stream.write(bytearray(f"{json.dumps(content)}\ncomplete\n", "utf-8"))
+    def _version(self, layer: str, table: str) -> int:
+        """Number of the newest complete version; 0 where the table was never written."""
+        fs, folder = self._at(self.folder(layer, table))
+        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        numbers = sorted((int(n.removeprefix(VERSION)) for n in names if n.startswith(VERSION)), reverse=True)
+        whole = (n for n in numbers if all(fs.exists(self._at(f"{self._path(layer, table, n)}/{f}")[1]) for f in ("_SUCCESS", "_schema")))
+        return next(whole, 0)
+
+    def _path(self, layer: str, table: str, version: int) -> str:
+        return f"{self.folder(layer, table)}/{VERSION}{version:06d}"
+
+    def _schema(self, path: str) -> T.StructType:
+        fs, target = self._at(f"{path}/_schema")
+        stream = fs.open(target)
+        text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         stream.close()
-        if fs.exists(target) or not fs.rename(fresh, target):
-            raise RuntimeError(f"{layer}.{table}: another writer published manifest {number}")
-
-    def paths(self, layer: str, table: str) -> list[str]:
-        """Part folders of the current table."""
-        content = self._manifest(layer, table)[1]
-        return [] if content is None else [f"{self.folder(layer, table)}/{part['name']}" for part in content["parts"]]
+        return T.StructType.fromJson(json.loads(text))
 
     def exists(self, layer: str, table: str) -> bool:
-        return self._manifest(layer, table)[1] is not None
+        return self._version(layer, table) > 0
 
-    def read(self, layer: str, table: str) -> DataFrame:
-        df = self.read_or_none(layer, table)
+    def paths(self, layer: str, table: str) -> list[str]:
+        """Folder of the current version, in a list; empty where there is none."""
+        number = self._version(layer, table)
+        return [self._path(layer, table, number)] if number else []
+
+    def read(self, layer: str, table: str, days: Column | None = None) -> DataFrame:
+        df = self.read_or_none(layer, table, days)
         if df is None:
             raise LookupError(f"no table {layer}.{table}")
         return df
 
-    def read_or_none(self, layer: str, table: str) -> DataFrame | None:
-        """The schema comes from the manifest: nothing is inferred, and an empty table has one too.
-
-        Parts of which a later write replaced partitions are read without those, by a filter on the
-        partition column that prunes their folders.
-        """
-        content = self._manifest(layer, table)[1]
-        if content is None:
+    def read_or_none(self, layer: str, table: str, days: Column | None = None) -> DataFrame | None:
+        """The current version with the schema it was written with, empty or not; ``days`` is a condition on the
+        partition column, of which only the folders that fit are read."""
+        number = self._version(layer, table)
+        if not number:
             return None
-        schema = T.StructType.fromJson(content["schema"])
-        column = content["partition"]
-        frames, plain = [], []
-        for part in content["parts"]:
-            path = f"{self.folder(layer, table)}/{part['name']}"
-            if column is None:
-                plain.append(path)
-                continue
-            rows = self.spark.read.schema(schema).parquet(path)
-            if part["gone"]:
-                kind = schema[column].dataType
-                gone = [F.lit(v).cast(kind) for v in part["gone"] if v is not None]
-                listed = F.col(column).isin(gone) if gone else F.lit(False)
-                rows = rows.where(~F.coalesce(listed, F.lit(None in part["gone"])))
-            frames.append(rows)
-        if plain:
-            frames.append(self.spark.read.schema(schema).parquet(*plain))
-        return reduce(lambda x, y: x.unionByName(y), frames).select(*schema.names)
-
-    def _write(self, layer: str, table: str, df: DataFrame, column: str | None) -> dict:
-        name = f"part_{uuid.uuid4().hex}"
-        writer = df.write.mode("error")
-        if column:
-            writer = writer.partitionBy(column)
-        writer.parquet(f"{self.folder(layer, table)}/{name}")
-        return {"name": name, "gone": []}
-
-    def overwrite(self, layer: str, table: str, df: DataFrame) -> None:
-        """The table is this frame from now on; the frame may read the table itself."""
-        number, _ = self._manifest(layer, table)
-        column = PARTITIONED.get(table)
-        column = column if column in df.columns else None
-        part = self._write(layer, table, df, column)
-        loose = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema.fields])
-        self._publish(layer, table, number + 1, {"parts": [part], "schema": loose.jsonValue(), "partition": column})
-
-    def append(self, layer: str, table: str, df: DataFrame) -> None:
-        """Add a part; readers see all of it or nothing. The first append makes the table."""
-        number, content = self._manifest(layer, table)
-        if content is None:
-            self.overwrite(layer, table, df)
-            return
-        schema = T.StructType.fromJson(content["schema"])
-        rows = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
-        part = self._write(layer, table, rows, content["partition"])
-        self._publish(layer, table, number + 1, content | {"parts": [*content["parts"], part]})
-
-    def overwrite_partitions(self, layer: str, table: str, df: DataFrame) -> None:
-        """Replace only the partitions the frame holds; the others are not read or written."""
-        number, content = self._manifest(layer, table)
-        if content is None or content["partition"] is None:
-            self.overwrite(layer, table, df)
-            return
-        schema, column = T.StructType.fromJson(content["schema"]), content["partition"]
-        rows = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
-        part = self._write(layer, table, rows, column)
-        written = self.spark.read.schema(schema).parquet(f"{self.folder(layer, table)}/{part['name']}")
-        values = [r[0] for r in written.select(F.col(column).cast("string")).distinct().collect()]
-        kept = [{"name": p["name"], "gone": [*p["gone"], *(v for v in values if v not in p["gone"])]} for p in content["parts"]]
-        self._publish(layer, table, number + 1, content | {"parts": [*kept, part]})
+        path, kept = self._path(layer, table, number), self.days.get(f"{layer}.{table}")
+        schema = self._schema(path)
+        rows = self.spark.read.schema(schema).parquet(path)
+        if days is not None:
+            rows = rows.where(days)
+        return rows.select(*[n for n in schema.names if not (kept and kept.hidden and n == kept.column)])
+
+    def day_list(self, layer: str, table: str) -> list[str]:
+        """Values of the partition column, from the folder names alone."""
+        found = set()
+        for path in self.paths(layer, table):
+            fs, folder = self._at(path)
+            names = (s.getPath().getName() for s in fs.listStatus(folder))
+            found |= {n.split("=", 1)[1] for n in names if n.startswith(f"{self.days[f'{layer}.{table}'].column}=")}
+        return sorted(found)
+
+    def _write(self, layer: str, table: str, df: DataFrame, path: str, mode: str) -> int:
+        """Rows written, counted by the write itself."""
+        kept, seen = self.days.get(f"{layer}.{table}"), Observation()
+        rows = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+        if kept is None:
+            rows.write.mode(mode).parquet(path)
+        else:
+            # rows of a day go to few files; adaptive execution splits a large day and joins small ones
+            writer = rows.hint("rebalance", kept.column).write.partitionBy(kept.column)
+            writer.mode(mode).option("partitionOverwriteMode", "dynamic").parquet(path)
+        try:
+            return seen.get["rows"]
+        except Py4JJavaError:  # a plan known to be empty is cut down to nothing, the counter included
+            return 0
+
+    def overwrite(self, layer: str, table: str, df: DataFrame) -> int:
+        """The table is this frame from now on; the frame may read the table itself. Returns the rows written."""
+        kept = self.days.get(f"{layer}.{table}")
+        rows = kept.added(df) if kept else df
+        path = self._path(layer, table, self._version(layer, table) + 1)
+        self._at(path)[0].delete(self._at(path)[1], True)  # what a rewrite that stopped half way left there
+        written = self._write(layer, table, rows, path, "error")
+        fs, target = self._at(f"{path}/_schema")
+        stream = fs.create(target, True)
+        stream.write(bytearray(T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields]).json(), "utf-8"))
+        stream.close()
+        return written
+
+    def _into(self, layer: str, table: str, df: DataFrame, mode: str) -> int:
+        number = self._version(layer, table)
+        if not number:
+            return self.overwrite(layer, table, df)
+        path, kept = self._path(layer, table, number), self.days.get(f"{layer}.{table}")
+        rows = kept.added(df) if kept else df
+        return self._write(layer, table, rows.select(*[F.col(f.name).cast(f.dataType) for f in self._schema(path).fields]), path, mode)
+
+    def append(self, layer: str, table: str, df: DataFrame) -> int:
+        """Add rows; the first append makes the table. Returns the rows written."""
+        return self._into(layer, table, df, "append")
+
+    def overwrite_partitions(self, layer: str, table: str, df: DataFrame) -> int:
+        """Replace only the days the frame holds; the others are not read or written."""
+        if f"{layer}.{table}" not in self.days:
+            raise ValueError(f"{layer}.{table} is not stored by day")
+        return self._into(layer, table, df, "overwrite")
 
 
 def read_table(spark: SparkSession, layer: str, table: str, root: str) -> DataFrame:
@@ -299,8 +321,7 @@ def truncate_layer(warehouse: Warehouse, layer: str) -> list[str]:
     """Empty every stored table of a layer, children first; the schemas stay."""
     emptied = []
     for table in EMPTYING_ORDER[layer]:
-        held = warehouse.read_or_none(layer, table)
-        if held is not None:
-            warehouse.overwrite(layer, table, warehouse.spark.createDataFrame([], T.StructType(held.schema.fields)))
+        for path in warehouse.paths(layer, table):
+            warehouse.overwrite(layer, table, warehouse.spark.createDataFrame([], warehouse._schema(path)))
             emptied.append(table)
     return emptied

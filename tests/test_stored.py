@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from smeltery.operators import ml, workload
+from smeltery.operators.monitoring import run_states
 from smeltery.operators.silver import BRONZE
 from smeltery.plans import catalog, stream_queries
 from smeltery.plans.dashboard import analytics_dashboard, home_dashboard, monitoring_dashboard
@@ -28,44 +29,43 @@ def t(spark):
 
 def test_versions_and_partitions(spark, tmp_path):
     wh = Warehouse(spark, str(tmp_path))
-    wh.overwrite("gold", "a", spark.range(3))
+    assert wh.overwrite("gold", "a", spark.range(3)) == 3
     old = wh.read("gold", "a")
     wh.overwrite("gold", "a", old.select((F.col("id") + 10).alias("id")))
-    wh.append("gold", "a", spark.range(1))
+    assert wh.append("gold", "a", spark.range(1)) == 1
     assert sorted(r.id for r in wh.read("gold", "a").collect()) == [0, 10, 11, 12]
     assert sorted(r.id for r in old.collect()) == [0, 1, 2]
     days = spark.createDataFrame([(20240101, 1), (20240102, 2)], "date_key int, n int")
     wh.overwrite("gold", "agg_daily_sales", days)
-    wh.overwrite_partitions("gold", "agg_daily_sales", spark.createDataFrame([(20240102, 9)], "date_key int, n int"))
+    assert wh.overwrite_partitions("gold", "agg_daily_sales", spark.createDataFrame([(20240102, 9)], "date_key int, n int")) == 1
     assert {(r.date_key, r.n) for r in wh.read("gold", "agg_daily_sales").collect()} == {(20240101, 1), (20240102, 9)}
+    assert wh.append("gold", "agg_daily_sales", days.limit(0)) == 0
     assert truncate_layer(wh, "gold") == ["agg_daily_sales"]
     assert wh.read("gold", "agg_daily_sales").count() == 0
     assert reports.stored_bytes(spark, wh.paths("gold", "a")).first()["bytes"] > 0
+    with pytest.raises(LookupError):
+        wh.read("gold", "nothing")
+    with pytest.raises(ValueError):
+        wh.overwrite_partitions("gold", "a", spark.range(1))
 
 
-def test_a_write_that_stops_half_way(spark, tmp_path, monkeypatch):
+def test_a_write_that_stops_half_way(spark, tmp_path):
     wh = Warehouse(spark, str(tmp_path))
     wh.overwrite("gold", "a", spark.range(5))
+    wh.overwrite("gold", "fact_sales", spark.range(6).selectExpr("id", "CAST(id % 3 AS INT) AS order_date_key"))
     reader = wh.read("gold", "a")
-
-    def crash(*_):
-        raise RuntimeError("stopped")
-
-    for write in (wh.append, wh.overwrite):
-        with monkeypatch.context() as m:
-            m.setattr(wh, "_publish", crash)
-            with pytest.raises(RuntimeError):
-                write("gold", "a", spark.range(100, 103))
-        assert wh.read("gold", "a").count() == 5
-    half = tmp_path / "gold" / "a" / "MANIFEST_000000000009"
-    half.write_text('{"parts": []')
-    wh.append("gold", "a", spark.range(1))
+    broken = spark.range(40, numPartitions=4).select(F.when(F.col("id") == 39, F.raise_error(F.lit("stopped")).cast("long")).otherwise(F.col("id")).alias("id"))
+    for table, rows in (("a", broken), ("fact_sales", broken.selectExpr("id", "CAST(id % 3 AS INT) AS order_date_key"))):
+        for write in (wh.append, wh.overwrite, *([wh.overwrite_partitions] if table != "a" else [])):
+            before = wh.read("gold", table).count()
+            with pytest.raises(Exception, match="stopped"):
+                write("gold", table, rows)
+            assert wh.read("gold", table).count() == before
+    assert wh.append("gold", "a", spark.range(1)) == 1 and wh.overwrite("gold", "a", wh.read("gold", "a")) == 6
     assert wh.read("gold", "a").count() == 6 and reader.count() == 5
-    with pytest.raises(RuntimeError):
-        wh._publish("gold", "a", 2, wh._manifest("gold", "a")[1])
 
 
-def test_replaced_partitions_keep_the_rest(spark, tmp_path):
+def test_replaced_days_keep_the_rest(spark, tmp_path):
     wh = Warehouse(spark, str(tmp_path))
     day = lambda rows: spark.createDataFrame(rows, "date_key int, n int")
     wh.overwrite("gold", "agg_daily_sales", day([(1, 1), (2, 2), (None, 3)]))
@@ -75,7 +75,36 @@ def test_replaced_partitions_keep_the_rest(spark, tmp_path):
     assert {(r.date_key, r.n) for r in read.collect()} == {(1, 1), (2, 6), (3, 5), (None, 3)}
     wh.overwrite_partitions("gold", "agg_daily_sales", day([(None, 7)]))
     assert {(r.date_key, r.n) for r in wh.read("gold", "agg_daily_sales").collect()} == {(1, 1), (2, 6), (3, 5), (None, 7)}
-    assert "PartitionFilters: [isnotnull(date_key" in read.where("date_key = 3")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date_key" in plan(read.where("date_key = 3"))
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_reports_read_their_days_only(spark, t, tmp_path):
+    """Sales by day, the 30-day report and query performance on stored tables: the scan gets partition filters."""
+    wh = Warehouse(spark, str(tmp_path))
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        wh.overwrite("gold", "fact_sales", t("gold_fact_sales").where("order_date_key >= 20010601"))
+        wh.overwrite("gold", "dim_date", t("gold_dim_date"))
+        wh.overwrite("monitoring", "query_logs", t("query_logs"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    sales, dates = wh.read("gold", "fact_sales"), wh.read("gold", "dim_date")
+    daily = reports.sales_daily(sales, "2001-08-01", 10)
+    assert "PartitionFilters: [isnotnull(order_date_key" in plan(daily)
+    report = reports.orders_report(sales, dates, "2001-08-01", 10)
+    assert "dynamicpruning" in plan(report).split("PartitionFilters: [")[1].split("]")[0]
+    assert report.collect() == reports.orders_report(t("gold_fact_sales"), t("gold_dim_date"), "2001-08-01", 10).collect()
+    days = F.col("log_date").between(F.lit(dt.date(2024, 1, 10)), F.lit(dt.date(2024, 1, 12)))
+    logs = wh.read("monitoring", "query_logs", days)
+    assert logs.columns == t("query_logs").columns
+    fast = workload.query_performance(logs, "2024-01-10", "2024-01-13", limit=None)
+    assert "PartitionFilters: [isnotnull(log_date" in plan(fast)
+    whole = workload.query_performance(t("query_logs"), "2024-01-10", "2024-01-13", limit=None)
+    assert sorted(map(str, fast.collect())) == sorted(map(str, whole.select(fast.columns).collect()))
 
 
 def test_lookup_reaches_the_scan(spark, t):
@@ -93,8 +122,11 @@ def test_pipeline_loads_once(spark, t, tmp_path):
 
 def _loads_once(spark, t, tmp_path):
     wh = Warehouse(spark, str(tmp_path))
+    recent = t("bronze_orders").where("order_date >= DATE'2001-07-01' OR order_date IS NULL")
+    lines = t("bronze_order_item").join(recent.select("order_id").distinct(), "order_id", "left_semi")
     for name in BRONZE:
-        wh.overwrite("bronze", name, t(f"bronze_{name}"))
+        rows = {"orders": recent, "order_item": lines.select(t("bronze_order_item").columns)}.get(name, t(f"bronze_{name}"))
+        wh.overwrite("bronze", name, rows)
     first = Load(wh, "2001-08-02 06:00:00").run()
     assert first["silver"]["orders"] > 0 and first["gold"]["fact_sales"] == first["silver"]["order_item"]
     orders = wh.read("silver", "orders")
@@ -107,14 +139,112 @@ def _loads_once(spark, t, tmp_path):
     assert second.transform_all() == {**{k: 0 for k in first["silver"]}, "country": 1}
     assert wh.read("silver", "country").where("country_id = 900").first()["country_key"] == first["silver"]["country"] + 1
     assert second.validate().where("has_duplicates").count() == 0
-    second.flush_log()
-    assert wh.read("monitoring", "job_runs").where("status = 'completed'").count() == 2 * len(first["silver"]) + len(first["gold"])
+    events = wh.read("monitoring", "job_runs")
+    done = 2 * len(first["silver"]) + len(first["gold"])
+    assert events.where("status = 'completed'").count() == events.where("status = 'running'").count() == done
+    states = run_states(events)
+    assert states.count() == states.where("status = 'completed'").count() == done
+    assert states.agg(F.sum("records_processed")).first()[0] == sum(first["silver"].values()) + sum(first["gold"].values()) + 1
+    _next_day(spark, wh, first)
+    _waiting_rows(spark, wh)
+    _lost_driver(spark, wh)
+
+
+def _read_files(df):
+    return sorted({r[0].split("/v=")[1] for r in df.select(F.input_file_name()).distinct().collect() if r[0]})
+
+
+def _bronze_rows(wh, order_id, customer_id, day, lines):
+    orders, items = wh.read("bronze", "orders"), wh.read("bronze", "order_item")
+    as_is = lambda df, given: df.limit(1).select(*[F.lit(given[c]).cast(df.schema[c].dataType).alias(c) if c in given else F.col(c) for c in df.columns])
+    stamp = {"_load_timestamp": "2024-01-03 08:00:00"}
+    product = wh.read("silver", "product").first()["product_id"]
+    one = as_is(orders.where("order_id IS NOT NULL"), stamp | {"order_id": order_id, "customer_id": customer_id, "order_date": day, "promotion_code": None})
+    many = [as_is(items.where("order_id IS NOT NULL"), stamp | {"order_item_id": order_id * 10 + i, "order_id": order_id, "product_id": product}) for i in range(lines)]
+    return one, many
+
+
+DAILY = ("orders", "order_item", "fact_sales", "fact_orders", "agg_daily_sales", "dim_customer_history", "fact_customer_version")
+
+
+def _next_day(spark, wh, first):
+    """One new order two days later: only the folders of its day change, in silver and in gold."""
+    customer = wh.read("silver", "customer").first()["customer_id"]
+    Load(wh, "2001-08-03 07:00:00", only=DAILY).aggregate_all()
+    one, lines = _bronze_rows(wh, 8_000_001, customer, "2002-01-05", 2)
+    tables = [("silver", "orders"), ("silver", "order_item"), ("gold", "fact_sales"), ("gold", "fact_orders"), ("gold", "agg_daily_sales")]
+    before = {x: _read_files(wh.read(*x)) for x in tables}
+    wh.append("bronze", "orders", one)
+    for line in lines:
+        wh.append("bronze", "order_item", line)
+    load = Load(wh, "2002-01-05 06:00:00", only=DAILY)
+    fresh, _, day = load._arrived("orders")
+    assert day == "2024-01-03" and "PartitionFilters: [((cast(_load_date" in plan(fresh) or "_load_date" in plan(fresh).split("PartitionFilters: [")[1].split("]")[0]
+    silver = load.transform_all()
+    assert (silver["orders"], silver["order_item"]) == (1, 2) and load.changed_days() == ["2002-01-05"]
+    gold = load.aggregate_all()
+    assert (gold["fact_sales"], gold["fact_orders"], gold["agg_daily_sales"]) == (2, 1, 1) and load.changed_days() == []
+    for table in tables:
+        fresh_files = set(_read_files(wh.read(*table))) - set(before[table])
+        assert set(before[table]) <= set(_read_files(wh.read(*table)))
+        assert fresh_files and all("20020105" in f.replace("-", "") for f in fresh_files)
+    whole = Load(wh, "2002-01-05 07:00:00", whole_history=True, only=DAILY).run()
+    assert whole["silver"]["orders"] == whole["silver"]["order_item"] == whole["gold"]["fact_sales"] == 0
+    assert Load(wh, "2002-01-05 08:00:00", only=DAILY).changed_days() == []
+
+
+def _waiting_rows(spark, wh):
+    """An order of an unknown customer and its line wait; they are loaded when the customer comes, from another ingest day on."""
+    one, lines = _bronze_rows(wh, 8_000_002, 1_999_999_999, "2002-01-06", 1)
+    wh.append("bronze", "orders", one)
+    wh.append("bronze", "order_item", lines[0])
+    silver = Load(wh, "2002-01-06 06:00:00", only=DAILY).transform_all()
+    assert (silver["orders"], silver["order_item"]) == (0, 0)
+    assert wh.read("pending", "orders").where("order_id = 8000002").count() == 1 and wh.read("pending", "order_item").where("order_id = 8000002").count() == 1
+    model = wh.read("silver", "customer").limit(1)
+    wh.append("silver", "customer", model.withColumn("customer_id", F.lit(1_999_999_999)).withColumn("customer_key", F.lit(777_777)))
+    late, _ = _bronze_rows(wh, 8_000_003, 1_999_999_999, "2002-01-07", 0)
+    wh.append("bronze", "orders", late.withColumn("_load_timestamp", F.lit("2024-01-05 01:00:00").cast(late.schema["_load_timestamp"].dataType)))
+    load = Load(wh, "2002-01-07 06:00:00", only=DAILY)
+    silver = load.transform_all()
+    assert (silver["orders"], silver["order_item"]) == (2, 1) and load.changed_days() == ["2002-01-06", "2002-01-07"]
+    assert wh.read("pending", "orders").where("order_id >= 8000002").count() == 0
+    # a line of an order from an earlier load looks beyond the changed days
+    load.aggregate_all()
+    _, more = _bronze_rows(wh, 8_000_001, 1, "2002-01-05", 4)
+    wh.append("bronze", "order_item", more[3].withColumn("_load_timestamp", F.lit("2024-01-05 02:00:00").cast("timestamp_ntz").cast(more[3].schema["_load_timestamp"].dataType)))
+    load = Load(wh, "2002-01-08 06:00:00", only=DAILY)
+    assert load.transform_all()["order_item"] == 1 and load.changed_days() == ["2002-01-05"]
+    assert load.aggregate_all()["fact_sales"] == 1
+
+
+def _lost_driver(spark, wh):
+    """A load that stops behind silver leaves a start row and its days; the next one brings gold up to date."""
+    one, lines = _bronze_rows(wh, 8_000_004, wh.read("silver", "customer").first()["customer_id"], "2002-02-01", 1)
+    stamp = F.lit("2024-02-01 00:00:00")
+    wh.append("bronze", "orders", one.withColumn("_load_timestamp", stamp.cast(one.schema["_load_timestamp"].dataType)))
+    wh.append("bronze", "order_item", lines[0].withColumn("_load_timestamp", stamp.cast(lines[0].schema["_load_timestamp"].dataType)))
+    stopped = Load(wh, "2002-02-01 06:00:00", only=DAILY)
+    stopped.transform_all()
+
+    def lost():
+        raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        stopped._step("gold", "fact_sales", lost)
+    with pytest.raises(RuntimeError):
+        stopped._step("gold", "fact_sales", lambda: (_ for _ in ()).throw(RuntimeError("long " * 400)))
+    states = run_states(wh.read("monitoring", "job_runs")).where(F.col("run_id") == stopped.run_id)
+    assert states.where("status = 'running' AND completed_at IS NULL AND table_name = 'fact_sales'").count() == 1
+    assert states.where("status = 'failed'").first()["error_message"] == "long " * 400
+    again = Load(wh, "2002-02-01 07:00:00", only=DAILY).run()
+    assert again["silver"]["orders"] == 0 and (again["gold"]["fact_orders"], again["gold"]["fact_sales"]) == (1, 1)
 
 
 def test_dashboards(spark, t):
     layers = {"gold": {n: t(f"gold_{n}") for n in ("fact_sales", "fact_orders", "dim_product", "dim_customer")}}
     alerts = spark.createDataFrame([("high",)], "severity string")
-    parts = home_dashboard(layers, alerts, "2001-08-01")
+    parts = home_dashboard(layers, alerts, t("table_stats"), "2001-08-01")
     parts |= monitoring_dashboard(t("job_runs"), t("etl_jobs"), t("table_stats"), "2024-01-31 00:00:00")
     parts |= analytics_dashboard(t("query_logs"), "2024-01-30")
     assert all(df.count() > 0 for df in parts.values())
