@@ -12,10 +12,10 @@ Linking takes these steps:
 2. Bands of register values give buckets. In each bucket every class meets one pivot, a different one in
    every band, never all the others. Pairs are estimated by the likelihood of their registers and then
    verified on full sets.
-3. Links give components. Where a bucket still holds several, its members meet on their rarest shingles, of
-   which two sets over the threshold share at least one; pages that only have a template in common do not
-   meet. Likely pairs are verified on full sets, so no pair that shares a bucket and is not joined already is
-   left out.
+3. Links give components. Where a bucket still holds several, members stay that share one of their rarest
+   shingles with another component (two sets over the threshold share at least one; pages that only have a
+   template in common share none). Those outside the bucket's largest component then meet all of other
+   components, in blocks, on full sets. No pair that shares a bucket and is not joined already is left out.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ from smeltery.llm.substrings import squeezed, unsqueezed
 from smeltery.llm.text import CHUNK_BYTES, NOT_SPACE, UPPER, Spans, chunks, mix, shingle_sets, table_of, word_hashes, word_spans
 
 BLOCK = 256
-SAMPLE, COMMON = 20_000, 500_000
-"""Texts looked at for common shingles, and how many of these are told apart: 8 MB for every task."""
+SAMPLE, COMMON = 20_000, 100_000
+"""Texts looked at for common shingles, and how many of these are told apart: under 2 MB for every task."""
 
 
 @dataclass(frozen=True)
@@ -168,6 +168,29 @@ def verified(pairs: DataFrame, plan: Plan) -> DataFrame:
     return pairs.mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def intersections(values: np.ndarray, border: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of every left set with every right set, columns in bounded blocks."""
+    out = np.zeros((len(left), len(right)))
+
+    def taken(rows):
+        count = np.diff(border)[rows]
+        return values[np.repeat(border[rows] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))], np.repeat(np.arange(len(rows)), count)
+
+    (lv, lr), (rv, rr) = taken(left), taken(right)
+    shared = np.intersect1d(lv, rv)
+    for at in range(0, len(shared), 4096):
+        columns = shared[at : at + 4096]
+        sides = []
+        for v, r, n in ((lv, lr, len(left)), (rv, rr, len(right))):
+            place = np.minimum(np.searchsorted(columns, v), len(columns) - 1)
+            hit = columns[place] == v
+            matrix = np.zeros((n, len(columns)), dtype=np.float32)
+            matrix[r[hit], place[hit]] = 1
+            sides.append(matrix)
+        out += sides[0] @ sides[1].T
+    return out
+
+
 def near_groups(docs: DataFrame, percent: int = 80, shingle: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id, kept: one row per document.
 
@@ -228,7 +251,7 @@ def common_shingles(members: DataFrame, shingle: int) -> np.ndarray:
 
 
 def prefixes(members: DataFrame, common: np.ndarray, plan: Plan) -> DataFrame:
-    """c, g, n, registers, z -> c, g, n, registers, e: the rarest shingles of every set, as many as two sets over the
+    """c, g, z -> c, g, e: the rarest shingles of every set, as many as two sets over the
     threshold cannot both do without. Sets that reach it share one of them, whatever the order of shingles is."""
     kinds = dict(members.dtypes)
     place = np.argsort(common, kind="stable")
@@ -249,60 +272,52 @@ def prefixes(members: DataFrame, common: np.ndarray, plan: Plan) -> DataFrame:
             position = np.arange(len(values)) - border[:-1][owner]
             keep = position < (sizes - -(-plan.percent * sizes // 100) + 1)[owner]
             row = pa.array(owner[keep])
-            columns = [batch.column(n).take(row) for n in ("c", "g", "n", "registers")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(values[sort][keep].view(np.int64))], names=["c", "g", "n", "registers", "e"])
+            yield pa.RecordBatch.from_arrays([batch.column("c").take(row), batch.column("g").take(row), pa.array(values[sort][keep].view(np.int64))], names=["c", "g", "e"])
 
-    return members.select("c", "g", "n", "registers", "z").mapInArrow(run, f"c {kinds['c']}, g {kinds['g']}, n bigint, registers binary, e bigint")
+    return members.select("c", "g", "z").mapInArrow(run, f"c {kinds['c']}, g {kinds['g']}, e bigint")
 
 
 def _rest(met: DataFrame, active: DataFrame, joined: DataFrame, plan: Plan) -> DataFrame:
     """Links between components (a, b) that share a bucket but met no common pivot.
 
-    Members of buckets that still hold several components meet on their rarest shingles, which pages that only have a
-    template in common do not share. Under each such shingle, members outside its largest component meet those of other
-    components, in blocks of registers; likely pairs of fitting sizes are then verified on full sets.
+    Members of buckets that still hold several components first show their rarest shingles: one that shares none of
+    them with another component has no link, as with pages that only have a template in common, and leaves. In what
+    is left of a bucket the members outside its largest component meet those of other components, in blocks, on
+    full sets.
     """
     placed = met.where("size > 2").join(joined.select(F.col("node").alias("c"), "component"), "c", "left").select("bucket", "c", F.coalesce("component", "c").alias("g"))
-    mixed = placed.groupBy("bucket").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high").select("bucket")
-    names = placed.join(mixed, "bucket", "left_semi").select("c", "g").distinct()
-    members = stored(names.join(active, "c"), "rest-members")
+    several = placed.groupBy("bucket").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high").select("bucket")
+    members = stored(placed.join(several, "bucket", "left_semi").select("c", "g").distinct().join(active.select("c", "z"), "c"), "rest-members")
     rare = stored(prefixes(members, common_shingles(members, plan.shingle), plan), "rest-prefixes")
-    sizes = rare.groupBy("e", "g").agg(F.count("*").alias("many"))
-    tops = stored(
-        sizes.groupBy("e").agg(F.count("*").alias("groups"), F.sum("many").alias("all"), F.max(F.struct("many", "g")).alias("top")).where("groups > 1").select("e", "all", F.col("top.many").alias("top_many"), F.col("top.g").alias("top")),
-        "rest-shingles",
+    shared = rare.groupBy("e").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high").select("e")
+    linked = stored(rare.join(shared, "e", "left_semi").select("c").distinct(), "rest-linked")
+    placed = stored(placed.join(linked, "c", "left_semi"), "rest-placed")
+    sizes = placed.groupBy("bucket", "g").agg(F.count("*").alias("many"))
+    mixed = stored(
+        sizes.groupBy("bucket").agg(F.count("*").alias("groups"), F.sum("many").alias("all"), F.max(F.struct("many", "g")).alias("top")).where("groups > 1").select("bucket", F.col("all"), F.col("top.many").alias("top_many"), F.col("top.g").alias("top")),
+        "mixed-buckets",
     )
-    rows = stored(rare.join(tops, "e"), "rest-rows")
+    rows = stored(placed.join(mixed, "bucket").join(active.select("c", "n", "z"), "c"), "bucket-rest")
     blocks_all = F.ceil(F.col("all") / BLOCK).cast("int")
     blocks_rest = F.ceil((F.col("all") - F.col("top_many")) / BLOCK).cast("int")
     spot = F.xxhash64("c")
-    asks = rows.where("g != top").select("e", "c", "g", "n", "registers", F.pmod(spot, blocks_rest).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), blocks_all - 1)).alias("j"), F.lit(True).alias("ask"))
-    gives = rows.select("e", "c", "g", "n", "registers", F.explode(F.sequence(F.lit(0), blocks_rest - 1)).alias("i"), F.pmod(spot, blocks_all).cast("int").alias("j"), F.lit(False).alias("ask"))
-    kind, percent = dict(rows.dtypes)["c"], plan.percent
+    asks = rows.where("g != top").select("bucket", "c", "g", "n", "z", F.pmod(spot, blocks_rest).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), blocks_all - 1)).alias("j"), F.lit(True).alias("ask"))
+    gives = rows.select("bucket", "c", "g", "n", "z", F.explode(F.sequence(F.lit(0), blocks_rest - 1)).alias("i"), F.pmod(spot, blocks_all).cast("int").alias("j"), F.lit(False).alias("ask"))
+    kind = dict(rows.dtypes)["g"]
+    percent, shingle = plan.percent, plan.shingle
 
     def run(group: pa.Table) -> pa.Table:
-        names, keys = group.column("g").to_pylist(), group.column("c").to_pylist()
+        unpack = zstandard.ZstdDecompressor()
+        values, border = _sets_of([unpack.decompress(z) for z in group.column("z").to_pylist()], shingle)
+        size, names = np.diff(border), group.column("g").to_pylist()
         codes = {name: i for i, name in enumerate(dict.fromkeys(names))}
         g, ask = np.array([codes[name] for name in names]), np.array(group.column("ask").to_pylist())
-        n = group.column("n").to_numpy()
-        registers = np.frombuffer(b"".join(group.column("registers").to_pylist()), dtype="<u2").reshape(-1, plan.registers)
         left, right = np.flatnonzero(ask), np.flatnonzero(~ask)
         pairs: set[tuple] = set()
-        for x in left.tolist():
-            fits = right[(g[right] != g[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))]
-            if not len(fits):
-                continue
-            mine = np.broadcast_to(registers[x], (len(fits), plan.registers))
-            likely = likely_jaccard(mine, registers[fits], np.full(len(fits), n[x]), n[fits], plan.base) >= plan.least_estimate
-            pairs |= {(min(keys[x], keys[y]), max(keys[x], keys[y])) for y in fits[likely].tolist()}
-        one = group.schema.field("c").type
+        if len(left) and len(right):
+            hit = _close(intersections(values, border, left, right), size[left][:, None], size[right][None, :], percent) & (g[left][:, None] != g[right][None, :])
+            pairs = {(names[left[x]], names[right[y]]) for x, y in zip(*np.nonzero(hit))}
+        one = group.schema.field("g").type
         return pa.table({"a": pa.array([x for x, _ in pairs], one), "b": pa.array([y for _, y in pairs], one)})
 
-    found = asks.unionByName(gives).groupBy("e", "i", "j").applyInArrow(run, f"a {kind}, b {kind}").distinct()
-    pairs = stored(found, "rest-pairs")
-    left = members.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"), F.col("z").alias("za"))
-    right = members.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"), F.col("z").alias("zb"))
-    held = verified(pairs.join(left, "a").join(right, "b").select("a", "b", "za", "zb", "ra", "rb", "na", "nb"), plan)
-    ends = members.select("c", "g")
-    with_names = held.join(ends.withColumnsRenamed({"c": "a", "g": "ga"}), "a").join(ends.withColumnsRenamed({"c": "b", "g": "gb"}), "b")
-    return with_names.select(F.col("ga").alias("a"), F.col("gb").alias("b")).distinct()
+    return asks.unionByName(gives).groupBy("bucket", "i", "j").applyInArrow(run, f"a {kind}, b {kind}")
