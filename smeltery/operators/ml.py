@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from multiprocessing.pool import ThreadPool
 from collections.abc import Sequence
@@ -15,9 +16,9 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator, RegressionEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from smeltery.functions.exprs import ratio, stable_id
 from smeltery.functions.ordered import order_statistics
@@ -168,6 +169,63 @@ def feature_importance(model: PipelineModel, spark) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
+def tree_arrays(model: PipelineModel, path: str) -> DataFrame:
+    """One row with the trees of a fitted ensemble, each as arrays of its nodes in saved order; ``path`` takes the saved model."""
+    trees = model.stages[-1]
+    trees.write().overwrite().save(path)
+    shares = list(trees.treeWeights)
+    if isinstance(trees, RandomForestRegressionModel):
+        shares = [w / sum(shares) for w in shares]
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in shares]), F.col("treeID") + 1)
+    node = SparkSession.getActiveSession().read.parquet(f"{path}/data").select(
+        F.col("treeID").alias("tree"),
+        F.col("nodeData.id").alias("node"),
+        F.when(F.col("nodeData.leftChild") >= 0, F.col("nodeData.split.featureIndex")).otherwise(-1).alias("feature"),
+        F.get(F.col("nodeData.split.leftCategoriesOrThreshold"), F.lit(0)).alias("threshold"),
+        F.col("nodeData.leftChild").alias("lo"),
+        F.col("nodeData.rightChild").alias("hi"),
+        (F.col("nodeData.prediction") * weight).alias("value"),
+    )
+    lists = node.groupBy("tree").agg(F.array_sort(F.collect_list(F.struct("node", "feature", "threshold", "lo", "hi", "value"))).alias("n"))
+    arrays = F.struct(*[F.col(f"n.{c}").alias(c) for c in ("feature", "threshold", "lo", "hi", "value")])
+    return lists.agg(F.collect_list(arrays).alias("trees"))
+
+
+def contributions(model: PipelineModel, features: DataFrame, path: str, depth: int = DEPTH) -> DataFrame:
+    """log_id, feature, contribution, bias, predicted_ms: what each input adds to a prediction along the paths of its trees.
+
+    A step from a node to its child adds the change of the node value to the feature that was asked; the bias is the sum
+    of the root values. Bias and contributions add up to the prediction. Rows walk the trees in column expressions.
+    """
+    held = tree_arrays(model, path)  # bounded by the fit, a constant of the plan below
+    shipped = F.from_json(F.lit(held.select(F.to_json("trees")).first()[0]), held.schema["trees"].dataType)
+    scored = model.transform(features).select("log_id", vector_to_array("features").alias("x"), F.col("prediction").alias("predicted_ms"))
+    step_type = "struct<at:int,steps:array<struct<f:int,d:double>>>"
+    start = F.from_json(F.lit('{"at": 0, "steps": []}'), step_type)
+
+    def walked(tree: Column) -> Column:
+        def step(state: Column, _level: Column) -> Column:
+            at = state["at"]
+            feature = F.get(tree["feature"], at)
+            goes_left = F.get(F.col("x"), feature) <= F.get(tree["threshold"], at)
+            following = F.when(goes_left, F.get(tree["lo"], at)).otherwise(F.get(tree["hi"], at))
+            change = F.get(tree["value"], following) - F.get(tree["value"], at)
+            moved = F.struct(following.alias("at"), F.concat(state["steps"], F.array(F.struct(feature.alias("f"), change.alias("d")))).alias("steps"))
+            return F.when(feature < 0, state).otherwise(moved).cast(step_type)
+
+        return F.aggregate(F.array(*[F.lit(i) for i in range(depth)]), start, step)["steps"]
+
+    steps = F.flatten(F.transform(shipped, walked))
+    bias = F.aggregate(shipped, F.lit(0.0), lambda total, tree: total + F.get(tree["value"], F.lit(0)))
+    listed = scored.select("log_id", "predicted_ms", bias.alias("bias"), steps.alias("steps"))
+
+    def of(i: int) -> Column:
+        return F.aggregate(F.filter("steps", lambda s: s["f"] == i), F.lit(0.0), lambda total, s: total + s["d"])
+
+    rows = F.array(*[F.struct(F.lit(name).alias("feature"), of(i).alias("contribution")) for i, name in enumerate(TIME_FEATURES)])
+    return listed.select("log_id", "predicted_ms", "bias", F.inline(rows)).select("log_id", "feature", "contribution", "bias", "predicted_ms")
+
+
 def save_model(model, path: str) -> None:
     model.write().overwrite().save(path)
 
@@ -235,6 +293,15 @@ def cluster_examples(assigned: DataFrame, per_cluster: int = 25) -> DataFrame:
     return top.select("cluster", preview.alias("query_preview"), "calls_sum", "mean_exec_ms", "sample_count")
 
 
+def nearest_centre(assigned: DataFrame, model: PipelineModel) -> DataFrame:
+    """Rows whose cluster is the one of the nearest printed centre, and all rows; equal where the assignment holds."""
+    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.stages[-1].clusterCenters()])
+    held = assigned.select("cluster", vector_to_array("features").alias("v"))
+    squares = F.transform(centres, lambda c: F.aggregate(F.zip_with("v", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+    gap = F.get(F.col("d"), F.col("cluster")) - F.array_min("d")
+    return held.select("cluster", squares.alias("d")).agg(F.count_if(gap <= 1e-9).alias("nearest"), F.count("*").alias("rows"))
+
+
 def silhouette(assigned: DataFrame) -> float:
     return ClusteringEvaluator(predictionCol="cluster", featuresCol="features").evaluate(assigned)
 
@@ -364,21 +431,21 @@ def score_isolation_forest(forest: pd.DataFrame, features: DataFrame, sample: in
     """Score per row, lower is stranger: minus two to the power of minus mean depth over expected depth.
 
     Trees are arrays of their nodes and every row walks them level by level in column expressions: no Python worker
-    sees a row. The forest, bounded by its fit, reaches the plan as one scalar.
+    sees a row. The forest, bounded by its fit, is a constant of the plan.
     """
     forest = forest.sort_values(["tree", "node"])
     trees = [
-        (
-            g["feature"].astype(int).tolist(),
-            g["threshold"].astype(float).tolist(),
-            g["left"].astype(int).tolist(),
-            g["right"].astype(int).tolist(),
-            (g["depth"].to_numpy(dtype=float) + _average_path(g["size"].to_numpy())).tolist(),
-        )
+        {
+            "feature": g["feature"].astype(int).tolist(),
+            "threshold": g["threshold"].astype(float).tolist(),
+            "lo": g["left"].astype(int).tolist(),
+            "hi": g["right"].astype(int).tolist(),
+            "path": (g["depth"].to_numpy(dtype=float) + _average_path(g["size"].to_numpy())).tolist(),
+        }
         for _, g in forest.groupby("tree")
     ]
     node_lists = "array<struct<feature:array<int>,threshold:array<double>,lo:array<int>,hi:array<int>,path:array<double>>>"
-    shipped = features.sparkSession.createDataFrame([(trees,)], f"trees {node_lists}").scalar()
+    shipped = F.from_json(F.lit(json.dumps(trees)), node_lists)
     norm = float(_average_path(np.array([sample]))[0])
     values = F.array(*_X)
     levels = F.array(*[F.lit(i) for i in range(int(forest["depth"].max()))]) if len(forest) else F.array().cast("array<int>")

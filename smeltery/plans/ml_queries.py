@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from smeltery.operators import density, ml, workload
 from smeltery.plans.registry import query, sql_table
+from smeltery.session import shared_dir
 
 
 @query(
@@ -65,6 +69,15 @@ def _importance(t):
     return ml.feature_importance(model, t.spark)
 
 
+@query("query_time_contributions")
+def _contributions(t):
+    """Mean contribution of every input and its mean size, over all rows."""
+    features = ml.spread(ml.time_features(t("query_logs")))
+    model = ml.fit_query_time(features, "random_forest", trees=20)
+    parts = ml.contributions(model, features, f"{shared_dir(t.spark)}/models/{uuid.uuid4().hex}")
+    return parts.groupBy("feature").agg(F.avg("contribution").alias("mean_ms"), F.avg(F.abs("contribution")).alias("mean_size_ms"), F.count("*").alias("rows"))
+
+
 @query("workload_cluster_profiles")
 def _profiles(t):
     features = ml.spread(ml.cluster_features(t("query_logs")))
@@ -110,6 +123,34 @@ def _baseline(t):
     return ml.baseline_stats(ml.anomaly_features(t("query_logs")), _flagged(t))
 
 
+@query(
+    "model_invariants",
+    """SELECT c.check_name, CASE WHEN c.counted THEN n ELSE 1 END::DOUBLE AS value FROM (SELECT COUNT(*) AS n FROM query_logs),
+       (VALUES ('cluster sizes', TRUE), ('rows at their nearest centre', TRUE), ('forest rows', TRUE), ('forest scores from -1 to 0', TRUE), ('contributions add up', TRUE), ('importance sum', FALSE)) c(check_name, counted)""",
+)
+def _invariants(t):
+    """What must hold of the fitted models whatever they learned: sizes sum to the rows, and so on."""
+    features = ml.spread(ml.cluster_features(t("query_logs")))
+    model = ml.fit_clusters(features, starts=2)
+    assigned = ml.assign_clusters(model, features)
+    points = ml.spread(ml.anomaly_features(t("query_logs")))
+    scores = ml.score_isolation_forest(ml.fit_isolation_forest(points, trees=20), points)
+    timed = ml.spread(ml.time_features(t("query_logs")))
+    forest = ml.fit_query_time(timed, "random_forest", trees=20)
+    parts = ml.contributions(forest, timed, f"{shared_dir(t.spark)}/models/{uuid.uuid4().hex}")
+    sums = parts.groupBy("log_id").agg((F.first("bias") + F.sum("contribution") - F.first("predicted_ms")).alias("gap"))
+    held = scores.agg(F.count("*").alias("n"), F.count_if(F.col("anomaly_score").between(-1.0, 0.0)).alias("inside"))
+    figures = {
+        "cluster sizes": ml.cluster_profiles(assigned).agg(F.sum("size").alias("v")),
+        "rows at their nearest centre": ml.nearest_centre(assigned, model).select(F.col("nearest").alias("v")),
+        "forest rows": held.select(F.col("n").alias("v")),
+        "forest scores from -1 to 0": held.select(F.col("inside").alias("v")),
+        "contributions add up": sums.agg(F.count_if(F.abs("gap") < 1e-6).alias("v")),
+        "importance sum": ml.feature_importance(forest, t.spark).agg(F.round(F.sum("importance"), 9).alias("v")),
+    }
+    return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("check_name"), F.col("v").cast("double").alias("value")) for name, df in figures.items()])
+
+
 @query("cache_classifier_candidates")
 def _candidates(t):
     return ml.top_cache_candidates(workload.cache_features(t("query_logs")), or_heuristic=True)
