@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import json
 import math
 from multiprocessing.pool import ThreadPool
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
@@ -191,38 +190,47 @@ def tree_arrays(model: PipelineModel, path: str) -> DataFrame:
     return lists.agg(F.collect_list(arrays).alias("trees"))
 
 
+def _children(number: np.ndarray, leaf: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Where a row goes from node i: entry 2 i + 1 to the left, 2 i to the right; a leaf keeps it."""
+    return np.stack([np.where(leaf, number, right), np.where(leaf, number, left)], axis=1).ravel()
+
+
 def contributions(model: PipelineModel, features: DataFrame, path: str, depth: int = DEPTH) -> DataFrame:
     """log_id, feature, contribution, bias, predicted_ms: what each input adds to a prediction along the paths of its trees.
 
     A step from a node to its child adds the change of the node value to the feature that was asked; the bias is the sum
-    of the root values. Bias and contributions add up to the prediction. Rows walk the trees in column expressions.
+    of the root values. Bias and contributions add up to the prediction. The rows of an Arrow batch walk a tree together.
     """
-    held = tree_arrays(model, path)  # bounded by the fit, a constant of the plan below
-    shipped = F.from_json(F.lit(held.select(F.to_json("trees")).first()[0]), held.schema["trees"].dataType)
-    scored = model.transform(features).select("log_id", vector_to_array("features").alias("x"), F.col("prediction").alias("predicted_ms"))
-    step_type = "struct<at:int,steps:array<struct<f:int,d:double>>>"
-    start = F.from_json(F.lit('{"at": 0, "steps": []}'), step_type)
-
-    def walked(tree: Column) -> Column:
-        def step(state: Column, _level: Column) -> Column:
-            at = state["at"]
-            feature = F.get(tree["feature"], at)
-            goes_left = F.get(F.col("x"), feature) <= F.get(tree["threshold"], at)
-            following = F.when(goes_left, F.get(tree["lo"], at)).otherwise(F.get(tree["hi"], at))
-            change = F.get(tree["value"], following) - F.get(tree["value"], at)
-            moved = F.struct(following.alias("at"), F.concat(state["steps"], F.array(F.struct(feature.alias("f"), change.alias("d")))).alias("steps"))
-            return F.when(feature < 0, state).otherwise(moved).cast(step_type)
+    trees = tree_arrays(model, path).first()["trees"]  # bounded by the fit, goes with the tasks
+    sizes = np.array([len(tree["feature"]) for tree in trees])
+    roots = np.cumsum(sizes) - sizes
+
+    def joined(field: str, kind: type) -> np.ndarray:
+        return np.array([v for tree in trees for v in tree[field]], dtype=kind)
+
+    number, start = np.arange(sizes.sum()), np.repeat(roots, sizes)
+    asked = joined("feature", int)
+    leaf, feature = asked < 0, np.maximum(asked, 0)
+    threshold, value = joined("threshold", float), joined("value", float)
+    children = _children(number, leaf, start + joined("lo", int), start + joined("hi", int))
+
+    @F.pandas_udf("array<double>")
+    def added(vectors: pd.Series) -> pd.Series:
+        values = np.vstack(vectors.to_numpy()).T.copy()
+        rows = np.arange(values.shape[1])
+        found = np.zeros(values.shape)
+        for root in roots:
+            at = np.full(len(rows), root)
+            for _ in range(depth):
+                following = children[2 * at + (values[feature[at], rows] <= threshold[at])]
+                found[feature[at], rows] += value[following] - value[at]
+                at = following
+        return pd.Series(list(found.T))
 
-        return F.aggregate(F.array(*[F.lit(i) for i in range(depth)]), start, step)["steps"]
-
-    steps = F.flatten(F.transform(shipped, walked))
-    bias = F.aggregate(shipped, F.lit(0.0), lambda total, tree: total + F.get(tree["value"], F.lit(0)))
-    listed = scored.select("log_id", "predicted_ms", bias.alias("bias"), steps.alias("steps"))
-
-    def of(i: int) -> Column:
-        return F.aggregate(F.filter("steps", lambda s: s["f"] == i), F.lit(0.0), lambda total, s: total + s["d"])
-
-    rows = F.array(*[F.struct(F.lit(name).alias("feature"), of(i).alias("contribution")) for i, name in enumerate(TIME_FEATURES)])
+    scored = model.transform(features).select("log_id", vector_to_array("features").alias("x"), F.col("prediction").alias("predicted_ms"))
+    bias = F.lit(float(sum(value[roots].tolist(), 0.0)))
+    listed = scored.select("log_id", "predicted_ms", bias.alias("bias"), added("x").alias("d"))
+    rows = F.array(*[F.struct(F.lit(name).alias("feature"), F.get("d", F.lit(i)).alias("contribution")) for i, name in enumerate(TIME_FEATURES)])
     return listed.select("log_id", "predicted_ms", "bias", F.inline(rows)).select("log_id", "feature", "contribution", "bias", "predicted_ms")
 
 
@@ -247,15 +255,15 @@ def fit_clusters(
         stages.append(PCA(k=components, inputCol="features", outputCol="components"))
         column = "components"
     prepared = Pipeline(stages=stages).fit(features)
-    points = prepared.transform(features).select(column).persist(StorageLevel.MEMORY_AND_DISK)
+    # Stored narrow and not cached as a table: a fit keeps its points as vectors then, and does not decode them per pass.
+    points = durable(prepared.transform(features).select(column))
 
     def fit(start: int):
         return KMeans(k=k, seed=SEED + start, maxIter=300, featuresCol=column, predictionCol="cluster").fit(points)
 
-    # The starts are jobs of their own over the same kept points and share the executors.
-    with ThreadPool(min(starts, 5)) as pool:
-        fits = pool.map(inheritable_thread_target(features.sparkSession)(fit), range(starts))
-    points.unpersist()
+    # The starts are jobs of their own over the same stored points; two at a time, as each holds its vectors in memory.
+    with ThreadPool(min(starts, 2)) as pool:
+        fits = pool.map(inheritable_thread_target(features.sparkSession)(fit), range(starts), chunksize=1)
     best = min(fits, key=lambda m: m.summary.trainingCost)
     return PipelineModel([*prepared.stages, best])
 
@@ -430,41 +438,39 @@ def fit_isolation_forest(features: DataFrame, trees: int = TREES, sample: int =
 def score_isolation_forest(forest: pd.DataFrame, features: DataFrame, sample: int = TREE_SAMPLE) -> DataFrame:
     """Score per row, lower is stranger: minus two to the power of minus mean depth over expected depth.
 
-    Trees are arrays of their nodes and every row walks them level by level in column expressions: no Python worker
-    sees a row. The forest, bounded by its fit, is a constant of the plan.
+    The rows of an Arrow batch walk a tree together, level by level. The forest, bounded by its fit, goes with the tasks.
     """
     forest = forest.sort_values(["tree", "node"])
-    trees = [
-        {
-            "feature": g["feature"].astype(int).tolist(),
-            "threshold": g["threshold"].astype(float).tolist(),
-            "lo": g["left"].astype(int).tolist(),
-            "hi": g["right"].astype(int).tolist(),
-            "path": (g["depth"].to_numpy(dtype=float) + _average_path(g["size"].to_numpy())).tolist(),
-        }
-        for _, g in forest.groupby("tree")
-    ]
-    node_lists = "array<struct<feature:array<int>,threshold:array<double>,lo:array<int>,hi:array<int>,path:array<double>>>"
-    shipped = F.from_json(F.lit(json.dumps(trees)), node_lists)
-    norm = float(_average_path(np.array([sample]))[0])
-    values = F.array(*_X)
-    levels = F.array(*[F.lit(i) for i in range(int(forest["depth"].max()))]) if len(forest) else F.array().cast("array<int>")
+    number = np.arange(len(forest))
+    first = number - forest["node"].to_numpy()
+    leaf = forest["feature"].to_numpy() < 0
+    feature = np.where(leaf, 0, forest["feature"].to_numpy())
+    threshold = forest["threshold"].to_numpy(dtype=float)
+    children = _children(number, leaf, first + forest["left"].to_numpy(), first + forest["right"].to_numpy())
+    path = forest["depth"].to_numpy(dtype=float) + _average_path(forest["size"].to_numpy())
+    roots = number[forest["node"].to_numpy() == 0].tolist()
+    levels = int(forest["depth"].max()) if len(forest) else 0
+
+    @F.pandas_udf("double")
+    def depths(*columns: pd.Series) -> pd.Series:
+        values = np.array([c.to_numpy(dtype=float) for c in columns])
+        rows = np.arange(values.shape[1])
+        total = np.zeros(len(rows))
+        for root in roots:
+            at = np.full(len(rows), root)
+            for _ in range(levels):
+                at = children[2 * at + (values[feature[at], rows] < threshold[at])]
+            total += path[at]
+        return pd.Series(total)
 
-    def leaf(tree: Column) -> Column:
-        def step(at: Column, _level: Column) -> Column:
-            feature = F.get(tree["feature"], at)
-            goes_left = F.get(values, feature) < F.get(tree["threshold"], at)
-            return F.when(feature < 0, at).when(goes_left, F.get(tree["lo"], at)).otherwise(F.get(tree["hi"], at))
-
-        return F.aggregate(levels, F.lit(0), step)
-
-    depth = F.aggregate(shipped, F.lit(0.0), lambda total, tree: total + F.get(tree["path"], leaf(tree)))
-    score = -F.pow(F.lit(2.0), -(depth / F.lit(float(len(trees)))) / F.lit(norm))
-    return features.select("log_id", score.alias("anomaly_score"))
+    norm = float(_average_path(np.array([sample]))[0])
+    score = -F.pow(F.lit(2.0), -(F.col("_depth") / F.lit(float(len(roots)))) / F.lit(norm))
+    return features.select("log_id", depths(*_X).alias("_depth")).select("log_id", score.alias("anomaly_score"))
 
 
 def flag_anomalies(scores: DataFrame, contamination: float = CONTAMINATION) -> DataFrame:
-    """The strangest share of the rows."""
+    """The strangest share of the rows. Scores are stored: the cut and whatever reads the flags share one scoring."""
+    scores = durable(scores)
     cut = scores.agg(F.percentile_approx("anomaly_score", contamination, 10_000)).scalar()
     return scores.withColumn("is_anomaly", F.col("anomaly_score") <= cut)
 

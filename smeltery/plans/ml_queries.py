@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from smeltery.operators import density, ml, workload
 from smeltery.plans.registry import query, sql_table
-from smeltery.session import shared_dir
+from smeltery.session import durable, shared_dir
 
 
 @query(
@@ -139,7 +139,7 @@ def _invariants(t):
     forest = ml.fit_query_time(timed, "random_forest", trees=20)
     parts = ml.contributions(forest, timed, f"{shared_dir(t.spark)}/models/{uuid.uuid4().hex}")
     sums = parts.groupBy("log_id").agg((F.first("bias") + F.sum("contribution") - F.first("predicted_ms")).alias("gap"))
-    held = scores.agg(F.count("*").alias("n"), F.count_if(F.col("anomaly_score").between(-1.0, 0.0)).alias("inside"))
+    held = durable(scores.agg(F.count("*").alias("n"), F.count_if(F.col("anomaly_score").between(-1.0, 0.0)).alias("inside")))
     figures = {
         "cluster sizes": ml.cluster_profiles(assigned).agg(F.sum("size").alias("v")),
         "rows at their nearest centre": ml.nearest_centre(assigned, model).select(F.col("nearest").alias("v")),
