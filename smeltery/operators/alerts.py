@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from smeltery.functions.exprs import stable_id
 from smeltery.operators.monitoring import at, days_back, seconds_between
+from smeltery.session import durable
 
 GIB = 1024**3
 # Alert type, enabled, severity, threshold.
@@ -187,7 +188,10 @@ def alerts_active(
             )
         )
     union = reduce(lambda a, b: a.unionByName(b), parts)
-    return union.join(acknowledged.select("alert_id"), "alert_id", "left_anti").select(*COLUMNS)
+    # Ids compress so well that adaptive execution would take them all into one sort; a number given keeps the tasks apart.
+    tasks = int(union.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = acknowledged.select("alert_id").repartition(tasks, "alert_id")
+    return union.repartition(tasks, "alert_id").join(known, "alert_id", "left_anti").select(*COLUMNS)
 
 
 def slow_queries(logs: DataFrame, now, threshold_ms: float, limit: int | None = None) -> DataFrame:
@@ -250,8 +254,12 @@ def incident_rows(sums: DataFrame) -> DataFrame:
 
 
 def incidents_sync(existing: DataFrame, alerts: DataFrame, run_ts) -> DataFrame:
-    """Incidents after the current alerts: known ones updated, new ones opened, vanished types resolved."""
-    return sync_incidents(existing, incident_rows(alert_sums(alerts)), run_ts)
+    """Incidents after the current alerts: known ones updated, new ones opened, vanished types resolved.
+
+    The alerts are stored once: their sums and their first five are read from what is there, not from all inputs again.
+    """
+    held = durable(alerts.select("type", "alert_id", "severity", "status", "occurred_at", "table_name", "title"))
+    return sync_incidents(existing, incident_rows(alert_sums(held)), run_ts)
 
 
 def sync_incidents(existing: DataFrame, current: DataFrame, run_ts) -> DataFrame:
