@@ -7,6 +7,7 @@ is only the days, or the buckets, that its own rows fall in.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -163,13 +164,13 @@ _EDGES = "queryid {key}, batch long, seen timestamp, at long, tie long, last str
 
 
 def stream_counter_deltas(
-    stream: DataFrame, checkpoint: str, root: str, deltas: Callable[[DataFrame], DataFrame], once: bool = True, forget_days: int = 90
+    stream: DataFrame, checkpoint: str, root: str, deltas: Callable[[DataFrame], DataFrame], once: bool = True, forget_days: int = 90, buckets: int = 512
 ) -> Chain:
     """Counter growth across batches, in two queries.
 
     The first stores each batch and, reduced before it is shuffled, the newest snapshot per statement in it. Only
     these rows, one per statement and batch, reach the second query, whose keyed state is the newest snapshot of each
-    statement: it gives what the statement stood at before the batch, and forgets statements not seen for
+    statement, kept in ``buckets`` of statements by hash, as a call per statement costs more than its row: it gives what the statement stood at before the batch, and forgets statements not seen for
     ``forget_days`` of event time. With that row in front the batch operator runs over the stored batch, so a busy statement is cut
     by day there and never sits in one task. Snapshots not after the state of their statement are late: what grew until
     then is in a later delta already, so they go to ``late`` and nowhere else, as do those without a statement or
@@ -195,18 +196,27 @@ def stream_counter_deltas(
         ).write.mode("overwrite").parquet(_batch_folder(edges_at, number))
 
     def carry(_key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        held = json.loads(state.get[0]) if state.exists else {}
+        fresh, found = set(), []
+        if not state.hasTimedOut:
+            columns = ("queryid", "batch", "at", "tie", "last")
+            rows = [r for f in frames for r in zip(*(f[c].tolist() for c in columns))]
+            for queryid, batch, at, tie, last in sorted(rows, key=lambda r: r[1]):
+                name = str(queryid)
+                before = held.get(name)
+                found.append((queryid, batch, before[2] if before else None))
+                fresh.add(name)
+                if before is None or (at, tie) > (before[0], before[1]):
+                    held[name] = (at, tie, last)
+        now = state.getCurrentWatermarkMs()
+        held = {n: h for n, h in held.items() if n in fresh or h[0] // 1000 + 1 >= now}
+        if held:
+            state.update((json.dumps(held),))
+            state.setTimeoutTimestamp(max(min(h[0] for h in held.values()) // 1000, now) + 1)
+        else:
             state.remove()
-            return
-        held = state.get if state.exists else None
-        found = []
-        for row in pd.concat(list(frames)).sort_values("batch").itertuples():
-            found.append((row.queryid, row.batch, held[2] if held else None))
-            if held is None or (row.at, row.tie) > held[:2]:
-                held = (int(row.at), int(row.tie), row.last)
-        state.update(held)
-        state.setTimeoutTimestamp(max(held[0] // 1000, state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame(found, columns=["queryid", "batch", "before"])
+        if found:
+            yield pd.DataFrame(found, columns=["queryid", "batch", "before"])
 
     def grow(marks: DataFrame, number: int) -> None:
         at = _batch_folder(marks_at, number)
@@ -228,8 +238,9 @@ def stream_counter_deltas(
     if once:
         first.awaitTermination()
     edges = spark.readStream.schema(_EDGES.format(key=key)).parquet(f"{edges_at}/batch=*" if _names(spark, edges_at) else edges_at)
-    carried = edges.withWatermark("seen", f"{forget_days} days").groupBy("queryid").applyInPandasWithState(
-        carry, f"queryid {key}, batch long, before string", "at long, tie long, last string", "append", GroupStateTimeout.EventTimeTimeout
+    placed = edges.withColumn("bucket", F.pmod(F.xxhash64("queryid"), F.lit(buckets)))
+    carried = placed.withWatermark("seen", f"{forget_days} days").groupBy("bucket").applyInPandasWithState(
+        carry, f"queryid {key}, batch long, before string", "held string", "append", GroupStateTimeout.EventTimeTimeout
     )
     return Chain([first, _start(carried, f"{checkpoint}/state", grow, once)])
 

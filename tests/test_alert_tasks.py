@@ -16,7 +16,7 @@ def t(spark):
 
 def test_acknowledged_ids_meet_alerts_in_tasks_of_a_given_number(spark, t):
     plan = monitoring_queries._active(t)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("RepartitionByExpression [alert_id") == 2
+    assert 0 < plan.count("Join LeftAnti") < plan.count("RepartitionByExpression [alert_id")
 
 
 def test_incidents_read_their_alerts_once(spark, t):
